@@ -38,11 +38,11 @@ def day_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, F.to_date("posted_at").alias("posted_day"), F.to_date("first_seen").alias("seen_day")).agg(F.count("*").alias("n"))
 
 
-def bulk_days(df: DataFrame, keys: list[str]) -> DataFrame:
+def bulk_days(df: DataFrame, keys: list[str], share: float = BULK_SHARE) -> DataFrame:
     """Posting days that hold 20 rows and over 40 % of the group: a bulk re-post, not hiring."""
     days = df.groupBy(*keys, F.to_date("posted_at").alias("posted_day")).agg(F.count("*").alias("n"))
     days = days.withColumn("total", F.sum("n").over(W.partitionBy(*keys)))
-    return days.filter(F.col("posted_day").isNotNull() & (F.col("n") >= BULK_MIN) & (F.col("n") > F.col("total") * BULK_SHARE))
+    return days.filter(F.col("posted_day").isNotNull() & (F.col("n") >= BULK_MIN) & (F.col("n") > F.col("total") * share))
 
 
 def new_counts(df: DataFrame, keys: list[str], now: Column, match: Column) -> DataFrame:

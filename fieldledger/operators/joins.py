@@ -135,7 +135,7 @@ def merge_registry(found: DataFrame, old: DataFrame, keys: list[str]) -> DataFra
 
 def in_range(notes: DataFrame, upgrades: DataFrame, key: str = "pkg") -> DataFrame:
     """Notes after `from` and up to `to`, by package."""
-    u = upgrades.select(key, F.col("from_version"), F.col("to_version"), version_key("from_version").alias("_f"), version_key("to_version").alias("_t"))
+    u = upgrades.withColumn("_f", version_key("from_version")).withColumn("_t", version_key("to_version"))
     n = notes.withColumn("_v", version_key("version"))
     return n.join(u, key).filter((F.col("_v") > F.col("_f")) & (F.col("_v") <= F.col("_t"))).drop("_f", "_t", "_v")
 
@@ -205,11 +205,13 @@ def drop_alias(sites: DataFrame, host: str, count: str, order: list[Column], tes
     return first_per_group(real, [host, count], order)
 
 
-def not_recovered(drops: DataFrame, catch_ups: DataFrame, share: float = 0.5) -> DataFrame:
-    """Drops no later catch-up run made good. The catch-ups' best later count decides, so no run pairs are kept."""
+def not_recovered(drops: DataFrame, catch_ups: DataFrame, share: float = 0.5, within_days: int | None = None) -> DataFrame:
+    """Drops no later catch-up run made good (optionally: within so many days)."""
     later = drops.select("source", "started", "usual").join(catch_ups.select("source", F.col("started").alias("_s"), F.col("jobs").alias("_j")), "source")
-    good = later.filter((F.col("_s") > F.col("started")) & (F.col("_j") >= F.col("usual") * share)).select("source", "started").distinct()
-    return drops.join(good, ["source", "started"], "left_anti")
+    good = later.filter((F.col("_s") > F.col("started")) & (F.col("_j") >= F.col("usual") * share))
+    if within_days is not None:
+        good = good.filter(F.col("_s") <= F.date_add("started", within_days))
+    return drops.join(good.select("source", "started").distinct(), ["source", "started"], "left_anti")
 
 
 def union_latest(older: DataFrame, newer: DataFrame, keys: list[str]) -> DataFrame:

@@ -121,7 +121,7 @@ def u03(spark, d):
 
 
 @query("u04_list_union", """
-WITH w AS (SELECT p_partkey, p_type, p_name, string_split(p_name, ' ') AS l FROM part) SELECT p_partkey, p_type || ';' || array_to_string(list_filter(l, x -> x <> p_type), ';') AS tags FROM w""")
+WITH w AS (SELECT p_partkey, p_type, p_name, string_split(p_name, ' ') AS l FROM part) SELECT p_partkey, p_type || ';' || array_to_string(list_filter(l, lambda x: x <> p_type), ';') AS tags FROM w""")
 def u04(spark, d):
     return A.table(spark, d, "part").select("p_partkey", F.array_join(O.list_union(F.array("p_type"), F.split("p_name", " ")), ";").alias("tags"))
 

@@ -89,12 +89,16 @@ def phones(html: Column | str, limit: int = 3) -> Column:
     return F.slice(F.filter(ok, lambda x, i: F.array_position(nums, _digits(x)) == i + 1), 1, limit)
 
 
+def _not_handle(pattern: str, skip: str):
+    return lambda u: ~F.regexp_extract(u, "(?i)" + pattern, 1).rlike("(?i)" + skip)
+
+
 def socials(html: Column | str) -> Column:
     """One link per network: the first that is neither a share link nor the platform's own."""
     out = []
     for net, (pattern, skip) in SOCIAL.items():
         links = F.regexp_extract_all(_c(html), F.lit("(?i)" + pattern + LINK_END), F.lit(0))
-        own = F.filter(links, lambda u, p=pattern, s=skip: ~F.regexp_extract(u, "(?i)" + p, 1).rlike("(?i)" + s))
+        own = F.filter(links, _not_handle(pattern, skip))
         out.append(replace_all(F.get(own, 0), ("^http:", "https:"), ("/$", "")).alias(net))
     return F.struct(*out)
 

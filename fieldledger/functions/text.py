@@ -49,6 +49,11 @@ def join_present(sep: str, *cols: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, sep))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value worked out once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def map_matches(col: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """Replace every match by ``fn(match)`` in one pass (regexp_replace cannot compute its replacement)."""
     parts = F.split(col, pattern, -1)
@@ -208,35 +213,44 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"(?i)^https?://[^/?#\s]+([^?#]*)", 1)
 
 
+# Where each hosted board lives, and the path parts that end a company's own site.
+HOSTED_BOARDS = {
+    "greenhouse": ("https://job-boards.greenhouse.io/", ""),
+    "lever": ("https://jobs.lever.co/", ""),
+    "ashby": ("https://jobs.ashbyhq.com/", ""),
+    "workable": ("https://apply.workable.com/", "/"),
+    "rippling": ("https://ats.rippling.com/", "/jobs"),
+}
+OWN_SITES = ("personio", "bamboohr", "breezy", "teamtailor", "recruitee")
+OWN_MARKERS = ("/job/", "/careers/", "/p/", "/jobs/", "/o/")
+
+
 def career_site_url(source: Column | str, ident: Column | str, url: Column | str) -> Column:
     """A company's job page, worked out from one of its job links."""
-    s, i, u = _c(source), _c(ident), _c(url)
-    origin, path = url_origin(u), url_path(u)
-
-    def upto(marker: str) -> Column:
-        at = F.instr(path, marker)
-        head = F.substring_index(path, marker, 1)
-        return F.when(at > 0, F.concat(origin, F.when(head == "", F.lit("/")).otherwise(head)))
-
-    fixed = {  # fixed values: where each hosted board lives
-        "greenhouse": ("https://job-boards.greenhouse.io/", ""),
-        "lever": ("https://jobs.lever.co/", ""),
-        "ashby": ("https://jobs.ashbyhq.com/", ""),
-        "workable": ("https://apply.workable.com/", "/"),
-        "rippling": ("https://ats.rippling.com/", "/jobs"),
-    }
-    out = F.when(origin.isNull(), u)
-    for k, (pre, post) in fixed.items():
-        out = out.when(s == k, F.concat(F.lit(pre), i, F.lit(post)))
-    first = F.nullif(F.get(F.split(path, "/"), 1), F.lit(""))
-    out = out.when(s == "smartrecruiters", F.concat_ws("/", origin, first))
-    out = out.when(s.isin("workday", "jobvite", "oracle"), F.coalesce(upto("/job/"), origin))
-    board = F.regexp_extract(path, r"^(.*/JobBoard/[^/]+)", 1)
-    out = out.when(s == "ukg", F.concat(origin, board))
-    own = F.coalesce(*[upto(m) for m in ("/job/", "/careers/", "/p/", "/jobs/", "/o/")], origin)
-    own = F.concat(F.regexp_replace(own, "/$", ""), F.when(s == "bamboohr", F.lit("/careers")).otherwise(F.lit("")))
-    out = out.when(s.isin("personio", "bamboohr", "breezy", "teamtailor", "recruitee"), own)
-    return out.otherwise(origin)
+    u = _c(url)
+    parts = F.struct(_c(source).alias("s"), _c(ident).alias("i"), u.alias("u"), url_origin(u).alias("origin"), url_path(u).alias("path"))
+
+    def site(x: Column) -> Column:
+        s, origin, path = x["s"], x["origin"], x["path"]
+
+        def upto(marker: str) -> Column:
+            head = F.substring_index(path, marker, 1)
+            return F.when(F.contains(path, F.lit(marker)), F.concat(origin, F.when(head == "", "/").otherwise(head)))
+
+        out = F.when(origin.isNull(), x["u"])
+        for name, (pre, post) in HOSTED_BOARDS.items():
+            out = out.when(s == name, F.concat(F.lit(pre), x["i"], F.lit(post)))
+        own = F.regexp_replace(F.coalesce(*map(upto, OWN_MARKERS), origin), "/$", "")
+        return (
+            out.when(s == "smartrecruiters", F.concat_ws("/", origin, F.nullif(F.get(F.split(path, "/"), 1), F.lit(""))))
+            .when(s.isin("workday", "jobvite", "oracle"), F.coalesce(upto("/job/"), origin))
+            .when(s == "ukg", F.concat(origin, F.regexp_extract(path, r"^(.*/JobBoard/[^/]+)", 1)))
+            .when(s == "bamboohr", F.concat(own, F.lit("/careers")))
+            .when(s.isin(*OWN_SITES), own)
+            .otherwise(origin)
+        )
+
+    return let(parts, site)
 
 
 # ---------------------------------------------------------------- T08 places
@@ -359,37 +373,45 @@ def slug_candidates(col: Column | str) -> Column:
 
 def parse_entry(col: Column | str) -> Column:
     """A pasted company entry to ``struct<ats, slug, host, site, skip>``: board link, career-site link or bare name."""
-    raw = trimmed(col)
-    url = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    host = F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^@/]*@)?([^/:?#\s]+)", 1))
-    parts = F.filter(F.split(url_path(url), "/"), lambda p: p != "")
-    board = (
-        F.when(host.rlike(r"(^|\.)greenhouse\.io$"), "greenhouse")
-        .when(host.rlike(r"(^|\.)lever\.co$"), "lever")
-        .when(host.rlike(r"(^|\.)ashbyhq\.com$"), "ashby")
-    )
-    linky = raw.rlike(r"(?i)^https?://") | raw.rlike(r"(?i)^[a-z0-9.-]+\.(io|co|com)/")
-    api_at = F.array_position(F.transform(parts, lambda p: p.isin("boards", "postings", "job-board")), F.lit(True))
-    board_slug = F.lower(F.nullif(F.get(parts, F.when(api_at > 0, api_at).otherwise(0).cast("int")), F.lit("")))
-    is_board = linky & board.isNotNull() & board_slug.isNotNull()
-    # Career sites: a leading locale segment is presentation only.
-    sp = F.when(F.get(parts, 0).rlike(r"(?i)^[a-z]{2}(-[a-z]{2})?$"), F.slice(parts, 2, 1000)).otherwise(parts)
-    jobs_host = host.rlike(r"^[a-z0-9-]+\.wd\d+\.myworkdayjobs\.com$") & (F.size(sp) > 0)
-    site_host = host.rlike(r"^wd\d+\.myworkdaysite\.com$") & (F.get(sp, 0) == "recruiting") & (F.size(sp) >= 3)
-    bare = F.regexp_replace(F.lower(raw), rf"{BLANK}+", "")
-
-    def out(ats=None, slug=None, host_=None, site=None, skip=None) -> Column:
-        vals = {"ats": ats, "slug": slug, "host": host_, "site": site, "skip": skip}
-        return F.struct(*[(v if isinstance(v, Column) else F.lit(v).cast("string")).alias(k) for k, v in vals.items()])
-
-    return (
-        F.when(F.coalesce(raw, F.lit("")) == "", out(skip="empty entry"))
-        .when(jobs_host, out("workday", F.substring_index(host, ".", 1), host, F.get(sp, 0)))
-        .when(site_host, out("workday", F.get(sp, 1), host, F.get(sp, 2)))
-        .when(is_board, out(board, board_slug))
-        .when(bare.rlike("[/?#]"), out(skip="not a company slug or job-board link"))
-        .otherwise(out(None, bare))
-    )
+    fields = ("ats", "slug", "host", "site", "skip")
+
+    def out(**given) -> Column:
+        as_col = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
+        return F.struct(*[as_col(given.get(f)).alias(f) for f in fields])
+
+    def read_url(raw: Column) -> Column:
+        url = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+        return F.struct(
+            raw.alias("raw"),
+            F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^@/]*@)?([^/:?#\s]+)", 1)).alias("host"),
+            F.filter(F.split(url_path(url), "/"), lambda p: p != "").alias("parts"),
+        )
+
+    def judge(x: Column) -> Column:
+        raw, host, parts = x["raw"], x["host"], x["parts"]
+        board = (
+            F.when(host.rlike(r"(^|\.)greenhouse\.io$"), "greenhouse")
+            .when(host.rlike(r"(^|\.)lever\.co$"), "lever")
+            .when(host.rlike(r"(^|\.)ashbyhq\.com$"), "ashby")
+        )
+        linky = raw.rlike(r"(?i)^https?://") | raw.rlike(r"(?i)^[a-z0-9.-]+\.(io|co|com)/")
+        api_at = F.array_position(F.transform(parts, lambda p: p.isin("boards", "postings", "job-board")), F.lit(True))
+        slug = F.lower(F.nullif(F.get(parts, F.when(api_at > 0, api_at).otherwise(0).cast("int")), F.lit("")))
+        # A leading locale segment of a career site is presentation only.
+        path = F.when(F.get(parts, 0).rlike(r"(?i)^[a-z]{2}(-[a-z]{2})?$"), F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
+        own_host = host.rlike(r"^[a-z0-9-]+\.wd\d+\.myworkdayjobs\.com$") & (F.size(path) > 0)
+        shared_host = host.rlike(r"^wd\d+\.myworkdaysite\.com$") & (F.get(path, 0) == "recruiting") & (F.size(path) >= 3)
+        bare = F.regexp_replace(F.lower(raw), rf"{BLANK}+", "")
+        return (
+            F.when(F.coalesce(raw, F.lit("")) == "", out(skip="empty entry"))
+            .when(own_host, out(ats="workday", slug=F.substring_index(host, ".", 1), host=host, site=F.get(path, 0)))
+            .when(shared_host, out(ats="workday", slug=F.get(path, 1), host=host, site=F.get(path, 2)))
+            .when(linky & board.isNotNull() & slug.isNotNull(), out(ats=board, slug=slug))
+            .when(bare.rlike("[/?#]"), out(skip="not a company slug or job-board link"))
+            .otherwise(out(slug=bare))
+        )
+
+    return let(let(trimmed(col), read_url), judge)
 
 
 # ---------------------------------------------------------------- T21 / T42 / T48 / T49 / T50
@@ -409,10 +431,12 @@ def norm_text(col: Column | str) -> Column:
 
 def tidy_name(col: Column | str) -> Column:
     """Names filed in capitals get title case; mixed-case names stay."""
-    v = trimmed(F.regexp_replace(_c(col), rf"{BLANK}+", " "))
-    words = map_matches(F.lower(v), r"(?:^|[\s'-])\p{L}", F.upper)
-    words = map_matches(words, r"\b(?:Ii|Iii|Iv|Llc|Lp|Inc)\b", F.upper)
-    return F.when((v != F.upper(v)) | ~v.rlike("[A-Z]"), v).otherwise(words)
+
+    def title_case(v: Column) -> Column:
+        words = map_matches(F.lower(v), r"(?:^|[\s'-])\p{L}", F.upper)
+        return F.when((v != F.upper(v)) | ~v.rlike("[A-Z]"), v).otherwise(map_matches(words, r"\b(?:Ii|Iii|Iv|Llc|Lp|Inc)\b", F.upper))
+
+    return let(trimmed(F.regexp_replace(_c(col), rf"{BLANK}+", " ")), title_case)
 
 
 def us_phone(col: Column | str) -> Column:

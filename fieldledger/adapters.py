@@ -110,13 +110,13 @@ COMPANY_RUNS_SQL = """company_runs AS (
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """Nightly run counts by source; every sixth day is a catch-up."""
     return table(spark, d, "events").groupBy(F.expr("to_date(ts) AS day"), F.expr("event_type AS source")).agg(
-        F.expr("count(*) * CASE WHEN event_type = 'error' AND day(to_date(ts)) % 7 = 3 THEN 1 ELSE 100 END AS jobs")
+        F.expr("count(*) * CASE WHEN (event_type = 'error' AND day(to_date(ts)) % 7 = 1) OR (event_type = 'view' AND day(to_date(ts)) % 7 IN (1, 2)) THEN 1 ELSE 100 END AS jobs")
     ).withColumn("is_full", F.expr("day(day) % 6 <> 0"))
 
 
 RUNS_SQL = """runs AS (
   SELECT CAST(ts AS DATE) AS day, event_type AS source,
-    count(*) * CASE WHEN event_type = 'error' AND day(CAST(ts AS DATE)) % 7 = 3 THEN 1 ELSE 100 END AS jobs,
+    count(*) * CASE WHEN (event_type = 'error' AND day(CAST(ts AS DATE)) % 7 = 1) OR (event_type = 'view' AND day(CAST(ts AS DATE)) % 7 IN (1, 2)) THEN 1 ELSE 100 END AS jobs,
     day(CAST(ts AS DATE)) % 6 <> 0 AS is_full
   FROM events GROUP BY CAST(ts AS DATE), event_type)"""
 

@@ -64,8 +64,8 @@ def _join(sep: str, parts: Column) -> Column:
 
 def form_d(raw: DataFrame) -> DataFrame:
     """Form D documents (`accession`, `cik`, `file_name`, `filed_at`, `body`) to flat records with nested people."""
-    x = raw.select("*", F.from_xml("body", FORM_D).alias("x"))
-    # The nested parts are named once; later columns read them as plain columns.
+    # A one-element explode keeps filters on the result from being pushed below the parse, where each would parse again.
+    x = raw.select("*", F.explode(F.array(F.from_xml("body", FORM_D))).alias("x"))
     x = x.selectExpr("*", "x.primaryIssuer AS i", "x.offeringData AS o", "x.primaryIssuer.issuerAddress AS a")
     i, o, a = F.col("i"), F.col("o"), F.col("a")
     fund_type = o["industryGroup"]["investmentFundInfo"]["investmentFundType"]

@@ -44,7 +44,7 @@ def r02(spark, d):
 
 
 @query("r03_seen_feed", """
-WITH @postings, s AS (SELECT id, TIMESTAMP '2001-08-01' - to_days(CAST(k % 300 AS INTEGER)) AS at FROM postings WHERE k % 2 = 0), live AS (SELECT * FROM s WHERE at >= TIMESTAMP '2001-08-01' - INTERVAL 180 DAY),
+WITH @postings, s AS (SELECT id, TIMESTAMP '2001-08-01' - to_days(CAST(k % 300 AS INTEGER)) AS t FROM postings WHERE k % 2 = 0), live AS (SELECT * FROM s WHERE t >= TIMESTAMP '2001-08-01' - INTERVAL 180 DAY),
 o AS (SELECT id FROM postings WHERE id NOT IN (SELECT id FROM live) ORDER BY posted_at DESC NULLS LAST, id LIMIT 500)
 SELECT id, 'delivered' AS kind FROM o UNION ALL SELECT id, 'seen' FROM live UNION ALL SELECT id, 'seen' FROM o""")
 def r03(spark, d):

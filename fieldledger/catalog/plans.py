@@ -12,7 +12,7 @@ from ..plans import jobs as PJ
 from ..plans import releases as PR
 from ..plans import reports as PO
 from ..plans import stores as PS
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import index as I
 from .aggregates import fetches
 from .filters import FILING_Q, filings, market, stores
@@ -200,7 +200,7 @@ def q09(spark, d):
 
 def release_tables(spark, d):
     """Packages, notes, changelogs and advisories of parts: package p has versions 1..size of its part, patch level from the line number."""
-    p = A.table(spark, d, "part").filter("p_size IS NOT NULL")
+    p = spread(A.table(spark, d, "part"))
     pkg = col("p_partkey").alias("pkg")
     ver = lambda i: cat(i, lit(".0.0"))
     packages = p.select(pkg, F.transform(F.sequence(lit(1), F.col("p_size") + 2), ver).alias("versions"))

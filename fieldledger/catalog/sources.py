@@ -13,7 +13,7 @@ from .registry import query
 
 ROW = "id string, source string, company string, title string, location string, country string, posted_at timestamp_ntz, first_seen timestamp_ntz"
 COLS = ["id", "source", "company", "title", "location", "country", "posted_at", "first_seen"]
-ROWS = 400  # rows per shard of the small tables here; I.SHARD_ROWS is the index's own figure
+ROWS = 1500  # rows per shard of the small tables here; I.SHARD_ROWS is the index's own figure
 
 
 
@@ -49,7 +49,7 @@ def s02(spark, d):
 
 
 @query("s03_read_store_index", """
-WITH @postings, o AS (SELECT *, (row_number() OVER (ORDER BY first_seen DESC, id) - 1) // 400 AS shard FROM postings), st AS (SELECT shard, max(first_seen) AS mx FROM o GROUP BY shard)
+WITH @postings, o AS (SELECT *, (row_number() OVER (ORDER BY first_seen DESC, id) - 1) // 1500 AS shard FROM postings), st AS (SELECT shard, max(first_seen) AS mx FROM o GROUP BY shard)
 SELECT id FROM o JOIN st USING (shard) WHERE mx > TIMESTAMP '2000-06-01'""")
 def s03(spark, d):
     path = published(spark, d, [F.col("first_seen").desc(), F.col("id")], -F.datediff("first_seen", F.lit("1970-01-01").cast("date")))
@@ -65,7 +65,7 @@ def s04(spark, d):
 @query("s05_shard_stats", """
 WITH @postings, @shards SELECT CAST(shard AS INTEGER) AS shard, count, CAST(newest AS VARCHAR) AS newest, CAST(oldest AS VARCHAR) AS oldest, undated, CAST(newest_first_seen AS VARCHAR) AS newest_first_seen FROM stats""")
 def s05(spark, d):
-    placed = I.with_shards(A.postings(spark, d), newest_first(), I.posted_piece(), ROWS)
+    placed = I.with_shards(A.postings(spark, d), newest_first(), I.posted_piece(), ROWS, I.id_piece())
     text = lambda c: F.col(c).cast("string").alias(c)
     return I.shard_stats(placed).select("shard", "count", text("newest"), text("oldest"), "undated", text("newest_first_seen"))
 
@@ -202,7 +202,7 @@ def s15(spark, d):
 WITH @postings, m AS (SELECT count(*) AS n FROM postings WHERE remote) SELECT n AS matched, least(n, 250) AS delivered, CASE WHEN n >= 250 THEN 'maxJobs' ELSE 'completed' END AS stopped_because, (SELECT max(id) FROM (SELECT id FROM postings WHERE remote ORDER BY posted_at DESC NULLS LAST, id LIMIT 250)) AS last_id FROM m""")
 def s16(spark, d):
     p = A.postings(spark, d).filter("remote")
-    return S.delivery_summary(p, 250).crossJoin(S.deliver(p, newest_first(), 250).agg(F.max("id").alias("last_id")))
+    return S.delivery_summary(p, 250).withColumn("last_id", S.deliver(p, newest_first(), 250).agg(F.max("id")).scalar())
 
 
 @query("s17_union_pages", """

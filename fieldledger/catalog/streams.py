@@ -26,8 +26,9 @@ WITH @postings SELECT id, '2001-08-01 00:00:00' AS seen_through, 3 AS runs FROM
 def r01(spark, d):
     p = A.postings(spark, d)
     state = p.limit(1).select(F.lit("k1").alias("key"), A.ts("2000-06-01 00:00:00").alias("seen_through"), A.ts("2000-06-01 00:00:00").alias("last_run"), F.lit(2).alias("runs"))
-    after = E.advance(state, "k1", A.now(), A.now()).select(F.col("seen_through").cast("string").alias("seen_through"), "runs")
-    return E.new_since(p, state, "k1").select("id").crossJoin(F.broadcast(after))  # one row
+    after = E.advance(state, "k1", A.now(), A.now())
+    mark, runs = (after.select(c).scalar() for c in (F.col("seen_through").cast("string"), "runs"))
+    return E.new_since(p, state, "k1").select("id", mark.alias("seen_through"), runs.alias("runs"))
 
 
 @query("r02_partial_runs", """

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions import clinical, contacts, labels, notes, pay, text as T, versions as V
+from ..session import spread
 from .registry import query
 
+
+def table(spark, d, name):
+    return spread(A.table(spark, d, name))
+
 TRIM = r"regexp_replace({}, '^[\s\x{{00A0}}\x{{FEFF}}]+|[\s\x{{00A0}}\x{{FEFF}}]+$', '', 'g')"
 
 
@@ -31,7 +36,7 @@ HTML_STEPS = [
 
 @query("t01_html_to_text", f"SELECT page_id, left({TRIM.format(_chain('html', HTML_STEPS))}, 8000) AS text FROM pages")
 def t01(spark, d):
-    return A.table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("text"))
 
 
 BOARD_STEPS = HTML_STEPS[:2] + [(r"(?i)</(p|div|li|h[1-6]|br)>", "\n"), (r"<[^>]+>", ""), ("&nbsp;", " ")] + HTML_STEPS[7:12] + HTML_STEPS[13:]
@@ -39,14 +44,14 @@ BOARD_STEPS = HTML_STEPS[:2] + [(r"(?i)</(p|div|li|h[1-6]|br)>", "\n"), (r"<[^>]
 
 @query("t01_board_html_to_text", f"SELECT page_id, left({TRIM.format(_chain('html', BOARD_STEPS))}, 8000) AS text FROM pages")
 def t01b(spark, d):
-    return A.table(spark, d, "pages").select("page_id", T.board_html_to_text("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", T.board_html_to_text("html").alias("text"))
 
 
 @query("t02_decode", """
 SELECT o_orderkey, '<p>' || chr(CAST(65 + o_orderkey % 26 AS INTEGER)) || chr(CAST(913 + o_orderkey % 20 AS INTEGER)) || ' & "x"</p>' AS markup,
   '<' || chr(CAST(65 + o_orderkey % 26 AS INTEGER)) || chr(128512) || '&nope;''&lt;' AS entities FROM orders""")
 def t02(spark, d):
-    o = A.table(spark, d, "orders")
+    o = table(spark, d, "orders")
     one = F.concat(F.lit("&lt;p&gt;&#"), 65 + F.col("o_orderkey") % 26, F.lit(";&#"), 913 + F.col("o_orderkey") % 20, F.lit("; &amp; &quot;x&quot;&lt;/p&gt;"))
     two = F.concat(F.lit("&lt;&#x"), F.hex(65 + F.col("o_orderkey") % 26), F.lit(";&#128512;&nope;&apos;&amp;lt;"))
     return o.select("o_orderkey", T.decode_markup(one).alias("markup"), T.decode_entities(two).alias("entities"))
@@ -64,7 +69,7 @@ def t03(spark, d):
         .when(k == 4, F.date_format(day, "M/d/yyyy"))
         .otherwise(F.lit("soon"))
     )
-    return A.table(spark, d, "orders").select("o_orderkey", T.iso_or_null(raw).alias("iso"))
+    return table(spark, d, "orders").select("o_orderkey", T.iso_or_null(raw).alias("iso"))
 
 
 @query("t04_posted_on", """
@@ -73,7 +78,7 @@ SELECT o_orderkey, CAST(DATE '2001-08-01' - CASE o_orderkey % 5 WHEN 0 THEN 0 WH
 def t04(spark, d):
     k = F.col("o_orderkey") % 5
     raw = F.when(k == 0, "Posted Today").when(k == 1, "Posted Yesterday").when(k == 2, "Posted 30+ Days Ago").otherwise(F.concat(F.lit("Posted "), F.col("o_orderkey") % 29, F.lit(" Days Ago")))
-    return A.table(spark, d, "orders").select("o_orderkey", T.posted_on(raw, A.now()).cast("string").alias("day"), T.min_age_days(raw).alias("age"))
+    return table(spark, d, "orders").select("o_orderkey", T.posted_on(raw, A.now()).cast("string").alias("day"), T.min_age_days(raw).alias("age"))
 
 
 @query("t05_is_remote", """
@@ -81,14 +86,14 @@ SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AS site, o_orderkey % 4 IN (1, 2) AS
 def t05(spark, d):
     k = F.col("o_orderkey") % 4
     loc = F.when(k == 0, "Virtual office").when(k == 1, "REMOTE, US").when(k == 2, "Distributed team").otherwise("Remoteville")
-    return A.table(spark, d, "orders").select("o_orderkey", T.is_remote(loc, F.col("o_orderpriority")).alias("site"), T.is_remote(loc, words=T.REMOTE_BOARD).alias("board"))
+    return table(spark, d, "orders").select("o_orderkey", T.is_remote(loc, F.col("o_orderpriority")).alias("site"), T.is_remote(loc, words=T.REMOTE_BOARD).alias("board"))
 
 
 @query("t06_display_name", """
 SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Acme ' || c_custkey || ' ' || upper(substr(c_mktsegment, 1, 1)) || substr(lower(c_mktsegment), 2) END AS name FROM customer""")
 def t06(spark, d):
     ident = F.concat(F.lit("acme-"), "c_custkey", F.lit("_"), F.lower("c_mktsegment"))
-    return A.table(spark, d, "customer").select("c_custkey", T.display_name(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(ident), ident).alias("name"))
+    return table(spark, d, "customer").select("c_custkey", T.display_name(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(ident), ident).alias("name"))
 
 
 @query("t07_career_site_url", """
@@ -100,14 +105,14 @@ SELECT page_id, CASE s WHEN 'greenhouse' THEN 'https://job-boards.greenhouse.io/
 def t07(spark, d):
     s = F.expr("CASE page_id % 6 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'workday' WHEN 2 THEN 'smartrecruiters' WHEN 3 THEN 'bamboohr' WHEN 4 THEN 'phenom' ELSE 'workable' END")
     url = F.when(s == "workday", F.concat(T.url_origin(F.col("url")), F.lit("/en/job/x-1"))).when(s == "bamboohr", F.concat(T.url_origin(F.col("url")), F.lit("/careers/12"))).otherwise(F.col("url"))
-    return A.table(spark, d, "pages").select("page_id", T.career_site_url(s, F.concat(F.lit("c"), "page_id"), url).alias("site"))
+    return table(spark, d, "pages").select("page_id", T.career_site_url(s, F.concat(F.lit("c"), "page_id"), url).alias("site"))
 
 
 @query("t08_places", """
 SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN n_name || ', ' || r_name ELSE r_name END AS cleaned, n_name || ', GA, US' AS dashed, CASE WHEN c_custkey % 3 = 0 THEN 'Town ' || c_custkey || ', OH' ELSE n_name END AS city,
   CASE WHEN c_custkey % 3 <> 0 THEN n_name || ', x' END AS place FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def t08(spark, d):
-    c, n, r = (A.table(spark, d, t) for t in ("customer", "nation", "region"))
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
     j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     raw = F.when(F.col("c_custkey") % 2 == 0, F.concat("n_name", F.lit(" , ,"), "r_name")).otherwise(F.concat("r_name", F.lit(", "), "r_name"))
     return j.select(
@@ -125,7 +130,7 @@ def t09(spark, d):
     label = F.when(k % 4 == 0, F.concat(F.lit("Default "), "c_name")).when(k % 4 == 1, F.concat("c_name", F.lit(" - Default"))).when(k % 4 == 2, F.concat("c_name", F.lit(" Job Board"))).otherwise(F.lit("Main Template"))
     generic = F.when(k % 5 == 0, "Current Openings").otherwise(F.col("c_name"))
     title = F.when(k % 5 == 0, "<title>Careers</title>").otherwise(F.concat(F.lit("<TITLE>Firm "), k, F.lit(" Careers</TITLE>")))
-    return A.table(spark, d, "customer").select(
+    return table(spark, d, "customer").select(
         "c_custkey", T.clean_legal_name(legal).alias("legal"), T.strip_board_words(label).alias("label"), T.is_generic_label(generic).alias("generic"), T.name_from_title(title).alias("titled")
     )
 
@@ -137,7 +142,7 @@ def t10(spark, d):
     name = F.when(k % 4 == 1, F.concat("c_name", F.lit(" Sandbox"))).otherwise(F.col("c_name"))
     slug = F.concat(F.lit("acme"), k, F.when(k % 4 == 2, "-review").otherwise(""))
     host = F.concat(F.lit("acme"), F.when(k % 5 == 0, "-uat2").otherwise(""), F.lit(".example.com"))
-    return A.table(spark, d, "customer").select(
+    return table(spark, d, "customer").select(
         "c_custkey", T.is_real(name, slug).alias("real"), T.is_public_site(F.when(k % 3 == 0, "Internal_Jobs").otherwise("External")).alias("public"), T.is_production_host(host).alias("production")
     )
 
@@ -145,7 +150,7 @@ def t10(spark, d):
 @query("t11_slug_candidates", r"""
 WITH c AS (SELECT p_partkey, lower(p_name) AS b FROM part) SELECT p_partkey, regexp_replace(b, '[^a-z0-9]', '', 'g') || ';' || regexp_replace(b, '[^a-z0-9]+', '-', 'g') || ';' || b AS slugs FROM c""")
 def t11(spark, d):
-    return A.table(spark, d, "part").select("p_partkey", F.array_join(T.slug_candidates(F.concat(F.lit(" "), "p_name")), ";").alias("slugs"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.slug_candidates(F.concat(F.lit(" "), "p_name")), ";").alias("slugs"))
 
 
 @query("t12_parse_entry", """
@@ -157,7 +162,7 @@ def t12(spark, d):
     raw = F.expr("""CASE c_custkey % 7 WHEN 0 THEN concat('https://boards-api.greenhouse.io/v1/boards/Acme', c_custkey, '/jobs') WHEN 1 THEN concat('jobs.lever.co/acme', c_custkey, '?x=1')
       WHEN 2 THEN concat('https://acme', c_custkey, '.wd5.myworkdayjobs.com/en-US/Ext/job/1') WHEN 3 THEN concat('https://wd1.myworkdaysite.com/recruiting/acme', c_custkey, '/EXT_', c_custkey)
       WHEN 4 THEN concat(' Acme Co ', c_custkey) WHEN 5 THEN 'what/is this?' ELSE ' ' END""")
-    e = A.table(spark, d, "customer").select(k.alias("k"), T.parse_entry(raw).alias("e"))
+    e = table(spark, d, "customer").select(k.alias("k"), T.parse_entry(raw).alias("e"))
     return e.select("k", "e.ats", "e.slug", "e.site", "e.skip")
 
 
@@ -171,14 +176,14 @@ WITH p AS (SELECT doc_id, regexp_extract_all(text, '{EMAIL_RE}', 0, 'i') AS l FR
 v AS (SELECT doc_id, lower(e) AS e, min(pos) AS pos FROM u GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM v WHERE regexp_matches(e, '{VALID_RE}') AND NOT regexp_matches(e, '{JUNK_RE}'))
 SELECT d.doc_id, coalesce(string_agg(e, ';' ORDER BY rn) FILTER (rn <= 5), '') AS emails FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id""")
 def t14(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.array_join(contacts.emails("text"), ";").alias("emails"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(contacts.emails("text"), ";").alias("emails"))
 
 
 @query("t14_mail_links", """
 SELECT c_custkey, 'sales+' || c_custkey || '@shop.co;info@shop' || c_custkey || '.org;sales%2b' || c_custkey || '@shop.co' AS emails FROM customer""")
 def t14b(spark, d):
     html = F.concat(F.lit('<p>info@shop'), "c_custkey", F.lit('.org me@example.com a@2x.png</p><a href="mailto:Sales%2B'), "c_custkey", F.lit('@shop.co?subject=hi">mail</a> bad%zz'))
-    return A.table(spark, d, "customer").select("c_custkey", F.array_join(contacts.emails(html), ";").alias("emails"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(contacts.emails(html), ";").alias("emails"))
 
 
 @query("t15_phones", """
@@ -186,7 +191,7 @@ SELECT c_custkey, '+1 (555) 010-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4,
 def t15(spark, d):
     n = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
     html = F.concat(F.lit('<a href="tel:+1 (555)%20010-'), n, F.lit('">x</a><a href=\'tel:1555010'), n, F.lit('\'>again</a><a href="tel:123">short</a><a href="tel:0800 123456">y</a>'))
-    return A.table(spark, d, "customer").select("c_custkey", F.array_join(contacts.phones(html), ";").alias("phones"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(contacts.phones(html), ";").alias("phones"))
 
 
 @query("t16_socials", """
@@ -197,7 +202,7 @@ def t16(spark, d):
         F.lit('<a href="https://www.instagram.com/explore">e</a><a href="http://www.instagram.com/shop_'), k, F.lit('/">i</a><a href="https://facebook.com/sharer">s</a>'),
         F.when(k % 2 == 0, F.concat(F.lit('<a href="https://facebook.com/shop.'), k, F.lit('">f</a>'))).otherwise(""), F.lit('<a href="https://x.com/intent?x">t</a><a href="https://x.com/s'), k % 1000, F.lit('">t</a>'),
     )
-    s = A.table(spark, d, "customer").select("c_custkey", contacts.socials(html).alias("s"))
+    s = table(spark, d, "customer").select("c_custkey", contacts.socials(html).alias("s"))
     return s.select("c_custkey", "s.instagram", "s.facebook", "s.twitter", "s.tiktok")
 
 
@@ -209,7 +214,7 @@ def t17(spark, d):
         F.when(k % 2 == 0, "<script src=//static.KLAVIYO.com/x.js>").otherwise(""), F.when(k % 3 == 0, "cdn.judge.me").otherwise(""),
         F.when(k % 5 == 0, "https://connect.facebook.net/en_US/fbevents.js").otherwise(""), F.lit("googletagmanager.com/gtag/js"),
     )
-    return A.table(spark, d, "pages").select("page_id", F.array_join(contacts.apps(F.concat("html", extra)), ";").alias("apps"))
+    return table(spark, d, "pages").select("page_id", F.array_join(contacts.apps(F.concat("html", extra)), ";").alias("apps"))
 
 
 @query("t18_page_facts", r"""
@@ -217,7 +222,7 @@ SELECT page_id, nullif(lower(regexp_extract(html, '(?i)<html[^>]*\slang=["'']?([
 def t18(spark, d):
     extra = F.when(F.col("page_id") % 2 == 0, '<script>Shopify.theme = {"name":"x","id":1,"schema_name":"Dawn\\/2"};</script>').otherwise("")
     url = F.when(F.col("page_id") % 7 == 0, F.lit("https://a.example/password?x")).otherwise(F.col("url"))
-    f = A.table(spark, d, "pages").select("page_id", contacts.page_facts(F.concat("html", extra), url).alias("f"))
+    f = table(spark, d, "pages").select("page_id", contacts.page_facts(F.concat("html", extra), url).alias("f"))
     return f.select("page_id", "f.language", "f.theme", F.col("f.password_protected").alias("locked"))
 
 
@@ -227,7 +232,7 @@ def t19(spark, d):
     home = F.concat(F.lit('<a href="mailto:a@s'), "c_custkey", F.lit('.co">m</a>'))
     contact = F.concat(home, F.lit('<a href="mailto:b@s.co">m</a><a href="https://instagram.com/two">i</a>'))
     # Facts are made once per page; the merge reads them as columns.
-    c = A.table(spark, d, "customer").withColumns({"p1": contacts.page_facts(home), "p2": F.when(F.col("c_custkey") % 3 != 0, contacts.page_facts(contact))})
+    c = table(spark, d, "customer").withColumns({"p1": contacts.page_facts(home), "p2": F.when(F.col("c_custkey") % 3 != 0, contacts.page_facts(contact))})
     m = c.select("c_custkey", contacts.merge_pages(F.col("p1"), F.col("p2")).alias("m"))
     return m.select("c_custkey", F.array_join("m.emails", ";").alias("emails"), F.col("m.socials.instagram").alias("instagram"))
 
@@ -236,7 +241,7 @@ def t19(spark, d):
 
 def pay_texts(spark, d):
     """Order values written as pay lines in five ways."""
-    o = A.table(spark, d, "orders").withColumn("n", F.floor(F.col("o_totalprice") / 5 + 20_000).cast("bigint"))
+    o = table(spark, d, "orders").withColumn("n", F.floor(F.col("o_totalprice") / 5 + 20_000).cast("bigint"))
     money = lambda c: F.format_number(c, 0)
     lo, hi = F.col("n"), F.col("n") + 15_000
     k = F.col("o_orderkey") % 6
@@ -266,7 +271,7 @@ def t20(spark, d):
 @query("t21_norm_text", r"""
 SELECT doc_id, regexp_replace('— – & ' || replace(text, chr(160), ' ') || ' z', '[ \t]+', ' ', 'g') AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)&amp;', '&', 'g'), '(?i)&nbsp;|&#160;|\x{00A0}', ' ', 'g') AS text FROM documents)""")
 def t21(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", T.norm_text(F.concat(F.lit("&mdash;\t&#8211; &AMP; "), "text", F.lit("&#x7a9;z"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", T.norm_text(F.concat(F.lit("&mdash;\t&#8211; &AMP; "), "text", F.lit("&#x7a9;z"))).alias("text"))
 
 
 @query("t22_currency", """
@@ -276,14 +281,14 @@ def t22(spark, d):
     k = F.col("o_orderkey")
     token = F.expr("CASE o_orderkey % 6 WHEN 0 THEN 'us$' WHEN 1 THEN '$' WHEN 2 THEN '£' WHEN 3 THEN 'chf ' WHEN 4 THEN 'xyz' ELSE 'A$' END")
     place = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'Toronto, ON' WHEN 1 THEN 'Sydney' ELSE 'Toronto, US' END")
-    return A.table(spark, d, "orders").select("o_orderkey", pay.currency(token, F.when(k % 4 == 1, "ca").otherwise("US")).alias("currency"), pay.country_hint(place).alias("hint"))
+    return table(spark, d, "orders").select("o_orderkey", pay.currency(token, F.when(k % 4 == 1, "ca").otherwise("US")).alias("currency"), pay.country_hint(place).alias("hint"))
 
 
 @query("t23_annualise", """
 SELECT o_orderkey, CAST(floor(o_totalprice / 1000 * CASE o_orderkey % 5 WHEN 0 THEN 2080 WHEN 1 THEN 260 WHEN 2 THEN 52 WHEN 3 THEN 12 ELSE 1 END + 0.5) AS BIGINT) AS yearly FROM orders""")
 def t23(spark, d):
     period = F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'hour' WHEN 1 THEN 'day' WHEN 2 THEN 'week' WHEN 3 THEN 'month' ELSE 'year' END")
-    return A.table(spark, d, "orders").select("o_orderkey", pay.annualise(F.col("o_totalprice") / 1000, period).alias("yearly"))
+    return table(spark, d, "orders").select("o_orderkey", pay.annualise(F.col("o_totalprice") / 1000, period).alias("yearly"))
 
 
 @query("t24_structured_pay", """
@@ -299,7 +304,7 @@ def t24(spark, d):
         .when(k == 2, F.concat(F.lit('{"leverSalaryRange":{"min":'), n, F.lit(',"max":'), n + 1000, F.lit(',"currency":"gbp","interval":"per-year-salary"}}')))
         .otherwise(F.lit("{}"))
     )
-    o = A.table(spark, d, "orders").withColumn("c", F.from_json(body, pay.STRUCTURED)).select("o_orderkey", pay.structured_pay("c").alias("p"))
+    o = table(spark, d, "orders").withColumn("c", F.from_json(body, pay.STRUCTURED)).select("o_orderkey", pay.structured_pay("c").alias("p"))
     return o.select("o_orderkey", "p.min", "p.max", "p.currency", "p.period", "p.annual_min")
 
 
@@ -319,7 +324,7 @@ TITLES = [  # title, department, type, description, then the tags that must come
 def clinical_rows(spark, d):
     """Orders with one of seven postings each."""
     pick = lambda i: F.element_at(F.array(*[F.lit(t[i]).cast("string") for t in TITLES]), (F.col("o_orderkey") % len(TITLES) + 1).cast("int"))
-    return A.table(spark, d, "orders").select("o_orderkey", pick(0).alias("title"), pick(1).alias("department"), pick(2).alias("employment_type"), pick(3).alias("description"))
+    return table(spark, d, "orders").select("o_orderkey", pick(0).alias("title"), pick(1).alias("department"), pick(2).alias("employment_type"), pick(3).alias("description"))
 
 
 def _case(i: int) -> str:
@@ -370,21 +375,21 @@ def t31(spark, d):
     k = F.col("l_linenumber") % 5
     ab = F.concat(a, F.lit("."), "l_linenumber")
     tag = F.when(k == 0, F.concat(F.lit("v"), ab)).when(k == 1, F.concat(F.lit("pkg@"), ab, F.lit(".3-rc.1"))).when(k == 2, F.concat(F.lit("release-"), ab, F.lit("b3"))).when(k == 3, F.concat(ab, F.lit(".7.4"))).otherwise("latest")
-    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.tag_version(tag).alias("version"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.tag_version(tag).alias("version"))
 
 
 @query("t32_version_key", """
 SELECT l_orderkey, l_linenumber, ((l_linenumber, CAST(l_quantity AS INTEGER)) > (3, 25)) OR ((l_linenumber, CAST(l_quantity AS INTEGER)) = (3, 25) AND l_returnflag <> 'R') AS later FROM lineitem""")
 def t32(spark, d):
     v = F.concat(F.lit("v"), "l_linenumber", F.lit("."), F.col("l_quantity").cast("int"), F.when(F.col("l_returnflag") == "R", "-rc.2").otherwise(".0"))
-    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (V.version_key(v) >= V.version_key(F.lit("3.25.0"))).alias("later"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (V.version_key(v) >= V.version_key(F.lit("3.25.0"))).alias("later"))
 
 
 @query("t33_loose_key", """
 SELECT l_orderkey, l_linenumber, (l_linenumber, CAST(l_quantity AS INTEGER), 0, 4) >= (3, 25, 0, 4) AS later FROM lineitem""")
 def t33(spark, d):
     v = F.concat(F.lit("v"), "l_linenumber", F.lit("-"), F.col("l_quantity").cast("int"), F.lit(".0+4.0"))
-    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (V.loose_key(v) >= V.loose_key(F.lit("3.25.0.4"))).alias("later"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (V.loose_key(v) >= V.loose_key(F.lit("3.25.0.4"))).alias("later"))
 
 
 @query("t34_jump", """
@@ -392,7 +397,7 @@ WITH v AS (SELECT p_partkey, p_size AS a, CAST(p_partkey % 5 AS INTEGER) AS b, C
 SELECT p_partkey, CASE WHEN (a, b, c) = (20, 2, 1) THEN 'same' WHEN (20, 2, 1) > (a, b, c) THEN 'downgrade' WHEN a > 20 THEN 'major' WHEN b > 2 THEN 'minor' ELSE 'patch' END AS kind, CAST(greatest(0, a - 20) AS BIGINT) AS majors FROM v""")
 def t34(spark, d):
     to = F.concat_ws(".", "p_size", F.col("p_partkey") % 5, F.col("p_partkey") % 3)
-    return A.table(spark, d, "part").select("p_partkey", V.jump(F.lit("20.2.1"), to).alias("kind"), V.majors_crossed(F.lit("20.2.1"), to).alias("majors"))
+    return table(spark, d, "part").select("p_partkey", V.jump(F.lit("20.2.1"), to).alias("kind"), V.majors_crossed(F.lit("20.2.1"), to).alias("majors"))
 
 
 @query("t35_repo", """
@@ -401,7 +406,7 @@ def t35(spark, d):
     name = F.concat(F.lit("own"), "p_partkey", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit(".")))
     k = F.col("p_partkey") % 4
     url = F.when(k == 0, F.concat(F.lit("git+https://github.com/"), name, F.lit(".git"))).when(k == 1, F.concat(F.lit("git@GitHub.com:"), name)).when(k == 2, F.concat(F.lit("https://github.com/"), name, F.lit("#readme"))).otherwise("https://gitlab.com/a/b")
-    return A.table(spark, d, "part").select("p_partkey", V.repo(url).alias("repo"))
+    return table(spark, d, "part").select("p_partkey", V.repo(url).alias("repo"))
 
 
 def release_notes(spark, d):
@@ -412,7 +417,7 @@ def release_notes(spark, d):
         F.lit("\n* The option `"), p, F.lit("` takes a list now ([#12](http://x/y))\n- short\n### Misc\n- Dropped support for `pytest` runs\n"),
         F.when(k % 3 == 0, F.concat(F.lit("BREAKING CHANGE: rename of "), F.col("p_name"), F.lit(" needs a new call\n"))).otherwise(""), F.lit("- removed `_private` helper of the tool"),
     )
-    return A.table(spark, d, "part").select("p_partkey", p.alias("sym"), body.alias("body"))
+    return table(spark, d, "part").select("p_partkey", p.alias("sym"), body.alias("body"))
 
 
 @query("t36_breaking_lines", """
@@ -441,7 +446,7 @@ def t38(spark, d):
     pre = F.concat(F.lit("## "), v, F.lit("\n\n## "), v, F.lit("-beta.1\nPreview of the new "), F.col("p_name"), F.lit(" parts.\n## 0.1.0\nold"))
     ruled = F.concat(F.lit("Changes\n=======\n\nVersion "), v, F.lit("\n-------------\n\nRuled text about the "), F.col("p_name"), F.lit(" here.\n\nVersion 0.1.0\n-------------\nold"))
     text = F.when(k == 0, md).when(k == 1, pre).otherwise(ruled)
-    return A.table(spark, d, "part").select("p_partkey", notes.changelog_section(text, v).alias("section"))
+    return table(spark, d, "part").select("p_partkey", notes.changelog_section(text, v).alias("section"))
 
 
 @query("t39_is_pointer", f"""
@@ -449,7 +454,7 @@ WITH b AS (SELECT doc_id, {TRIM.format("text || CASE WHEN doc_id % 4 = 0 THEN '
 SELECT doc_id, length(b) < 400 OR (regexp_matches(b, '(?i)refer to .{{0,40}}CHANGELOG|see .{{0,40}}CHANGELOG|full changelog') AND length(b) < 1500) AS pointer FROM b""")
 def t39(spark, d):
     body = F.concat("text", F.when(F.col("doc_id") % 4 == 0, " Refer to the CHANGELOG").otherwise(""))
-    return A.table(spark, d, "documents").select("doc_id", notes.is_pointer(body).alias("pointer"))
+    return table(spark, d, "documents").select("doc_id", notes.is_pointer(body).alias("pointer"))
 
 
 @query("t40_severity", """
@@ -458,12 +463,12 @@ def t40(spark, d):
     k = F.col("event_id") % 4
     named = F.when(k == 0, "HIGH").otherwise("")
     score = F.when(k == 1, "CVSS:3.1/AV:N/AC:L").otherwise(F.col("value").cast("string"))
-    return A.table(spark, d, "events").select("event_id", V.severity(named, score).alias("severity"))
+    return table(spark, d, "events").select("event_id", V.severity(named, score).alias("severity"))
 
 
 @query("t41_edit_distance", "SELECT c_custkey, CAST(levenshtein(c_name, 'Customer#000000123') AS BIGINT) AS distance FROM customer")
 def t41(spark, d):
-    return A.table(spark, d, "customer").select("c_custkey", V.edit_distance("c_name", F.lit("Customer#000000123")).cast("bigint").alias("distance"))
+    return table(spark, d, "customer").select("c_custkey", V.edit_distance("c_name", F.lit("Customer#000000123")).cast("bigint").alias("distance"))
 
 
 @query("t42_tidy_name", """
@@ -472,7 +477,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN list_aggregate([upper(w[1]) |
 def t42(spark, d):
     raw = F.when(F.col("p_partkey") % 2 == 0, F.upper(F.concat("p_name", F.lit("  llc")))).otherwise(F.concat("p_name", F.lit("  LLC")))
     phone = F.concat(F.when(F.col("p_partkey") % 3 == 0, "1").otherwise(""), F.lit("(555) "), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit(".0199"))
-    return A.table(spark, d, "part").select("p_partkey", T.tidy_name(raw).alias("name"), T.us_phone(phone).alias("phone"), T.not_placeholder(F.when(F.col("p_partkey") % 5 == 0, "N/A").otherwise(F.col("p_name"))).alias("given"))
+    return table(spark, d, "part").select("p_partkey", T.tidy_name(raw).alias("name"), T.us_phone(phone).alias("phone"), T.not_placeholder(F.when(F.col("p_partkey") % 5 == 0, "N/A").otherwise(F.col("p_name"))).alias("given"))
 
 
 @query("t43_labels", """
@@ -480,14 +485,14 @@ SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Technology' WHEN 'O' THEN '
 def t43(spark, d):
     ind = F.expr("CASE o_orderstatus WHEN 'F' THEN 'Computers' WHEN 'O' THEN 'Oil and Gas' ELSE 'Basket weaving' END")
     code = F.expr("CASE o_orderkey % 3 WHEN 0 THEN '06b' WHEN 1 THEN '3C.7' ELSE '99x' END")
-    return A.table(spark, d, "orders").select("o_orderkey", labels.sector(ind).alias("sector"), labels.exemption(code).alias("exemption"))
+    return table(spark, d, "orders").select("o_orderkey", labels.sector(ind).alias("sector"), labels.exemption(code).alias("exemption"))
 
 
 @query("t44_job_state", """
 SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'MA' WHEN 1 THEN 'SD' WHEN 2 THEN 'WV' END AS state FROM customer""")
 def t44(spark, d):
     loc = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('Town', c_custkey, '-MA') WHEN 1 THEN 'SD, Sioux Falls' WHEN 2 THEN 'New York office of west virginia University' ELSE 'Memorial Hospital West' END")
-    return A.table(spark, d, "customer").select("c_custkey", labels.job_state(loc).alias("state"))
+    return table(spark, d, "customer").select("c_custkey", labels.job_state(loc).alias("state"))
 
 
 @query("t45_title_family", """
@@ -501,22 +506,22 @@ SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Per diem / PRN' WHEN 1 THEN
 def t46(spark, d):
     k = F.col("o_orderkey") % 6
     kind = F.when(k == 1, " Full-Time").when(k == 2, "part time").when(k == 3, "Temporary").when(k == 5, "Seasonal")
-    return A.table(spark, d, "orders").select("o_orderkey", labels.employment_kind(F.when(k == 0, "Nurse (per-diem)").otherwise(F.col("o_orderpriority")), kind).alias("kind"))
+    return table(spark, d, "orders").select("o_orderkey", labels.employment_kind(F.when(k == 0, "Nurse (per-diem)").otherwise(F.col("o_orderpriority")), kind).alias("kind"))
 
 
 @query("t48_client_key", "SELECT event_id, sha256('salt' || CAST(user_id AS VARCHAR)) AS client FROM events")
 def t48(spark, d):
-    return A.table(spark, d, "events").select("event_id", T.client_key(F.col("user_id").cast("string"), "salt").alias("client"))
+    return table(spark, d, "events").select("event_id", T.client_key(F.col("user_id").cast("string"), "salt").alias("client"))
 
 
 @query("t49_host_key", r"""
 SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, string_split(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '.')[-2] AS key, nullif(regexp_extract(url, '^https?://[^/?#]+(?:/[^?#]*?)?/([^/?#]+)/?(?:[?#]|$)', 1), '') AS last FROM pages""")
 def t49(spark, d):
-    return A.table(spark, d, "pages").select("page_id", T.url_host("url").alias("host"), T.host_key(T.url_host("url")).alias("key"), T.last_segment("url").alias("last"))
+    return table(spark, d, "pages").select("page_id", T.url_host("url").alias("host"), T.host_key(T.url_host("url")).alias("key"), T.last_segment("url").alias("last"))
 
 
 @query("t50_json_scalar", """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{"k":' || (CAST(json_extract_string(props, '$.k') AS INTEGER) + 1) || '}' AS changed FROM events""")
 def t50(spark, d):
     k = T.json_get("props", "$.k").cast("int")
-    return A.table(spark, d, "events").select("event_id", k.alias("k"), T.json_set("props", "k int", "k", k + 1).alias("changed"))
+    return table(spark, d, "events").select("event_id", k.alias("k"), T.json_set("props", "k int", "k", k + 1).alias("changed"))

@@ -175,15 +175,9 @@ def median_round(df: DataFrame, keys: list[str], value: str, out: str = "median"
 # ---------------------------------------------------------------- A14-A16 catalogues and run statistics
 
 def price_band(df: DataFrame, keys: list[str], price: str) -> DataFrame:
-    """Lowest, highest and upper-middle price. Prices are counted first, so a group's work is its distinct prices."""
-    counts = df.filter(F.col(price).isNotNull()).groupBy(*keys, F.col(price).alias("_p")).agg(F.count("*").alias("_n"))
-    upto = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("_cum", F.sum("_n").over(upto)).withColumn("_tot", F.sum("_n").over(W.partitionBy(*keys)))
-    middle = F.floor(F.col("_tot") / 2) + 1
-    hit = (F.col("_cum") >= middle) & (F.col("_cum") - F.col("_n") < middle)
-    return counts.groupBy(*keys).agg(
-        F.min("_p").alias("price_min"), F.max(F.when(hit, F.col("_p"))).alias("price_median"), F.max("_p").alias("price_max")
-    )
+    """Lowest, upper-middle and highest price."""
+    ends = df.filter(F.col(price).isNotNull()).groupBy(*keys).agg(F.min(price).alias("price_min"), F.max(price).alias("price_max"))
+    return ends.join(exact_median(df, keys, price, "price_median", upper=True), keys).select(*keys, "price_min", "price_median", "price_max")
 
 
 def catalog_facts(products: DataFrame, keys: list[str], now: Column) -> DataFrame:
@@ -270,7 +264,7 @@ def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
     """Counts and shares of the non-null values, commonest first."""
     c = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
     total = c.agg(F.sum("n").alias("_t"))
-    c = c.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")  # one row
+    c = c.withColumn("share", F.col("n") / total.scalar())
     return c.orderBy(F.col("n").desc(), "value").limit(n) if n else c
 
 
@@ -281,7 +275,7 @@ def top_share(df: DataFrame, value: str, tie: str, tops=(10, 25, 50)) -> DataFra
     sums = ranked.agg(*[F.sum(F.when(F.col("_rn") <= t, F.col(value))).alias(f"_s{t}") for t in tops])
     total = df.agg(F.sum(value).alias("_total"))
     stacked = F.explode(F.array(*[F.struct(F.lit(t).alias("top"), (F.col(f"_s{t}") / F.col("_total")).alias("share")) for t in tops]))
-    return sums.crossJoin(total).select(stacked.alias("x")).select("x.*")  # one row each
+    return sums.withColumn("_total", total.scalar()).select(stacked.alias("x")).select("x.*")
 
 
 def threshold_counts(df: DataFrame, col: str, thresholds: list[float]) -> DataFrame:
@@ -315,7 +309,7 @@ def list_counts(df: DataFrame, col: str, sep: str | None = None) -> DataFrame:
     flat = df.select(F.explode(items).alias("value")).filter("value <> ''")
     total = df.agg(F.count("*").alias("_t"))
     c = flat.groupBy("value").agg(F.count("*").alias("n"))
-    return c.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("_t")).alias("share"))  # one row
+    return c.select("value", "n", (F.col("n") / total.scalar()).alias("share"))
 
 
 def cooccur(df: DataFrame, col: str, left: list[str], right: list[str]) -> DataFrame:
@@ -355,7 +349,7 @@ def class_share(df: DataFrame, keys: list[str], cond: Column, value: str, at_lea
 def status_dist(df: DataFrame, status: str, error: str) -> DataFrame:
     c = df.groupBy(F.col(status).alias("status"), F.when(F.col(status) == 0, F.col(error)).alias("error")).agg(F.count("*").alias("n"))
     total = df.agg(F.count("*").alias("_t"))
-    return c.crossJoin(F.broadcast(total)).select("status", "error", "n", (F.col("n") / F.col("_t")).alias("share"))  # one row
+    return c.select("status", "error", "n", (F.col("n") / total.scalar()).alias("share"))
 
 
 def stratified_sample(df: DataFrame, ident: str, value: str, threshold: float, low: int = 200, high: int = 150, seed: int = 42) -> DataFrame:

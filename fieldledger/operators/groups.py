@@ -33,15 +33,28 @@ def _same(keys: list[str], a: DataFrame, b: DataFrame) -> Column:
     return cond
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, out: str = "pos") -> DataFrame:
-    """Exact 1-based position in the group's order."""
-    df = df.withColumn("_b", bucket)
-    pieces = df.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = df.join(pieces, [*keys, "_b"])
-    own = W.partitionBy(*keys, "_b").orderBy(*order)
-    return joined.withColumn(out, F.row_number().over(own) + F.col("_off")).drop("_b", "_off")
+def _before(pieces: DataFrame, keys: list[str], by: str, n: str, out: str) -> DataFrame:
+    """Rows in the pieces in front of each piece."""
+    w = W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    return pieces.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, out: str = "pos", fine: Column | None = None) -> DataFrame:
+    """Exact 1-based position in the group's order.
+
+    `fine` cuts each bucket again (it must not fall along the order inside a bucket): for buckets that may themselves
+    hold a large share of the rows, such as rows without a date.
+    """
+    df = df.withColumn("_b", bucket).withColumn("_f", fine if fine is not None else F.lit(0))
+    small = df.groupBy(*keys, "_b", "_f").agg(F.count("*").alias("_n"))
+    small = _before(small, [*keys, "_b"], "_f", "_n", "_in")
+    large = _before(small.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")), keys, "_b", "_bn", "_out").drop("_bn")
+    offsets = small.join(large, [*keys, "_b"]).select(*keys, "_b", "_f", (F.col("_in") + F.col("_out")).alias("_off")) if fine is not None else large.select(
+        *keys, "_b", F.lit(0).alias("_f"), F.col("_out").alias("_off")
+    )
+    joined = df.join(offsets, [*keys, "_b", "_f"])
+    own = W.partitionBy(*keys, "_b", "_f").orderBy(*order)
+    return joined.withColumn(out, F.row_number().over(own) + F.col("_off")).drop("_b", "_f", "_off")
 
 
 def carried_down(df: DataFrame, keys: list[str], order: str, bucket: Column, value: Column, out: str) -> DataFrame:
@@ -61,8 +74,8 @@ def value_bucket(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.log(F.abs(value) + 1) * 64)).cast("int")
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
-    """Mean of the two middle values per group, nulls left out.
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", upper: bool = False) -> DataFrame:
+    """Mean of the two middle values per group (or the upper one of them), nulls left out.
 
     Equal values are counted first (map-side), a histogram per group finds the one or two buckets the middle ranks
     fall in, and only their values are ranked.
@@ -82,7 +95,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     near = near.withColumn("_at", F.sum("_n").over(inside) + F.col("_off"))
     pick = lambda r: F.max(F.when(holds(F.col(r), F.col("_at"), F.col("_n")), F.col("_v")))
-    return near.groupBy(*keys).agg(((pick("_lo") + pick("_hi")) / 2).alias(out))
+    return near.groupBy(*keys).agg((pick("_hi") if upper else (pick("_lo") + pick("_hi")) / 2).alias(out))
 
 
 def struct_list(df: DataFrame, keys: list[str], rank: str, fields: list[Column], out: str) -> DataFrame:

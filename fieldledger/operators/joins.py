@@ -176,7 +176,7 @@ def near_names(df: DataFrame, name: str, popular: DataFrame, known: str, best: i
     known_names = popular.select(F.col(known).alias("_p")).distinct()
     asked = df.select(F.lower(name).alias("_n")).distinct()
     longest = known_names.agg(F.max(F.length("_p")).alias("_max"))
-    asked = asked.crossJoin(F.broadcast(longest)).filter(F.length("_n") <= F.col("_max") + 2).select("_n")  # one row
+    asked = asked.filter(F.length("_n") <= longest.scalar() + 2)
     left = asked.select("_n", F.explode(_shapes(F.col("_n"))).alias("_s"))
     right = known_names.select("_p", F.explode(_shapes(F.col("_p"))).alias("_s"))
     # The length gap is tested on both strings, and the shared shape already holds it to two.

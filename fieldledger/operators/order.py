@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.notes import confidence_score
-from .groups import first_per_group, top_per_group
+from .groups import first_per_group, numbered, top_per_group
 
 # Seen-set cap, findings kept, notes and advisories cited.
 SEEN_MAX, FINDINGS_MAX, CITED_NOTES, CITED_ADVISORIES = 150_000, 40, 20, 10
@@ -52,8 +52,9 @@ def by_size(df: DataFrame, size: str, n: int, *ties: str) -> DataFrame:
 
 
 def cap_state(state: DataFrame, keys: list[str], n: int = SEEN_MAX) -> DataFrame:
-    """The newest entries of each seen-set."""
-    return top_per_group(state, keys, [F.col("at").desc(), F.col("id")], n)
+    """The newest entries of each seen-set. The cap is large, so positions are worked out day by day."""
+    placed = numbered(state, keys, [F.col("at").desc(), F.col("id")], -F.unix_date(F.to_date("at")), "_pos")
+    return placed.filter(F.col("_pos") <= n).drop("_pos")
 
 
 def citations(registry: Column, repo: Column, notes: Column, advisories: Column) -> Column:

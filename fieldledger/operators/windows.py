@@ -58,7 +58,8 @@ def rolling_usual(runs: DataFrame, n: int = HISTORY_RUNS) -> DataFrame:
     """
     full = runs.filter("is_full").groupBy("day", "source").agg(F.sum("jobs").alias("jobs"))
     days = full.select("day").distinct().withColumn("_run", F.row_number().over(W.orderBy("day")))  # one row per run
-    grid = days.crossJoin(full.select("source").distinct())  # runs x sources: both are run records, not table rows
+    every = full.agg(F.collect_set("source").alias("_all"))  # the crawled systems, a short list
+    grid = days.withColumn("source", F.explode(every.scalar()))
     got = grid.join(full, ["day", "source"], "left")
     frame = W.partitionBy("source").orderBy("_run").rowsBetween(-n, -1)
     past = F.sort_array(F.collect_list("jobs").over(frame))
@@ -180,7 +181,7 @@ def ranks(results: DataFrame, queries: DataFrame, own: Column) -> DataFrame:
 def classify_runs(runs: DataFrame) -> DataFrame:
     """The latest full run, the full runs before it, the catch-ups after it. One row decides for all."""
     last = runs.agg(F.max(F.when(F.col("is_full"), F.col("day"))).alias("_last"))
-    r = runs.crossJoin(F.broadcast(last))  # one row
+    r = runs.withColumn("_last", last.scalar())
     kind = (
         F.when(F.col("is_full") & (F.col("day") == F.col("_last")), "latest")
         .when(F.col("is_full"), "previous")

@@ -10,6 +10,7 @@ from ..functions.versions import jump, majors_crossed, valid_name, valid_version
 from ..operators import joins as J
 from ..operators.order import rank_changes
 from ..operators.windows import dedupe_near
+from ..session import spread
 
 # Fixed value: signals of a squatted name needed to call it suspicious.
 SIGNALS = 2
@@ -36,7 +37,7 @@ def notes_in_range(requests: DataFrame, releases: DataFrame, changelogs: DataFra
 def changes(notes: DataFrame) -> DataFrame:
     """Breaking changes per upgrade: near-identical ones once, ranked, the first forty."""
     order = F.struct(version_key("version").alias("v"), F.col("tag").alias("t"))
-    flat = notes.select("req", "version", "tag", "url", order.alias("o"), F.posexplode(breaking_changes("body")).alias("i", "c"))
+    flat = spread(notes).select("req", "version", "tag", "url", order.alias("o"), F.posexplode(breaking_changes("body")).alias("i", "c"))
     flat = flat.select("req", "version", "tag", "url", F.struct("o", "i").alias("pos"), "c.*")
     return rank_changes(dedupe_near(flat, ["req"]), ["req"])
 

@@ -34,7 +34,7 @@ def history(weekly: DataFrame, daily: DataFrame) -> DataFrame:
 def rankings(results: DataFrame, queries: DataFrame, own: Column) -> DataFrame:
     """Q15: the latest day's places; a query without one of ours says so."""
     last = results.agg(F.max("date").alias("_d"))
-    today = results.join(F.broadcast(last), F.col("date") == F.col("_d"), "left_semi")  # one row
+    today = results.filter(F.col("date") == last.scalar())
     return ranks(today, queries, own).withColumn("name", F.coalesce("name", F.lit("Not in top 100")))
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may be changed on a running session.
 RUNTIME = {
@@ -45,3 +45,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy per-row work on a small input.
+
+    Inputs smaller than one read split per core are read by fewer tasks than there are cores; only then are the rows
+    dealt out over all of them. Larger inputs are left as they are read, without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    return df.repartition(cores) if size < cores * split else df

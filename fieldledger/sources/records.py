@@ -9,6 +9,7 @@ from ..functions import labels as L
 from ..functions import text as T
 from ..functions.versions import repo, severity, tag_version
 from ..operators.joins import advisory_fixed
+from ..session import spread
 
 # Release text kept, advisories read.
 RELEASE_CHARS, ADVISORIES, SUMMARY_CHARS = 8_000, 25, 300
@@ -65,7 +66,7 @@ def _join(sep: str, parts: Column) -> Column:
 def form_d(raw: DataFrame) -> DataFrame:
     """Form D documents (`accession`, `cik`, `file_name`, `filed_at`, `body`) to flat records with nested people."""
     # A one-element explode keeps filters on the result from being pushed below the parse, where each would parse again.
-    x = raw.select("*", F.explode(F.array(F.from_xml("body", FORM_D))).alias("x"))
+    x = spread(raw).select("*", F.explode(F.array(F.from_xml("body", FORM_D))).alias("x"))
     x = x.selectExpr("*", "x.primaryIssuer AS i", "x.offeringData AS o", "x.primaryIssuer.issuerAddress AS a")
     i, o, a = F.col("i"), F.col("o"), F.col("a")
     fund_type = o["industryGroup"]["investmentFundInfo"]["investmentFundType"]

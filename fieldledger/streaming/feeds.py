@@ -19,9 +19,9 @@ def monitor_key(*filters: str) -> str:
 
 
 def new_since(df: DataFrame, state: DataFrame, key: str, seen: str = "first_seen") -> DataFrame:
-    """Rows first seen after the key's mark; without a mark all rows. The state's one row is joined, not collected."""
+    """Rows first seen after the key's mark; without a mark all rows. The mark is a scalar subquery, not collected."""
     mark = state.filter(F.col("key") == key).agg(F.max("seen_through").alias("_mark"))
-    return df.crossJoin(F.broadcast(mark)).filter(F.col("_mark").isNull() | (F.col(seen) > F.col("_mark"))).drop("_mark")  # one row
+    return df.withColumn("_mark", mark.scalar()).filter(F.col("_mark").isNull() | (F.col(seen) > F.col("_mark"))).drop("_mark")
 
 
 def advance(state: DataFrame, key: str, indexed_at: Column, now: Column, completed: bool = True, move_on_partial: bool = True) -> DataFrame:

@@ -54,10 +54,8 @@ def scd_stream(stream: DataFrame, base: str, checkpoint: str, day: str, attrs: l
             table = snap.select("id", *attrs, stamp.alias("first_seen"), stamp.alias("last_seen"))
         else:
             stored = spark.read.parquet(f"{base}/{old}")
-            at = batch.agg(F.max(day).alias("_at"))
-            snap_now = snap.drop("_day")
-            table = merge_snapshot(stored.crossJoin(F.broadcast(at)).drop("_at"), snap_now, F.lit(None).cast("timestamp_ntz"), attrs)
-            table = table.crossJoin(F.broadcast(at)).withColumns({c: F.coalesce(c, "_at") for c in ("first_seen", "last_seen")}).drop("_at")  # one row
+            at = batch.agg(F.max(day).alias("_at")).scalar()
+            table = merge_snapshot(stored, snap.drop("_day"), at, attrs)
         table.write.mode("overwrite").parquet(f"{base}/v{number}")
         write_text(spark, f"{base}/CURRENT", f"v{number}")
 

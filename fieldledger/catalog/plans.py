@@ -12,7 +12,7 @@ from ..plans import jobs as PJ
 from ..plans import releases as PR
 from ..plans import reports as PO
 from ..plans import stores as PS
-from ..session import shared_dir, spread
+from ..session import saver, shared_dir, spread
 from ..sources import index as I
 from .aggregates import fetches
 from .filters import FILING_Q, filings, market, stores
@@ -76,12 +76,7 @@ def night(spark, d):
     snap = day.groupBy(F.expr("concat(user_id, ':', event_type) AS id"), F.expr("event_type AS source"), F.expr("concat('u', user_id) AS company")).agg(F.count("*").alias("_n")).drop("_n")
     got = fetches(spark, d).join(day.select(col("event_id").alias("seq")), "seq", "left_semi")
     runs = A.company_runs(spark, d).filter("day < DATE'2024-01-20'").withColumn("note", F.when(~col("ok"), "error"))
-    root = shared_dir(spark, "night")
-
-    def save(df, name):
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
-
+    save = saver(spark, "night")
     return PJ.nightly(base, snap, got, runs, A.ts("2024-01-20 00:00:00"), A.ts("2024-01-19 00:00:00"), ["source", "company"], save)
 
 
@@ -227,7 +222,7 @@ DELTA = ["req", "kind", "majors", "releases_in_range", "notes_found", "target_do
 
 @query("q10_migration_delta", f"WITH @delta SELECT {', '.join(DELTA)} FROM delta")
 def q10(spark, d):
-    return PR.migration_delta(*release_tables(spark, d)).select(*DELTA)
+    return PR.migration_delta(*release_tables(spark, d), saver(spark, "q10")).select(*DELTA)
 
 
 @query("q11_package_check", """
@@ -251,7 +246,7 @@ def q12(spark, d):
     req, packages, notes, logs, adv = release_tables(spark, d)
     req = req.withColumn("pkg_name", F.when(col("req") % 17 == 0, "../etc").otherwise(cat(lit("pkg-"), "req")))
     packages = packages.filter("pkg % 19 <> 0")
-    return PR.manifest_delta(req, packages, notes, logs, adv).select("req", "status", "kind", "breaking")
+    return PR.manifest_delta(req, packages, notes, logs, adv, saver(spark, "q12")).select("req", "status", "kind", "breaking")
 
 
 @query("q13_drop_alerts", """

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import normal_key
 from ..functions.versions import loose_key, version_key
+from ..session import cut
 from .groups import first_per_group, struct_list, top_per_group
 
 # Days a row stays published, stored, and unseen before it is closed; the join limit of a late text join.
@@ -84,12 +85,12 @@ def archive_closed(closed: DataFrame, dim: DataFrame, tags: DataFrame, ident: st
 def attach_text(top: DataFrame, texts: DataFrame, limit: int | None = None) -> DataFrame:
     """Text for the delivered rows only.
 
-    The inner join lets the few delivered ids be the small side; the outer join then meets only their own hits. The
-    ids are broadcast only where a `limit` bounds them.
+    The inner join lets the few delivered ids be the small side; the outer join then meets only their own hits. Where
+    a `limit` bounds the rows they are checkpointed, so the search behind them runs once, and broadcast.
     """
-    ids = top.select("id")
-    if limit is not None and limit <= SMALL_ROWS:
-        ids = F.broadcast(ids)
+    small = limit is not None and limit <= SMALL_ROWS
+    top = cut(top) if small else top
+    ids = F.broadcast(top.select("id")) if small else top.select("id")
     hits = texts.join(ids, "id").select("id", F.col("text").alias("description"))
     return top.join(hits, "id", "left").withColumn("description", F.coalesce("description", F.lit("")))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.notes import breaking_changes, changelog_section, is_pointer
 from ..functions.versions import jump, majors_crossed, valid_name, valid_version, version_key
 from ..operators import joins as J
+from ..operators.groups import first_per_group
 from ..operators.order import rank_changes
 from ..operators.windows import dedupe_near
 from ..session import spread
@@ -16,14 +17,12 @@ from ..session import spread
 SIGNALS = 2
 
 
-def notes_in_range(requests: DataFrame, releases: DataFrame, changelogs: DataFrame) -> DataFrame:
+def notes_in_range(requests: DataFrame, releases: DataFrame, changelogs: DataFrame, save=lambda df, name: df) -> DataFrame:
     """Notes of each upgrade (`req`); a missing or pointer-only target note gives way to the changelog's section."""
     found = J.in_range(releases, requests).select("req", "pkg", "version", "tag", "url", "body", "pos", (version_key("version") == version_key("to_version")).alias("is_target"))
     # A tag once per upgrade.
     found = found.withColumn("_p", F.col("pos"))
-    from ..operators.groups import first_per_group
-
-    found = first_per_group(found, ["req", "tag"], [F.col("_p")]).drop("_p")
+    found = save(first_per_group(found, ["req", "tag"], [F.col("_p")]).drop("_p"), "found")
     good = found.filter("is_target").groupBy("req").agg(F.max((~is_pointer("body")).cast("int")).alias("good"))
     need = requests.join(good, "req", "left").filter("coalesce(good, 0) = 0")
     section = need.join(changelogs, "pkg").select(
@@ -42,9 +41,9 @@ def changes(notes: DataFrame) -> DataFrame:
     return rank_changes(dedupe_near(flat, ["req"]), ["req"])
 
 
-def migration_delta(requests: DataFrame, packages: DataFrame, releases: DataFrame, changelogs: DataFrame, advisories: DataFrame) -> DataFrame:
+def migration_delta(requests: DataFrame, packages: DataFrame, releases: DataFrame, changelogs: DataFrame, advisories: DataFrame, save=lambda df, name: df) -> DataFrame:
     """Q10: one row per upgrade (`req, pkg, from_version, to_version`): kind of jump, what breaks, what it fixes, and how well it is documented."""
-    notes = notes_in_range(requests, releases, changelogs)
+    notes = save(notes_in_range(requests, releases, changelogs, save), "notes")  # read for coverage and for changes
     cover = notes.groupBy("req").agg(F.count("*").alias("notes_found"), F.max("is_target").alias("target_documented"))
     found = changes(notes)
     what = found.groupBy("req").agg(
@@ -76,7 +75,7 @@ def package_check(names: DataFrame, packages: DataFrame, popular: DataFrame) ->
     )
 
 
-def manifest_delta(requests: DataFrame, packages: DataFrame, *tables: DataFrame) -> DataFrame:
+def manifest_delta(requests: DataFrame, packages: DataFrame, *tables) -> DataFrame:
     """Q12: a batch of upgrades; a row that cannot be answered says why and stops no other."""
     bad = ~(valid_name("pkg_name") & valid_version("from_version") & valid_version("to_version"))
     r = requests.join(packages.select("pkg", F.lit(True).alias("_has")), "pkg", "left")

@@ -47,6 +47,25 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows checkpointed in the shared folder, so that two uses of a small result do not run its plan twice."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
+
+
+def saver(spark: SparkSession, purpose: str):
+    """A function that writes a working table once and reads it back, for tables several steps read."""
+    root = shared_dir(spark, purpose)
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    return save
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for heavy per-row work on a small input.
 

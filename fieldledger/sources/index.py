@@ -58,11 +58,16 @@ def shard_stats(df: DataFrame, posted: str = "posted_at", seen: str = "first_see
 
 
 def surviving(manifest: DataFrame, cutoff: Column | None = None, seen_after: Column | None = None) -> DataFrame:
-    """Shards a query must read. A shard with undated rows cannot be ruled out by date."""
+    """Shards a query must read. A shard with undated rows cannot be ruled out by date, and one without a
+    first-seen statistic not by that.
+
+    The tests are plain comparisons: those Spark counts as selective, which is what makes it prune partitions by them.
+    """
     if cutoff is not None:
-        manifest = manifest.filter(~((F.col("undated") == 0) & F.coalesce(F.col("newest") < cutoff, F.lit(False))))
+        manifest = manifest.filter((F.col("undated") > 0) | (F.col("newest") >= cutoff))
     if seen_after is not None:
-        manifest = manifest.filter(F.coalesce(F.col("newest_first_seen") > seen_after, F.lit(True)))
+        always = F.lit("9999-01-01 00:00:00").cast("timestamp_ntz")
+        manifest = manifest.filter(F.coalesce("newest_first_seen", always) > seen_after)
     return manifest
 
 

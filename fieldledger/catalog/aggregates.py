@@ -314,7 +314,7 @@ def a27(spark, d):
 
 @query("a28_domain_rollup", """
 SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, CAST(sum(page_id) AS BIGINT) AS calls, max(length(html)) AS max_payers, count(*) AS endpoints,
-  round(coalesce(sum(CASE WHEN page_id % 3 <> 0 THEN page_id * 0.25 * page_id END), 0), 2) AS revenue FROM pages GROUP BY 1""")
+  round(CAST(coalesce(sum(CASE WHEN page_id % 3 <> 0 THEN page_id * 0.25 * page_id END), 0) AS DOUBLE), 2) AS revenue FROM pages GROUP BY 1""")
 def a28(spark, d):
     p = A.table(spark, d, "pages").withColumns({"n": F.length("html"), "price": F.expr("CASE WHEN page_id % 3 <> 0 THEN page_id * 0.25D END")})
     return G.domain_rollup(p, url_host("url"), "page_id", "n", "price")

@@ -110,7 +110,7 @@ def q03b(spark, d):
 @query("q04_publish", """
 WITH @postings, @health, live AS (SELECT p.*, h.system FROM postings p LEFT JOIN health h ON h.key = p.source || ':' || p.company),
 t AS (SELECT *, row_number() OVER (ORDER BY posted_at DESC NULLS LAST, id) AS pos FROM live)
-SELECT id, CAST((pos - 1) // 500 AS INTEGER) AS shard, 40000.0 + k AS pay_min, 60000.0 + k AS pay_max, 'USD' AS currency, 'year' AS pay_period, CASE WHEN system IS NOT NULL THEN CASE WHEN title LIKE '%engineer' THEN 'Non-clinical' ELSE 'Registered nurse' END END AS role_family,
+SELECT id, CAST((pos - 1) // 500 AS INTEGER) AS shard, CAST(40000 + k AS DOUBLE) AS pay_min, CAST(60000 + k AS DOUBLE) AS pay_max, 'USD' AS currency, 'year' AS pay_period, CASE WHEN system IS NOT NULL THEN CASE WHEN title LIKE '%engineer' THEN 'Non-clinical' ELSE 'Registered nurse' END END AS role_family,
   CASE WHEN system IS NOT NULL THEN CASE WHEN title LIKE '%engineer' THEN '' ELSE 'BLS' END END AS licenses FROM t""")
 def q04(spark, d):
     p = A.postings(spark, d).drop("pay_min", "pay_max", "currency")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -11,6 +13,20 @@ from ..streaming import feeds as E
 from ..streaming import streams as S
 from .registry import query
 
+
+
+@contextmanager
+def state_sized(spark):
+    """No more state partitions than two per core; a stream keeps the number it starts with. On a cluster nothing changes."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(old), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 CUTS = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "2025-01-01"]
 
 
@@ -60,7 +76,8 @@ def r03b(spark, d):
     e = A.table(spark, d, "events").select(F.expr("concat(user_id, ':', event_type) AS id"), F.col("ts").cast("timestamp").alias("ts"))
     root = shared_dir(spark, "r03")
     in_files(e, "ts", CUTS, root + "/in")
-    S.seen_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), "ts", root + "/out", root + "/cp")
+    with state_sized(spark):
+        S.seen_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), "ts", root + "/out", root + "/cp")
     return spark.read.parquet(root + "/out").select("id")
 
 
@@ -97,7 +114,8 @@ def r06(spark, d):
     e = A.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("client"))
     root = shared_dir(spark, "r06")
     in_files(e, "ts", CUTS, root + "/in")
-    S.rate_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), "ts", "client", root + "/out", root + "/cp")
+    with state_sized(spark):
+        S.rate_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), "ts", "client", root + "/out", root + "/cp")
     return S.last_update(spark, root + "/out", ["start", "client"]).withColumn("start", F.col("start").cast("string"))
 
 
@@ -106,7 +124,8 @@ def r07(spark, d):
     e = A.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
     root = shared_dir(spark, "r07")
     in_files(e, "ts", CUTS, root + "/in")
-    S.daily_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), "ts", "value", root + "/out", root + "/cp")
+    with state_sized(spark):
+        S.daily_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), "ts", "value", root + "/out", root + "/cp")
     return S.last_update(spark, root + "/out", ["day"]).select(F.to_date("day").cast("string").alias("day"), "calls", F.round("amount", 4).alias("amount"))
 
 
@@ -123,7 +142,8 @@ def r08(spark, d):
     days = loads(spark, d)
     root = shared_dir(spark, "r08")
     in_files(days, "day", CUTS, root + "/in")
-    S.guard_stream(S.file_stream(spark, root + "/in", days.schema, per_trigger=1), root + "/out", root + "/cp")
+    with state_sized(spark):
+        S.guard_stream(S.file_stream(spark, root + "/in", days.schema, per_trigger=1), root + "/out", root + "/cp")
     return spark.read.parquet(root + "/out")
 
 
@@ -133,6 +153,7 @@ def r09(spark, d):
     p = A.postings(spark, d).select("id", F.col("posted_at").cast("timestamp").alias("posted_at"), F.col("first_seen").cast("timestamp").alias("first_seen"))
     root = shared_dir(spark, "r09")
     in_files(p, "first_seen", ["1900-01-01", "1997-01-01", "1999-01-01", "2100-01-01"], root + "/in")
-    S.late_policy(S.file_stream(spark, root + "/in", p.schema, per_trigger=1), root + "/out", root + "/cp")
+    with state_sized(spark):
+        S.late_policy(S.file_stream(spark, root + "/in", p.schema, per_trigger=1), root + "/out", root + "/cp")
     u = S.last_update(spark, root + "/out", ["start", "day"])
     return u.groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("n").alias("n"))

@@ -258,7 +258,7 @@ def pay_texts(spark, d):
 
 PAY_SQL = """
 WITH p AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(floor(o_totalprice / 5 + 20000) AS BIGINT) AS n, CASE WHEN o_orderkey % 4 = 0 THEN 'CAD' ELSE 'USD' END AS dollar FROM orders)
-SELECT o_orderkey, CASE WHEN k IN (0, 1, 3) THEN CAST(n AS DOUBLE) WHEN k = 2 THEN n // 2080 + 0.5 END AS "min", CASE WHEN k IN (0, 1, 3) THEN n + 15000.0 WHEN k = 2 THEN n // 2080 + 0.5 END AS "max",
+SELECT o_orderkey, CASE WHEN k IN (0, 1, 3) THEN CAST(n AS DOUBLE) WHEN k = 2 THEN n // 2080 + 0.5 END AS "min", CAST(CASE WHEN k IN (0, 1, 3) THEN n + 15000.0 WHEN k = 2 THEN n // 2080 + 0.5 END AS DOUBLE) AS "max",
   CASE k WHEN 0 THEN dollar WHEN 1 THEN 'EUR' WHEN 2 THEN dollar WHEN 3 THEN 'GBP' END AS currency, CASE WHEN k IN (0, 1, 3) THEN 'year' WHEN k = 2 THEN 'hour' END AS period,
   CASE WHEN k IN (0, 1, 3) THEN n WHEN k = 2 THEN (n // 2080) * 2080 + 1040 END AS annual_min, CASE WHEN k IN (0, 1, 3) THEN n + 15000 WHEN k = 2 THEN (n // 2080) * 2080 + 1040 END AS annual_max FROM p"""
 
@@ -354,7 +354,7 @@ def t28(spark, d):
     return clinical_rows(spark, d).select("o_orderkey", clinical.employment("title", "employment_type").alias("employment"))
 
 
-@query("t29_bonus", f"SELECT o_orderkey, {_case(10)} AS amount, {_case(10)} IS NOT NULL AS offered FROM orders")
+@query("t29_bonus", f"SELECT o_orderkey, CAST({_case(10)} AS DOUBLE) AS amount, {_case(10)} IS NOT NULL AS offered FROM orders")
 def t29(spark, d):
     c = clinical_rows(spark, d).withColumn("offered", clinical.has_bonus("title", "description"))
     return c.select("o_orderkey", clinical.bonus_amount("title", "description", F.col("offered")).alias("amount"), "offered")

@@ -1,4 +1,4 @@
-"""Incremental and streaming operators R01-R09 over the given tables. Streams read the tables in several files, one a batch."""
+"""Incremental and streaming operators R01-R09 over the given tables. The tables arrive in spans; each stream runs after each span."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from ..streaming import streams as S
 from .registry import query
 
 
-
 @contextmanager
 def state_sized(spark):
     """No more state partitions than two per core; a stream keeps the number it starts with. On a cluster nothing changes."""
@@ -30,11 +29,11 @@ def state_sized(spark):
 CUTS = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "2025-01-01"]
 
 
-def in_files(df, column, cuts, path):
-    """The table in one file group per span, written in order (a file source takes files by age)."""
+def arriving(df, column, cuts, path):
+    """The table written span by span; after each span the caller runs its stream, which goes on from its checkpoint."""
     for lo, hi in zip(cuts, cuts[1:]):
-        df.filter((F.col(column) >= lo) & (F.col(column) < hi)).coalesce(1).write.mode("append").parquet(path)
-    return path
+        df.filter((F.col(column) >= lo) & (F.col(column) < hi)).write.mode("append").parquet(path)
+        yield path
 
 
 @query("r01_new_since", """
@@ -48,16 +47,20 @@ def r01(spark, d):
 
 
 @query("r02_partial_runs", """
-SELECT * FROM (VALUES ('keeps', '2000-06-01 00:00:00', 3), ('moves', '2001-07-31 00:00:00', 3), ('never back', '2000-06-01 00:00:00', 3)) t(kind, seen_through, runs)""")
+WITH @postings, m(kind, mark) AS (VALUES ('keeps', TIMESTAMP '2000-06-01'), ('moves', TIMESTAMP '2001-03-01'), ('never back', TIMESTAMP '2000-06-01'))
+SELECT kind, source, count(*) AS next_rows, max(id) AS last_id FROM postings JOIN m ON first_seen > mark GROUP BY kind, source""")
 def r02(spark, d):
+    """What the run after a cut run returns, for feeds that keep the mark and feeds that move it."""
     p = A.postings(spark, d)
-    newest = p.agg(F.max("posted_at").alias("m"))
-    state = newest.select(F.lit("k1").alias("key"), A.ts("2000-06-01 00:00:00").alias("seen_through"), A.ts("2000-06-01 00:00:00").alias("last_run"), F.lit(2).alias("runs"))
-    at = A.ts("2001-07-31 00:00:00")
-    out = lambda kind, s: s.select(F.lit(kind).alias("kind"), F.col("seen_through").cast("string").alias("seen_through"), "runs")
-    a = out("keeps", E.advance(state, "k1", at, A.now(), completed=False, move_on_partial=False))
-    b = out("moves", E.advance(state, "k1", at, A.now(), completed=False, move_on_partial=True))
-    return a.unionByName(b).unionByName(out("never back", E.advance(state, "k1", A.ts("1999-01-01 00:00:00"), A.now())))
+    old, at = A.ts("2000-06-01 00:00:00"), A.ts("2001-03-01 00:00:00")
+    state = p.agg(F.count("*")).select(F.lit("k1").alias("key"), old.alias("seen_through"), old.alias("last_run"), F.lit(2).alias("runs"))
+    after = {
+        "keeps": E.advance(state, "k1", at, A.now(), completed=False, move_on_partial=False),
+        "moves": E.advance(state, "k1", at, A.now(), completed=False, move_on_partial=True),
+        "never back": E.advance(state, "k1", A.ts("1999-01-01 00:00:00"), A.now()),
+    }
+    runs = [E.new_since(p, s, "k1").groupBy("source").agg(F.count("*").alias("next_rows"), F.max("id").alias("last_id")).withColumn("kind", F.lit(k)) for k, s in after.items()]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("kind", "source", "next_rows", "last_id")
 
 
 @query("r03_seen_feed", """
@@ -75,9 +78,9 @@ def r03(spark, d):
 def r03b(spark, d):
     e = A.table(spark, d, "events").select(F.expr("concat(user_id, ':', event_type) AS id"), F.col("ts").cast("timestamp").alias("ts"))
     root = shared_dir(spark, "r03")
-    in_files(e, "ts", CUTS, root + "/in")
-    with state_sized(spark):
-        S.seen_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), "ts", root + "/out", root + "/cp")
+    for path in arriving(e, "ts", CUTS, root + "/in"):
+        with state_sized(spark):
+            S.seen_stream(S.file_stream(spark, path, e.schema), "ts", root + "/out", root + "/cp")
     return spark.read.parquet(root + "/out").select("id")
 
 
@@ -101,8 +104,8 @@ SELECT id, source, CAST(CASE WHEN b0 = 1 THEN d1 ELSE m0.at END AS VARCHAR) AS f
 def r05(spark, d):
     e = A.table(spark, d, "events").selectExpr("concat(user_id, ':', event_type) AS id", "event_type AS source", "cast(date_trunc('day', ts) AS timestamp_ntz) AS day")
     root = shared_dir(spark, "r05")
-    in_files(e, "day", CUTS, root + "/in")
-    S.scd_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), root + "/table", root + "/cp", "day", ["source"])
+    for path in arriving(e, "day", CUTS, root + "/in"):
+        S.scd_stream(S.file_stream(spark, path, e.schema), root + "/table", root + "/cp", "day", ["source"])
     t = spark.read.parquet(f"{root}/table/{S.current(spark, root + '/table')}")
     day = lambda c: F.to_date(c).cast("string").alias(c)
     return t.select("id", "source", day("first_seen"), day("last_seen"))
@@ -113,9 +116,9 @@ SELECT CAST(time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(CAST(5 * i AS INTEGE
 def r06(spark, d):
     e = A.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("client"))
     root = shared_dir(spark, "r06")
-    in_files(e, "ts", CUTS, root + "/in")
-    with state_sized(spark):
-        S.rate_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), "ts", "client", root + "/out", root + "/cp")
+    for path in arriving(e, "ts", CUTS, root + "/in"):
+        with state_sized(spark):
+            S.rate_stream(S.file_stream(spark, path, e.schema), "ts", "client", root + "/out", root + "/cp")
     return S.last_update(spark, root + "/out", ["start", "client"]).withColumn("start", F.col("start").cast("string"))
 
 
@@ -123,9 +126,9 @@ def r06(spark, d):
 def r07(spark, d):
     e = A.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
     root = shared_dir(spark, "r07")
-    in_files(e, "ts", CUTS, root + "/in")
-    with state_sized(spark):
-        S.daily_stream(S.file_stream(spark, root + "/in", e.schema, per_trigger=1), "ts", "value", root + "/out", root + "/cp")
+    for path in arriving(e, "ts", CUTS, root + "/in"):
+        with state_sized(spark):
+            S.daily_stream(S.file_stream(spark, path, e.schema), "ts", "value", root + "/out", root + "/cp")
     return S.last_update(spark, root + "/out", ["day"]).select(F.to_date("day").cast("string").alias("day"), "calls", F.round("amount", 4).alias("amount"))
 
 
@@ -141,9 +144,9 @@ def r08(spark, d):
 
     days = loads(spark, d)
     root = shared_dir(spark, "r08")
-    in_files(days, "day", CUTS, root + "/in")
-    with state_sized(spark):
-        S.guard_stream(S.file_stream(spark, root + "/in", days.schema, per_trigger=1), root + "/out", root + "/cp")
+    for path in arriving(days, "day", CUTS, root + "/in"):
+        with state_sized(spark):
+            S.guard_stream(S.file_stream(spark, path, days.schema), root + "/out", root + "/cp")
     return spark.read.parquet(root + "/out")
 
 
@@ -152,8 +155,8 @@ WITH @postings SELECT CAST(CASE WHEN posted_at < first_seen THEN posted_at ELSE
 def r09(spark, d):
     p = A.postings(spark, d).select("id", F.col("posted_at").cast("timestamp").alias("posted_at"), F.col("first_seen").cast("timestamp").alias("first_seen"))
     root = shared_dir(spark, "r09")
-    in_files(p, "first_seen", ["1900-01-01", "1997-01-01", "1999-01-01", "2100-01-01"], root + "/in")
-    with state_sized(spark):
-        S.late_policy(S.file_stream(spark, root + "/in", p.schema, per_trigger=1), root + "/out", root + "/cp")
+    for path in arriving(p, "first_seen", ["1900-01-01", "1997-01-01", "1999-01-01", "2100-01-01"], root + "/in"):
+        with state_sized(spark):
+            S.late_policy(S.file_stream(spark, path, p.schema), root + "/out", root + "/cp")
     u = S.last_update(spark, root + "/out", ["start", "day"])
     return u.groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("n").alias("n"))

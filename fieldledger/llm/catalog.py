@@ -17,6 +17,30 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+#: Words of a text, as the operators read them (DuckDB).
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+
+
+@query
+def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldledger.llm.recompression import kept_digest
+
+    return kept_digest(table(spark, sf_dir, "documents"))
+
+
+SQL["op1_recompression"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS k FROM s),
+m AS (SELECT k, min(doc_id) AS least FROM h GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p + j AS p FROM (SELECT h.doc_id, p, unnest(range(0, 50)) AS j FROM h JOIN m USING (k) WHERE least < h.doc_id)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p WHERE gone.p IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldledger.llm.order_minhash import fingerprints

@@ -82,34 +82,54 @@ def join2(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) + mix(b ^ np.uint64(0xD6E8FEB86659FD93 ^ salt)) * np.uint64(0xA0761D6478BD642F)
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered between tasks of one worker; forgets all when `room` words are held."""
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
-    def __init__(self, room: int = 400_000):
-        import xxhash
 
-        self.room, self.known, self.digest = room, {}, xxhash.xxh3_64_intdigest
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, digest = self.known, self.digest
-        if len(known) > self.room:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
-
-
-_HASHES: list[WordHashes] = []
+class Words:
+    """Words of a column of texts (null: none) with a 64-bit hash each, read from the bytes of the whole column at once.
 
+    Word i is bytes `start[i]:end[i]` of `bytes`; document k has words `first[k]:first[k + 1]`. `fold` lower-cases A-Z.
+    """
 
-def word_hashes() -> WordHashes:
-    if not _HASHES:
-        _HASHES.append(WordHashes())
-    return _HASHES[0]
+    def __init__(self, column, fold: bool = False):
+        import pyarrow as pa
+
+        arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        if isinstance(arr, pa.ChunkedArray):
+            arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], pa.string())
+        arr = arr.fill_null("").cast(pa.large_string())
+        at = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1] if len(arr) else np.zeros(1, np.int64)
+        data = arr.buffers()[2] if len(arr) else None
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.empty(0, np.uint8)
+        at = at - at[0]
+        self.bytes = np.concatenate([_FOLD[raw] if fold else raw, np.zeros(8, np.uint8)])
+        letter = np.concatenate([~_SPACE[raw], [False]])
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[at] = True  # a document starts here
+        self.start = np.flatnonzero(letter[:-1] & (cut[:-1] | np.concatenate([[True], ~letter[:-2]]))) if len(raw) else np.empty(0, np.int64)
+        self.end = np.flatnonzero(letter[:-1] & (cut[1:] | ~letter[1:])) + 1 if len(raw) else np.empty(0, np.int64)
+        self.first = np.searchsorted(self.start, at)
+        self.count = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(arr)), self.count)
+        self.offsets = at
+
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        size = self.end - self.start
+        eights = np.lib.stride_tricks.as_strided(self.bytes[:8].view(np.uint64), (len(self.bytes) - 7,), (1,), writeable=False)
+        h = mix((eights[self.start] & _MASK[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)))
+        at, k = np.flatnonzero(size > 8), 8
+        while len(at):
+            h[at] = mix(h[at] * np.uint64(0xA0761D6478BD642F) + (eights[self.start[at] + k] & _MASK[np.minimum(size[at] - k, 8)]))
+            k += 8
+            at = at[size[at] > k]
+        return h
+
+    def text(self, i: int) -> bytes:
+        return self.bytes[self.start[i] : self.end[i]].tobytes()
 
 
 def windows(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:

@@ -41,6 +41,26 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+@query
+def op3_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldledger.llm.jaccard_tree import near_components
+
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+SQL["op3_jaccard_tree"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 80 * (nx.n + ny.n - i)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.y) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id
+"""
+
+
 @query
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldledger.llm.order_minhash import fingerprints

@@ -68,6 +68,13 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldledger.llm.template_leaks import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_dac_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldledger.llm.dac_files import read_ids, write_ids

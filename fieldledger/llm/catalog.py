@@ -89,6 +89,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldledger.llm.toxicity import predictions
+
+    return predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldledger.llm.feistel_shards import shard_documents

@@ -176,7 +176,8 @@ def token_pieces(docs: DataFrame, capacity: int, vocabulary: str | None = None)
 def pack_documents(docs: DataFrame, capacity: int = 4096, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = numbered(token_pieces(docs, capacity, vocabulary), ["length", "doc_id", "piece", "ids_crc32"], name="_row")
+    cut = saved(token_pieces(docs, capacity, vocabulary), "cut")  # written first: ordering reads its input twice
+    rows = numbered(cut, ["length", "doc_id", "piece", "ids_crc32"], name="_row")
     rows = saved(rows, "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs, _ = pack(histogram, capacity)

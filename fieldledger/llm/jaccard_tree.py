@@ -10,10 +10,11 @@ dealt out first, exactly: with shingles in one global order, two sets this simil
 `n - ceil(0.8 n) + 1` of each. Every shingle that heads two different sets gets a tree of its own, with the points of
 these sets. The order puts shingles that many documents have last (the order changes the work, never the result).
 
-Equal sets are one node from the start. Then, in turn: each tree links its points with one of them, picked by hash, so
+Equal sets are one node from the start. Then, in turn: each tree links its points with a few of them, picked by hash, so
 large groups of near copies fall together without listing their pairs; the trees are searched for pairs whose nodes are
-still in different components; every pair that survives the bound is verified on the whole sets. Components of the
-verified links are exact: a pair is left out only if it is linked already or cannot be linked.
+still in different components; every pair that survives the bounds is verified on the whole sets. Components of the
+verified links are exact: a pair is left out only if it is linked already or cannot be linked. A second bound counts the
+trees in which a pair meets: of what two sets share, all but the rest behind one of the heads shows up there.
 
 A text of 1 to 4 words is one shingle; a null, empty or blank text has none and is linked with nothing. Null ids are
 members but never name a component (a component of null ids only has a null id). Other columns are ignored.
@@ -33,6 +34,7 @@ from fieldledger.llm.keyed import BATCH, Dealt, answer, ask, ask_again, flat, in
 GROUPS = 64
 OFTEN = 0.002  #: shingles in a larger share of documents come last in the order
 LEAF = 32
+CENTRES = 3
 _FULL = np.iinfo(np.uint16).max
 
 
@@ -211,10 +213,11 @@ def _pairs_in_trees(trees: DataFrame, buckets: int, percent: int) -> DataFrame:
             a.append(node[x:y][i])
             b.append(node[x:y][j])
         a, b = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.table({"a": both[0], "b": both[1]})
+        both, met = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_counts=True)
+        return pa.table({"a": both[0], "b": both[1], "met": met.astype(np.int64)})
 
-    return trees.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda rows: work(rows), "a long, b long").distinct()
+    found = trees.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda rows: work(rows), "a long, b long, met long")
+    return found.groupBy("a", "b").agg(F.sum("met").alias("met"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, features: DataFrame, words: int, percent: int) -> DataFrame:
@@ -245,21 +248,28 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = features.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point"))
     heads = saved(_shared_heads(features, pieces(total, 4 << 20), pieces(total, 16 << 20, 8)), "heads")
 
-    # first turn: every tree's points against one of them
-    centre = heads.groupBy("gram").agg(F.min_by("node", F.xxhash64("gram", "node")).alias("centre"))
-    star = heads.join(centre, "gram").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     in_trees = saved(nodes.join(heads.select("node").distinct(), "node").select("node", "n", "point"), "points")
     x, y = in_trees.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), in_trees.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    sized = star.join(x, "a").join(y, "b").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    first = sized.mapInArrow(_surviving(percent), "a long, b long")
-    links = saved(_verified(saved(first, "pairs"), base, features, words, percent), "links")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, met) whose sizes, points and heads let them be linked."""
+        sized = pairs.join(x, "a").join(y, "b").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+        rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1  # noqa: E731  behind the head
+        least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+        return sized.where(F.col("met") + F.greatest(rest("na"), rest("nb")) >= least).mapInArrow(_surviving(percent), "a long, b long")
+
+    # first turn: every tree's points against some of them; which pairs it takes matters for the work of the second only
+    centres = heads.groupBy("gram").agg(*[F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
+    star = heads.join(centres, "gram").select("gram", "node", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("centre")).where("node <> centre")
+    counted = star.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.count_distinct("gram").alias("met"))
+    links = saved(_verified(saved(plausible(counted), "pairs"), base, features, words, percent), "links")
 
     # second turn: pairs of different components
     part = components(links)
     marked = heads.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     open_trees = marked.groupBy("gram").agg(F.min("part").alias("l"), F.max("part").alias("h")).where("l < h").select("gram")
     trees = marked.join(open_trees, "gram").join(in_trees, "node")
-    second = saved(_pairs_in_trees(trees, pieces(total, 8 << 20, 8), percent), "pairs")
+    second = saved(plausible(_pairs_in_trees(trees, pieces(total, 8 << 20, 8), percent)), "pairs")
     more = saved(_verified(second, base, features, words, percent), "links")
     joined = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if more.take(1) else part
 

@@ -96,6 +96,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldledger.llm.page_templates import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldledger.llm.feistel_shards import shard_documents

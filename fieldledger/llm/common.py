@@ -155,6 +155,24 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def portions(batches, column: str = "text", size: int = 4 << 20):
+    """Arrow batches cut into pieces of about `size` bytes of a text column, so that arrays made per word stay small."""
+    for batch in batches:
+        text = batch.column(column)
+        ends = np.cumsum(np.asarray(_lengths(text)).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def _lengths(text) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(text), 0)
+
+
 # -- documents in order of id -----------------------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import Words, pieces, saved, text_bytes, windows
+from fieldledger.llm.common import Words, pieces, portions, saved, text_bytes, windows
 from fieldledger.llm.components import components
 from fieldledger.llm.keyed import BATCH, Dealt, answer, ask, ask_again, flat, in_batches, lists, reply
 
@@ -119,7 +119,7 @@ def _often(docs: DataFrame, words: int, share: float) -> list[int]:
     A shingle over the share is over it in some batch. Their number is bounded by the mean set size over the share."""
 
     def count(batches):
-        for batch in batches:
+        for batch in portions(batches):
             sets = shingle_sets(batch.column("text"), words)
             u, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
             some = n >= max(3, share * len(sets))
@@ -138,7 +138,7 @@ def _features(docs: DataFrame, words: int, percent: int, often: list[int]) -> Da
         ranks = late.value
         by_hash = np.argsort(ranks)
         held = ranks[by_hash]
-        for batch in batches:
+        for batch in portions(batches):
             ids, n, node, points, heads, sizes = batch.column("doc_id"), [], [], [], [], []
             for grams in shingle_sets(batch.column("text"), words):
                 k = head_length(len(grams), percent)
@@ -224,7 +224,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, features: DataFrame, words: int
     """Pairs of nodes whose whole sets are similar enough. Each node's set is read from one of its documents."""
 
     def sets(batches):
-        for batch in batches:
+        for batch in portions(batches):
             found = shingle_sets(batch.column("text"), words)
             node = [_node(x) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64), np.cumsum([len(x) for x in found]))], names=["node", "grams"])

@@ -41,6 +41,13 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+@query
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldledger.llm.suffix_tree import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldledger.llm.jaccard_tree import near_components

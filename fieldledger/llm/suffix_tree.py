@@ -1,21 +1,21 @@
 """Scores of texts by a probabilistic suffix tree over words.
 
-A state is a context of up to `depth` words that stand before a word. The next-word distribution of a context is its
-counts smoothed by the distribution of its suffix, the context without its first word: P(w | s) = (N(s w) + a P(w | suffix))
-/ (N(s) + a); the root is the smoothed word count. A context is kept when it was seen at least twice and its continuations
-diverge from its suffix by the test sum N(s w) ln(N(s w) / N(s) / P(w | suffix)) > `nats` * (number of continuations),
-i.e. when it pays for what it stores. A word is scored in the longest kept context that stands before it, all of whose
-suffixes are kept as well; contexts do not cross documents.
-
-Counting goes from short to long contexts. Batches of documents ask hash buckets: first for the counts of their words,
-then, level by level, for the counts N(s w) of the sequences whose context was seen twice, which buckets sum over all
-batches along with the divergence of each context. A sequence or a context that fills a third of the text is one entry per
-batch. A context that holds more than 1/`HOT` of all training words is dealt to several buckets by its next word; the
-parts of its divergence are added up, and since at most `HOT` contexts can be so frequent, they are a table of bounded
-size that every batch gets. Nothing else is held in one place, and no count is cut off.
+A state is a context of up to `depth` words that stand before a word. Its next-word distribution holds what was seen twice
+or more behind it; what was seen once makes the mass that goes to the suffix (the context without its first word):
+P(w | s) = (N(s w) [if >= 2] + (n1(s) + a) P(w | suffix)) / (N(s) + a), where n1 counts the words seen once. The root is the
+smoothed word count. A context is kept when it was seen twice and its continuations, each left out in turn, diverge from
+the suffix by more than `nats`: the sum over its training words of ln(P_without_it(w | s) / P(w | suffix)), taken from below,
+(N - 1) / (N(s) - 1 + a) for words seen twice, (n1 - 1 + a) / (N(s) - 1 + a) times the suffix for others. A word is scored in
+the longest kept context before it, all of whose suffixes are kept as well; contexts do not cross documents.
+
+Counting goes from short to long contexts, by questions of batches of documents to hash buckets (see `keyed`): the counts
+of words; then for each length the counts of sequences behind contexts that can be kept, and the sums for each context.
+A sequence, word or context that fills a third of the text is one entry per batch. Nothing is held in one place, and no
+count is cut off or sampled. All rounds are one plan: the texts are dealt into batches once.
 
 Training: documents with crc32(doc_id as text) mod 5 other than 1; null ids are scored and not trained on. Null and empty
-texts are one end token. Words of equal 64-bit hash count as one word. Rows of one id are scored and counted each.
+texts are one end token. Words of equal 64-bit hash count as one; sequences are told apart by 44 bits within a bucket, so
+chance meetings stay below one in a million. Rows of one id are scored and counted each.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import Words, join2, pieces, saved, text_bytes
-from fieldledger.llm.keyed import BATCH, Dealt, answer, ask, ask_again, flat, in_batches, reply
+from fieldledger.llm.common import Words, join2, pieces, text_bytes
+from fieldledger.llm.keyed import BATCH, Dealt, ask, ask_again, flat, in_batches, lists
 
 DEPTH = 2
-NATS = 3.0  #: what a continuation must pay, in nats
-STRENGTH = 2.0  #: a: words' worth of the suffix in a distribution
-HOT = 65_536
+NATS = 3.0  #: what a context must gain to be kept
+STRENGTH = 1.0  #: a: words' worth of the suffix in every distribution
 _END = np.uint64(0x9AE16A3B2F90404F)
+_ANSWER = f"{BATCH} int, bucket int, step int, total array<bigint>"
 
 
 class Tokens:
@@ -45,167 +45,170 @@ class Tokens:
         self.count = w.count + 1
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
         self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
-        self.held_out = np.asarray(rows.column("held_out"))
-        self.train = ~self.held_out[self.doc]
-        self.keys, self.which = np.unique(self.word, return_inverse=True)
-        self.seen = np.bincount(self.which[self.train], minlength=len(self.keys))
-
-    def context(self, k: int) -> np.ndarray:
-        """Hash of the k words before each token (meaningless where fewer stand there)."""
-        out = np.full(len(self.word), np.uint64(k))
-        for j in range(1, k + 1):  # nearest word first, so a longer context extends its suffix
-            out = join2(out, np.concatenate([np.zeros(j, np.uint64), self.word[:-j]])[: len(self.word)], 31)
+        self.train = ~np.asarray(rows.column("held_out"))[self.doc]
+
+    def context(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Hash of the k words before each of the tokens `at`, nearest first, so a longer context extends its suffix."""
+        out = np.full(len(at), np.uint64(k))
+        for j in range(1, k + 1):
+            out = join2(out, self.word[at - j], 31)
         return out
 
 
-class Level:
-    """Sequences (context of k words, word) of a batch that are asked about."""
+class Entries:
+    """Distinct keys of a batch with values, dealt to buckets; keys go out as steps from one to the next."""
+
+    def __init__(self, keys: np.ndarray, buckets: int):
+        self.keys, self.which = np.unique(keys, return_inverse=True)
+        self.dealt = Dealt(self.keys, buckets)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.which, weights=weights, minlength=len(self.keys))
+
+    def table(self, batch: int, drop: int, **values: np.ndarray) -> pa.Table:
+        out = self.dealt.table(batch, **values)
+        keys = (self.keys[self.dealt.order] >> np.uint64(drop)).view(np.int64)
+        step = np.diff(keys, prepend=np.int64(0))
+        first = np.concatenate([[0], self.dealt.ends[:-1]])[: len(self.dealt.ends)].astype(np.int64)
+        step[first] = keys[first]
+        return out.add_column(2, "keys", lists(step, self.dealt.ends))
+
+    def told(self, replies: pa.Table) -> np.ndarray:
+        """The answer to each key: one value per entry, in the order sent."""
+        out = np.zeros(len(self.keys), np.int64)
+        values, row = flat(replies.column("total"))
+        if len(values):
+            base = np.array([self.dealt.first[b] for b in replies.column("bucket").to_pylist()], dtype=np.int64)
+            sizes = np.bincount(row, minlength=replies.num_rows)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out[self.dealt.order[base[row] + place]] = values
+        return out
+
 
-    def __init__(self, t: Tokens, k: int, seen: np.ndarray, parts: np.ndarray, buckets: int):
-        """seen: for each token, how often its context stands in training; parts: how many buckets share the context."""
-        self.at = np.flatnonzero((t.place >= k) & (seen >= 2))
-        context = t.context(k)[self.at]
-        key = join2(context, t.word[self.at], 77)
-        self.keys, first, self.which = np.unique(key, return_index=True, return_inverse=True)
-        self.context = context[first]
-        self.first = self.at[first]
-        self.count = np.bincount(self.which[t.train[self.at]], minlength=len(self.keys))
-        self.total = seen[self.first]
-        part = parts[self.first]
-        # a context's sequences go to one bucket, or to one for each part of it
-        home = join2(self.context, np.where(part > 1, key[first] % np.maximum(part, 1).astype(np.uint64), np.uint64(0)), 5)
-        self.dealt = Dealt(home, buckets)
-        self.shared = part > 1
+def _asked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which key each entry of a bucket has, its row, and the rows' sizes."""
+    step, row = flat(rows.column("keys"))
+    sizes = np.bincount(row, minlength=rows.num_rows)
+    first = np.cumsum(sizes) - sizes
+    run = np.cumsum(step)
+    keys = run - np.repeat(run[first] - step[first], sizes) if len(step) else step
+    return np.unique(keys, return_inverse=True)[1], row, sizes
 
-    def table(self, batch: int, level: int, suffix: np.ndarray) -> pa.Table:
-        """suffix: P(w | suffix) for each sequence."""
-        return self.dealt.table(batch, keys=self.keys, context=self.context, n=self.count, total=self.total, suffix=suffix, shared=self.shared)
 
+def _reply(rows: pa.Table, sizes: np.ndarray, values: np.ndarray, step: int) -> pa.Table:
+    whole = lambda c: pa.array(np.asarray(rows.column(c)), pa.int32())
+    return pa.table({BATCH: whole(BATCH), "bucket": whole("bucket"), "step": pa.array(np.full(rows.num_rows, step), pa.int32()), "total": lists(values.astype(np.int64), np.cumsum(sizes))})
 
-def _sums(rows: pa.Table) -> pa.Table:
-    keys, row = flat(rows.column("keys"))
-    n = flat(rows.column("n"))[0]
-    _, which = np.unique(keys, return_inverse=True)
-    total = np.bincount(which, weights=n).astype(np.int64)[which]
-    return reply(rows, row, total > 0, total=total)
 
+def _counts(step: int, least: int):
+    """Sums of counts, 0 where below `least`; and one row of the bucket's own: all it counted, and how many keys."""
 
-def _diverging(nats: float):
     def work(rows: pa.Table) -> pa.Table:
-        """Counts of sequences, and for each its context's divergence (complete unless the context is shared)."""
-        keys, row = flat(rows.column("keys"))
-        context, n, total, suffix, shared = (flat(rows.column(c))[0] for c in ("context", "n", "total", "suffix", "shared"))
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        count = np.bincount(which, weights=n)
-        held, of = np.unique(context[first], return_inverse=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(count > 0, count * np.log(count / np.maximum(total[first], 1) / suffix[first]) - nats, 0.0)
-        gains = np.bincount(of, weights=gain, minlength=len(held))
-        out = reply(rows, row, np.ones(len(keys), bool), total=count.astype(np.int64)[which], gain=gains[of][which])
-        # parts of shared contexts, to be added up: a row of batch -1
-        some = np.unique(context[shared])
-        if len(some):
-            at = np.searchsorted(held, some)
-            extra = pa.table({BATCH: pa.array([-1], pa.int32()), "bucket": pa.array([0], pa.int32()), "at": pa.array([[0] * len(some)], pa.list_(pa.int32())), "total": pa.array([some.tolist()], pa.list_(pa.int64())), "gain": pa.array([gains[at].tolist()], pa.list_(pa.float64()))})
-            out = pa.concat_tables([out, extra])
-        return out
+        which, _, sizes = _asked(rows)
+        total = np.bincount(which, weights=flat(rows.column("n"))[0])
+        own = pa.table({BATCH: pa.array([-1], pa.int32()), "bucket": pa.array([0], pa.int32()), "step": pa.array([step], pa.int32()), "total": pa.array([[int(total.sum()), int((total > 0).sum())]], pa.list_(pa.int64()))})
+        return pa.concat_tables([_reply(rows, sizes, np.where(total >= least, total, 0)[which], step), own])
 
     return work
 
 
-def _counts_of_words(t: Tokens, told: pa.Table, buckets: int) -> np.ndarray:
-    """Training count of each distinct word of the batch."""
-    out = np.zeros(len(t.keys), np.int64)
-    at, total = Dealt(t.keys, buckets).answers(told, "total")
-    out[at] = total
-    return out
+def _kept(step: int, nats: float):
+    """For contexts: 0 if dropped, else 1 + the number of words seen once behind it."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        which, _, sizes = _asked(rows)
+        once, gain = (np.bincount(which, weights=flat(rows.column(c))[0]) for c in ("once", "gain"))
+        seen = np.zeros(len(once))
+        seen[which] = flat(rows.column("seen"))[0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = np.where(once > 0, once * np.log((once - 1 + STRENGTH) / (seen - 1 + STRENGTH)), 0.0)
+        return _reply(rows, sizes, np.where(gain + rest > nats, once + 1, 0)[which], step)
+
+    return work
 
 
 class Walk:
-    """What a batch knows after `level` rounds: for each token, P(word | longest kept context) and the next level."""
+    """What a batch knows from the answers so far: after step 0 the words, after 2 k - 1 the counts behind contexts of k
+    words, after 2 k which of them are kept."""
 
-    def __init__(self, rows: pa.Table, told: pa.Table, level: int, tokens: int, distinct: int, hot: list[dict[int, float]], buckets: int):
+    def __init__(self, rows: pa.Table, told: pa.Table, steps: int, buckets: int):
         t = self.tokens = Tokens(rows)
         step = np.asarray(told.column("step"))
         of = lambda k: told.filter(pa.array(step == k))
-        words = _counts_of_words(t, of(0), buckets)
-        self.words = words[t.which]
-        self.base = (self.words + 0.5) / (tokens + 0.5 * (distinct + 1))
-        self.p, kept = self.base.copy(), np.ones(len(t.word), bool)
-        # how often the context of k words before each token stands in training: for one word, that word's count
-        seen = np.concatenate([[0], self.words[:-1]])
-        for k in range(1, level + 1):
-            parts = -(-seen * HOT // max(tokens, 1))
-            asked = Level(t, k, seen, parts, buckets)
-            if k == level:
-                self.next, self.suffix = asked, self._suffix(asked)
+        self.train_tokens, distinct = of(-1).column("total").to_pylist()[0]
+        self.words = Entries(t.word, buckets).told(of(0))[np.unique(t.word, return_inverse=True)[1]]
+        self.base = (self.words + 0.5) / (self.train_tokens + 0.5 * (distinct + 1))
+        self.p, seen = self.base.copy(), np.concatenate([[0], self.words[:-1]])
+        at = np.arange(len(t.word))
+        for k in range(1, steps // 2 + 1):
+            at = at[(t.place[at] >= k) & (seen[at] >= 2)]
+            self.at, self.context = at, t.context(k, at)
+            self.sequences = Entries(join2(self.context, t.word[at], 77), buckets)
+            if steps == 2 * k:
+                return
+            count = self.sequences.told(of(2 * k - 1))[self.sequences.which]
+            self.contexts = Entries(self.context, buckets)
+            teach, n = t.train[at], seen[at]
+            self.once = self.contexts.sums(teach & (count < 2))
+            with np.errstate(divide="ignore"):
+                gain = np.log((count - 1.0) / (n - 1 + STRENGTH) / self.p[at])
+            self.gain = self.contexts.sums(np.where(teach & (count >= 2), gain, 0.0))
+            self.seen = np.zeros(len(self.contexts.keys), np.int64)
+            self.seen[self.contexts.which] = n
+            if steps == 2 * k + 1:
                 return
-            count, gain = np.zeros(len(asked.keys), np.int64), np.zeros(len(asked.keys))
-            at, total, g = asked.dealt.answers(of(k), "total", "gain")
-            count[at], gain[at] = total, g
-            for i in np.flatnonzero(asked.shared).tolist():
-                gain[i] = hot[k - 1].get(int(asked.context[i].view(np.int64)), 0.0)
-            a = asked.at
-            keep = kept[a] & (gain[asked.which] > 0)
-            now = (count[asked.which] + STRENGTH * self.p[a]) / (seen[a] + STRENGTH)
-            self.p[a] = np.where(keep, now, self.p[a])
-            kept = np.zeros(len(t.word), bool)
-            kept[a] = keep
-            # the context of the next token that ends with this word is this sequence
-            follow = np.zeros(len(t.word), np.int64)
-            follow[a] = count[asked.which]
-            seen = np.concatenate([[0], follow[:-1]])
-
-    def _suffix(self, asked: Level) -> np.ndarray:
-        return self.p[asked.first]
-
-
-def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes: int = 4 << 20) -> DataFrame:
+            kept = self.contexts.told(of(2 * k))[self.contexts.which]
+            use = kept > 0
+            self.p[at] = np.where(use, (count + (kept - 1 + STRENGTH) * self.p[at]) / (n + STRENGTH), self.p[at])
+            # the next token's longer context is this sequence; it can be kept only where its suffix is
+            follow = np.zeros(len(t.word) + 1, np.int64)
+            follow[at + 1] = count
+            seen, ok = follow[:-1], np.zeros(len(t.word), bool)
+            ok[at[use]] = True
+            at = np.flatnonzero(ok)
+
+
+def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes: int = 6 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.col("doc_id").isNull())
+    spark = docs.sparkSession
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(True))
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), held.alias("held_out"))
     size = text_bytes(base)
-    buckets = pieces(size, 4 * batch_bytes, 8)
-    batches = in_batches(base, pieces(size, batch_bytes))
+    count, buckets = pieces(size, batch_bytes), pieces(size, 2 * batch_bytes, 8)
+    batches = in_batches(base, count)
+
+    def answered(entries: DataFrame, fn) -> DataFrame:
+        return entries.groupBy("bucket").applyInArrow(lambda rows: fn(rows), _ANSWER)
 
     def words(batch: int, rows: pa.Table) -> pa.Table:
         t = Tokens(rows)
-        return Dealt(t.keys, buckets).table(batch, keys=t.keys, n=t.seen)
+        e = Entries(t.word, buckets)
+        return e.table(batch, 0, n=e.sums(t.train).astype(np.int32))
 
-    shape = "total array<bigint>, gain array<double>"
-    asked = saved(ask(batches, words, "keys array<bigint>, n array<bigint>"), "words")
-    tokens, distinct = _totals(asked)
-    told = saved(answer(asked, _sums, "total array<bigint>").withColumn("gain", F.lit(None).cast("array<double>")).withColumn("step", F.lit(0)), "counts")
-    hot: list[dict[int, float]] = []
+    first = answered(ask(batches, words, "keys array<bigint>, n array<int>"), _counts(0, 1))
+    of_all = first.where(f"{BATCH} = -1").agg(F.array(*[F.coalesce(F.sum(F.col("total")[k]), F.lit(0)) for k in (0, 1)]).alias("total"))
+    everywhere = spark.range(count).select(F.col("id").cast("int").alias(BATCH), F.lit(-1).alias("bucket"), F.lit(-1).alias("step"), of_all.scalar().alias("total"))
+    told = everywhere.unionByName(first.where(f"{BATCH} >= 0"))
     for k in range(1, depth + 1):
 
-        def sequences(batch: int, rows: pa.Table, known: pa.Table, k: int = k, hot: list = list(hot)) -> pa.Table:  # noqa: B006
-            w = Walk(rows, known, k, tokens, distinct, hot, buckets)
-            return w.next.table(batch, k, w.suffix)
+        def sequences(batch: int, rows: pa.Table, known: pa.Table, k: int = k) -> pa.Table:
+            w = Walk(rows, known, 2 * k, buckets)
+            return w.sequences.table(batch, 20, n=w.sequences.sums(w.tokens.train[w.at]).astype(np.int32))
+
+        def contexts(batch: int, rows: pa.Table, known: pa.Table, k: int = k) -> pa.Table:
+            w = Walk(rows, known, 2 * k + 1, buckets)
+            return w.contexts.table(batch, 0, once=w.once.astype(np.int32), gain=w.gain.astype(np.float32), seen=w.seen.astype(np.int32))
 
-        kinds = f"bucket int, {BATCH} int, keys array<bigint>, context array<bigint>, n array<bigint>, total array<bigint>, suffix array<double>, shared array<boolean>"
-        replies = saved(answer(ask_again(batches, told, sequences, kinds), _diverging(nats), shape).withColumn("step", F.lit(k)), "sequences")
-        # at most HOT contexts hold more than 1/HOT of the words, so this table has a bound
-        parts = replies.where(f"{BATCH} = -1").select(F.explode(F.arrays_zip("total", "gain")).alias("x")).groupBy("x.total").agg(F.sum("x.gain").alias("gain"))
-        hot.append({r["total"]: r["gain"] for r in parts.collect()})
-        told = told.unionByName(replies.where(f"{BATCH} >= 0"))
+        kind = f"bucket int, {BATCH} int, keys array<bigint>"
+        counted = answered(ask_again(batches, told, sequences, f"{kind}, n array<int>"), _counts(2 * k - 1, 2)).where(f"{BATCH} >= 0")
+        told = told.unionByName(counted)
+        told = told.unionByName(answered(ask_again(batches, told, contexts, f"{kind}, once array<int>, gain array<float>, seen array<int>"), _kept(2 * k, nats)))
 
     def result(batch: int, rows: pa.Table, known: pa.Table) -> pa.Table:
-        w = Walk(rows, known, depth + 1, tokens, distinct, hot, buckets)
+        w = Walk(rows, known, 2 * depth + 2, buckets)
         t, n = w.tokens, rows.num_rows
-        add = lambda x: np.bincount(t.doc, weights=x, minlength=n)
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(t.count.astype(np.int64)), "n_known": pa.array(add(w.words > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, tokens)), "base_score": pa.array(add(np.log10(w.base))), "score": pa.array(add(np.log10(w.p)))})
+        add = lambda x: np.bincount(t.doc, weights=x, minlength=n).astype(float)
+        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(t.count.astype(np.int64)), "n_known": pa.array(add(w.words > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, w.train_tokens)), "base_score": pa.array(add(np.log10(w.base))), "score": pa.array(add(np.log10(w.p)))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return ask_again(batches, told, result, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _totals(asked: DataFrame) -> tuple[int, int]:
-    """Training tokens and distinct training words."""
-
-    def count(rows: pa.Table) -> pa.Table:
-        keys, n = flat(rows.column("keys"))[0], flat(rows.column("n"))[0]
-        return pa.table({"tokens": pa.array([int(n.sum())]), "words": pa.array([len(np.unique(keys[n > 0]))])})
-
-    r = asked.groupBy("bucket").applyInArrow(lambda rows: count(rows), "tokens long, words long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    return int(r[0]), int(r[1])

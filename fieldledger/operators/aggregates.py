@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.text import js_round
-from .groups import exact_median, struct_list, top_per_group
+from .groups import exact_median, rejoin, struct_list, top_per_group
 
 # A bulk day, days of a first crawl, rows of a top list.
 BULK_MIN, BULK_SHARE, FIRST_CRAWL_DAYS, TOP = 20, 0.4, 2, 5
@@ -165,7 +165,7 @@ def daily_cells(df: DataFrame, keys: list[str], run_at: Column) -> DataFrame:
         count_where(F.col("bonus")).alias("with_bonus"),
     )
     med = exact_median(df, keys, "bonus_amount", "_m").select(*keys, js_round(F.col("_m")).cast("bigint").alias("median_bonus"))
-    return counts.join(med, keys, "left")
+    return rejoin(counts, med, keys, "left")
 
 
 def median_round(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
@@ -177,7 +177,7 @@ def median_round(df: DataFrame, keys: list[str], value: str, out: str = "median"
 def price_band(df: DataFrame, keys: list[str], price: str) -> DataFrame:
     """Lowest, upper-middle and highest price."""
     ends = df.filter(F.col(price).isNotNull()).groupBy(*keys).agg(F.min(price).alias("price_min"), F.max(price).alias("price_max"))
-    return ends.join(exact_median(df, keys, price, "price_median", upper=True), keys).select(*keys, "price_min", "price_median", "price_max")
+    return rejoin(ends, exact_median(df, keys, price, "price_median", upper=True), keys).select(*keys, "price_min", "price_median", "price_max")
 
 
 def catalog_facts(products: DataFrame, keys: list[str], now: Column) -> DataFrame:
@@ -192,7 +192,7 @@ def catalog_facts(products: DataFrame, keys: list[str], now: Column) -> DataFram
         top_values(p, keys, "product_type", out="product_types", label="count"),
         top_values(p, keys, "vendor", out="vendors", label="count"),
     ):
-        facts = facts.join(extra, keys, "left")
+        facts = rejoin(facts, extra, keys, "left")
     return facts
 
 
@@ -257,7 +257,7 @@ def profile(df: DataFrame, keys: list[str], distinct: str, stated: str, value: s
         F.countDistinct(distinct).alias("distinct"),
         F.avg(F.col(stated).isNotNull().cast("double")).alias("share_stated"),
     )
-    return base.join(exact_median(df, keys, value, "median"), keys, "left")
+    return rejoin(base, exact_median(df, keys, value, "median"), keys, "left")
 
 
 def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
@@ -343,7 +343,7 @@ def domain_rollup(df: DataFrame, host: Column, calls: str, payers: str, price: s
 def class_share(df: DataFrame, keys: list[str], cond: Column, value: str, at_least: int = 30) -> DataFrame:
     """Share of one class by group and the group's median, for groups of a least size."""
     base = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(F.coalesce(cond, F.lit(False)).cast("double")).alias("share"))
-    return base.filter(F.col("rows") >= at_least).join(exact_median(df, keys, value, "median"), keys, "left")
+    return rejoin(base.filter(F.col("rows") >= at_least), exact_median(df, keys, value, "median"), keys, "left")
 
 
 def status_dist(df: DataFrame, status: str, error: str) -> DataFrame:

@@ -26,11 +26,14 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return top_per_group(df, keys, order, 1)
 
 
-def _same(keys: list[str], a: DataFrame, b: DataFrame) -> Column:
+def rejoin(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """`df` with the other columns of `small`; a null key is a key like any other."""
+    own = {k: f"_on{i}" for i, k in enumerate(on)}
+    other = small.select(*[F.col(k).alias(a) for k, a in own.items()], *[c for c in small.columns if c not in own])
     cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
+    for k, a in own.items():
+        cond = cond & df[k].eqNullSafe(other[a])
+    return df.join(other, cond, how).drop(*own.values())
 
 
 def _before(pieces: DataFrame, keys: list[str], by: str, n: str, out: str) -> DataFrame:
@@ -49,10 +52,10 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column
     small = df.groupBy(*keys, "_b", "_f").agg(F.count("*").alias("_n"))
     small = _before(small, [*keys, "_b"], "_f", "_n", "_in")
     large = _before(small.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")), keys, "_b", "_bn", "_out").drop("_bn")
-    offsets = small.join(large, [*keys, "_b"]).select(*keys, "_b", "_f", (F.col("_in") + F.col("_out")).alias("_off")) if fine is not None else large.select(
+    offsets = rejoin(small, large, [*keys, "_b"]).select(*keys, "_b", "_f", (F.col("_in") + F.col("_out")).alias("_off")) if fine is not None else large.select(
         *keys, "_b", F.lit(0).alias("_f"), F.col("_out").alias("_off")
     )
-    joined = df.join(offsets, [*keys, "_b", "_f"])
+    joined = rejoin(df, offsets, [*keys, "_b", "_f"])
     own = W.partitionBy(*keys, "_b", "_f").orderBy(*order)
     return joined.withColumn(out, F.row_number().over(own) + F.col("_off")).drop("_b", "_f", "_off")
 
@@ -65,34 +68,37 @@ def carried_down(df: DataFrame, keys: list[str], order: str, bucket: Column, val
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     pieces = pieces.withColumn("_in", F.last("_l", ignorenulls=True).over(before)).drop("_l")
     own = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    joined = df.join(pieces, [*keys, "_b"])
+    joined = rejoin(df, pieces, [*keys, "_b"])
     return joined.withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(own), F.col("_in"))).drop("_b", "_v", "_in")
 
 
-def value_bucket(value: Column) -> Column:
-    """A coarse bucket that never falls as the value rises, at any scale of values."""
-    return (F.signum(value) * F.floor(F.log(F.abs(value) + 1) * 64)).cast("int")
+def value_bucket(value: Column, per_fold: int = 64) -> Column:
+    """A bucket that never falls as the value rises, of one relative width at every size of double: log steps either
+    side of zero, moved so that the smallest positive double is still above it."""
+    size = F.floor(F.log(F.abs(value)) * per_fold) + 750 * per_fold
+    return F.when(value == 0, 0).otherwise(F.signum(value) * size).cast("long")
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", upper: bool = False) -> DataFrame:
     """Mean of the two middle values per group (or the upper one of them), nulls left out.
 
-    Equal values are counted first (map-side), a histogram per group finds the one or two buckets the middle ranks
-    fall in, and only their values are ranked.
+    Equal values are counted first (map-side). A histogram per group finds the one or two buckets the middle ranks fall
+    in, a finer one within these does so again, and only the values of what is left are ranked. A null key is a group.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_b", value_bucket(F.col("_v")))
-    group = W.partitionBy(*keys)
-    upto = group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    hist = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    hist = hist.withColumn("_cum", F.sum("_bn").over(upto)).withColumn("_tot", F.sum("_bn").over(group))
-    lo, hi = F.floor((F.col("_tot") + 1) / 2), F.floor(F.col("_tot") / 2) + 1
+    near = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    total = near.groupBy(*keys).agg(F.sum("_n").alias("_tot"))
+    ranks = total.select(*keys, F.floor((F.col("_tot") + 1) / 2).alias("_lo"), (F.floor(F.col("_tot") / 2) + 1).alias("_hi"), F.lit(0).cast("long").alias("_off"))
+    near = rejoin(near, ranks, keys)
     holds = lambda rank, cum, n: (rank > cum - n) & (rank <= cum)
-    hist = hist.withColumn("_lo", lo).withColumn("_hi", hi)
-    hist = hist.filter(holds(F.col("_lo"), F.col("_cum"), F.col("_bn")) | holds(F.col("_hi"), F.col("_cum"), F.col("_bn")))
-    hist = hist.select(*keys, "_b", (F.col("_cum") - F.col("_bn")).alias("_off"), "_lo", "_hi")
-    near = counts.join(hist, [*keys, "_b"])
-    inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    for per_fold in (64, 64 << 14):
+        near = near.withColumn("_b", value_bucket(F.col("_v"), per_fold))
+        upto = W.partitionBy(*keys, "_off").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+        hist = near.groupBy(*keys, "_off", "_b").agg(F.sum("_n").alias("_bn"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+        hist = hist.withColumn("_cum", F.sum("_bn").over(upto) + F.col("_off"))
+        hist = hist.filter(holds(F.col("_lo"), F.col("_cum"), F.col("_bn")) | holds(F.col("_hi"), F.col("_cum"), F.col("_bn")))
+        hist = hist.select(*keys, "_off", "_b", (F.col("_cum") - F.col("_bn")).alias("_next"))
+        near = rejoin(near, hist, [*keys, "_off", "_b"]).drop("_off", "_b").withColumnRenamed("_next", "_off")
+    inside = W.partitionBy(*keys, "_off").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     near = near.withColumn("_at", F.sum("_n").over(inside) + F.col("_off"))
     pick = lambda r: F.max(F.when(holds(F.col(r), F.col("_at"), F.col("_n")), F.col("_v")))
     return near.groupBy(*keys).agg((pick("_hi") if upper else (pick("_lo") + pick("_hi")) / 2).alias(out))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.notes import confidence_score
-from .groups import carried_down, first_per_group, numbered, top_per_group
+from .groups import carried_down, first_per_group, numbered, rejoin, top_per_group
 
 # Outage guard, source drops, response windows, re-check days.
 DROP_MIN, DROP_ACCEPT_RUNS = 50, 7
@@ -93,13 +93,13 @@ def share_best(df: DataFrame, tenant: str, name: str, good: Column, pos: str, gi
 
     fixed = F.try_element_at(literal_map(given), F.col(tenant)) if given else F.lit(None).cast("string")
     own = F.when(good, F.col(name))
-    return df.join(best, tenant, "left").withColumn("shared_name", F.coalesce(fixed, own, "_best", tenant)).drop("_best")
+    return rejoin(df, best, [tenant], "left").withColumn("shared_name", F.coalesce(fixed, own, "_best", tenant)).drop("_best")
 
 
 def streak(df: DataFrame, keys: list[str], ts: str, ok: Column) -> DataFrame:
     """Checks since the last good one (all of them when there was none). Two combinable aggregates, no ordered group."""
     last = df.groupBy(*keys).agg(F.max(F.when(ok, F.col(ts))).alias("_last"))
-    j = df.join(last, keys)
+    j = rejoin(df, last, keys)
     since = F.count(F.when(F.col("_last").isNull() | (F.col(ts) > F.col("_last")), True))
     return j.groupBy(*keys).agg(since.alias("streak"), F.max(ts).alias("last_check"), F.count("*").alias("checks"))
 
@@ -169,7 +169,7 @@ def dedupe_near(df: DataFrame, keys: list[str], key: str = "key", pos: str = "po
     """One finding per key, the most certain and then the earliest, at the place of the key's first finding."""
     first = df.groupBy(*keys, key).agg(F.min(pos).alias("_first"))
     best = first_per_group(df, [*keys, key], [confidence_score("confidence").desc(), F.col(pos)])
-    return best.join(first, [*keys, key]).withColumn(pos, F.col("_first")).drop("_first")
+    return rejoin(best, first, [*keys, key]).withColumn(pos, F.col("_first")).drop("_first")
 
 
 def ranks(results: DataFrame, queries: DataFrame, own: Column) -> DataFrame:

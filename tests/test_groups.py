@@ -99,3 +99,34 @@ def test_near_names_against_all_pairs(spark):
     for a in asked:
         want = sorted(((edits(a, k), k) for k in known if 1 <= edits(a, k) <= 2 and abs(len(a) - len(k)) <= 3))[:3]
         assert [(x["distance"], x["name"]) for x in (got[a] or [])] == want, a
+
+
+def null_rows():
+    rnd = random.Random(11)
+    return [(i, rnd.choice([None, None, "a", "b"]), rnd.choice([None, *range(30)]), rnd.choice([None, 1e-9, 2e-9, 1e9 + rnd.random(), 1e9 + 1, -3.5, 0.0, -1e300])) for i in range(600)]
+
+
+def test_null_keys_dates_and_values(spark):
+    """A null key is a group, a null date a bucket of its own, and no row is lost."""
+    rows = null_rows()
+    df = frame(spark, rows)
+    got = {r.i: r.pos for r in G.numbered(df, ["k"], [F.col("t"), F.col("i")], F.col("t")).collect()}
+    for k in (None, "a", "b"):
+        want = sorted((r for r in rows if r[1] == k), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        assert [got[r[0]] for r in want] == list(range(1, len(want) + 1))
+    med = {r.k: r.median for r in G.exact_median(df, ["k"], "v").collect()}
+    assert med == {k: statistics.median(r[3] for r in rows if r[1] == k and r[3] is not None) for k in (None, "a", "b")}
+    kept = {r.i: r.h for r in G.carried_down(df, ["k"], "i", F.floor(F.col("i") / 50), F.when(F.col("t") < 9, F.col("i")), "h").collect()}
+    last = {}
+    for i, k, t, _ in rows:
+        if t is not None and t < 9:
+            last[k] = i
+        assert kept[i] == last.get(k)
+
+
+def test_median_of_close_values(spark):
+    """Values that share a coarse bucket, at several sizes."""
+    for base, step in ((0.0, 1e-7), (1.7e9, 1.0), (-5.0, 1e-6)):
+        values = [base + step * k for k in range(2001)]
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert G.exact_median(df, [], "v").head().median == values[1000]

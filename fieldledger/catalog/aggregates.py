@@ -336,6 +336,8 @@ def a30(spark, d):
     return G.status_dist(p, "status", "e").withColumn("share", F.round("share", 6))
 
 
-@query("a31_stratified_sample")
+@query("a31_stratified_sample", """
+SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE coalesce(o_totalprice, 0) < 400000 ORDER BY md5(o_orderkey || ':42'), o_orderkey LIMIT 200)
+UNION ALL SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 400000 ORDER BY o_orderkey LIMIT 150)""")
 def a31(spark, d):
     return G.stratified_sample(A.table(spark, d, "orders"), "o_orderkey", "o_totalprice", 400_000).select("o_orderkey", "o_totalprice")

@@ -12,7 +12,7 @@ from ..plans import jobs as PJ
 from ..plans import releases as PR
 from ..plans import reports as PO
 from ..plans import stores as PS
-from ..session import saver, shared_dir, spread
+from ..session import saver, shared_dir
 from ..sources import index as I
 from .aggregates import fetches
 from .filters import FILING_Q, filings, market, stores
@@ -179,9 +179,9 @@ def q08(spark, d):
 
 
 @query("q09_funded", """
-WITH @filings, f AS (SELECT *, CASE WHEN cik = 0 THEN '' ELSE CAST(cik AS VARCHAR) END AS c FROM filings WHERE filing_type <> 'Amendment' AND NOT is_fund AND sector IN ('Technology','Energy') AND floor(coalesce(amount_sold, 0)) >= 100000 AND (indefinite OR floor(coalesce(offering, 0)) >= 300000)
+WITH @filings, f AS (SELECT *, CASE WHEN cik = 0 THEN '' ELSE CAST(cik AS VARCHAR) END AS c FROM filings WHERE accession % 10 <> 1 AND filing_type <> 'Amendment' AND NOT is_fund AND sector IN ('Technology','Energy') AND floor(coalesce(amount_sold, 0)) >= 100000 AND (indefinite OR floor(coalesce(offering, 0)) >= 300000)
   AND CASE WHEN year_of_incorporation IS NOT NULL THEN year_of_incorporation >= 2001 - 6 ELSE incorporated_within = 'Within five years' END),
-l AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY CAST(filed_at AS DATE) DESC, '0001-01-' || accession DESC) AS rn FROM f) SELECT '0001-01-' || accession AS accession, c AS cik, sector, floor(amount_sold) AS amount_sold FROM l WHERE rn = 1 AND accession % 10 <> 1""")
+l AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY CAST(filed_at AS DATE) DESC, '0001-01-' || accession DESC) AS rn FROM f) SELECT '0001-01-' || accession AS accession, c AS cik, sector, floor(amount_sold) AS amount_sold FROM l WHERE rn = 1""")
 def q09(spark, d):
     docs = filing_docs(spark, d)
     hits = docs.join(filings(spark, d).select(cat(lit("0001-01-"), "accession").alias("accession"), F.when(col("filing_type") == "Amendment", "D/A").otherwise("D").alias("form")), "accession")
@@ -195,7 +195,7 @@ def q09(spark, d):
 
 def release_tables(spark, d):
     """Packages, notes, changelogs and advisories of parts: package p has versions 1..size of its part, patch level from the line number."""
-    p = spread(A.table(spark, d, "part"))
+    p = A.table(spark, d, "part")
     pkg = col("p_partkey").alias("pkg")
     ver = lambda i: cat(i, lit(".0.0"))
     packages = p.select(pkg, F.transform(F.sequence(lit(1), F.col("p_size") + 2), ver).alias("versions"))

@@ -98,9 +98,7 @@ def r04(spark, d):
 
 
 @query("r05_scd_stream", """
-WITH e AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-09' THEN 1 WHEN ts < TIMESTAMP '2024-01-17' THEN 2 WHEN ts < TIMESTAMP '2024-01-25' THEN 3 ELSE 4 END AS b, CAST(ts AS DATE) AS day FROM events),
-m AS (SELECT b, max(day) AS at FROM e GROUP BY b), g AS (SELECT user_id || ':' || event_type AS id, max(event_type) AS source, min(b) AS b0, max(b) AS b1, max(day) FILTER (b = 1) AS d1 FROM e GROUP BY 1)
-SELECT id, source, CAST(CASE WHEN b0 = 1 THEN d1 ELSE m0.at END AS VARCHAR) AS first_seen, CAST(CASE WHEN b1 = 1 THEN d1 ELSE m1.at END AS VARCHAR) AS last_seen FROM g JOIN m m0 ON m0.b = b0 JOIN m m1 ON m1.b = b1""")
+SELECT user_id || ':' || event_type AS id, event_type AS source, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_seen, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS last_seen FROM events GROUP BY 1, 2""")
 def r05(spark, d):
     e = A.table(spark, d, "events").selectExpr("concat(user_id, ':', event_type) AS id", "event_type AS source", "cast(date_trunc('day', ts) AS timestamp_ntz) AS day")
     root = shared_dir(spark, "r05")

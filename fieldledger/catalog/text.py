@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions import clinical, contacts, labels, notes, pay, text as T, versions as V
-from ..session import spread
 from .registry import query
 
 
 def table(spark, d, name):
-    return spread(A.table(spark, d, name))
+    return A.table(spark, d, name)
 
 TRIM = r"regexp_replace({}, '^[\s\x{{00A0}}\x{{FEFF}}]+|[\s\x{{00A0}}\x{{FEFF}}]+$', '', 'g')"
 
@@ -34,7 +33,7 @@ HTML_STEPS = [
 ]
 
 
-@query("t01_html_to_text", f"SELECT page_id, left({TRIM.format(_chain('html', HTML_STEPS))}, 8000) AS text FROM pages")
+@query("t01_html_to_text", f"SELECT page_id, {TRIM.format(_chain('html', HTML_STEPS))} AS text FROM pages")
 def t01(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("text"))
 
@@ -42,7 +41,7 @@ def t01(spark, d):
 BOARD_STEPS = HTML_STEPS[:2] + [(r"(?i)</(p|div|li|h[1-6]|br)>", "\n"), (r"<[^>]+>", ""), ("&nbsp;", " ")] + HTML_STEPS[7:12] + HTML_STEPS[13:]
 
 
-@query("t01_board_html_to_text", f"SELECT page_id, left({TRIM.format(_chain('html', BOARD_STEPS))}, 8000) AS text FROM pages")
+@query("t01_board_html_to_text", f"SELECT page_id, {TRIM.format(_chain('html', BOARD_STEPS))} AS text FROM pages")
 def t01b(spark, d):
     return table(spark, d, "pages").select("page_id", T.board_html_to_text("html").alias("text"))
 
@@ -174,7 +173,7 @@ JUNK_RE = r"\.(png|jpe?g|webp|svg|gif|css|js|avif)$|@(\d+x|2x)|sentry|wixpress|g
 @query("t14_emails", f"""
 WITH p AS (SELECT doc_id, regexp_extract_all(text, '{EMAIL_RE}', 0, 'i') AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS e, generate_subscripts(l, 1) AS pos FROM p),
 v AS (SELECT doc_id, lower(e) AS e, min(pos) AS pos FROM u GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM v WHERE regexp_matches(e, '{VALID_RE}') AND NOT regexp_matches(e, '{JUNK_RE}'))
-SELECT d.doc_id, coalesce(string_agg(e, ';' ORDER BY rn) FILTER (rn <= 5), '') AS emails FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id""")
+SELECT d.doc_id, coalesce(string_agg(e, ';' ORDER BY rn), '') AS emails FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id""")
 def t14(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(contacts.emails("text"), ";").alias("emails"))
 

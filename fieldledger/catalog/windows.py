@@ -180,7 +180,7 @@ def w16(spark, d):
 
 
 @query("w17_dedupe_near", """
-WITH f AS (SELECT doc_id AS pos, lang AS doc, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 80) AS key, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS conf FROM documents),
+WITH f AS (SELECT doc_id AS pos, lang AS doc, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS key, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS conf FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY conf DESC, pos) AS rn, min(pos) OVER (PARTITION BY doc, key) AS first FROM f)
 SELECT doc, key, first AS pos, CASE conf WHEN 3 THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE rn = 1""")
 def w17(spark, d):

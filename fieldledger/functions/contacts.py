@@ -68,25 +68,26 @@ def percent_decoded(col: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.regexp_replace(col, r"\+", "%2B")), col)
 
 
-def emails(html: Column | str, limit: int = 5) -> Column:
+def emails(html: Column | str, limit: int | None = None) -> Column:
     h = _c(html)
     links = F.transform(F.regexp_extract_all(h, F.lit(r"(?i)mailto:([^\"'?\s<>]+)"), F.lit(1)), lambda m: F.lower(percent_decoded(m)))
     loose = F.transform(F.regexp_extract_all(h, F.lit(EMAIL), F.lit(0)), F.lower)
     good = F.filter(F.array_distinct(F.concat(links, loose)), lambda e: e.rlike(VALID_EMAIL) & ~e.rlike(JUNK_EMAIL))
-    return F.slice(good, 1, limit)
+    return good if limit is None else F.slice(good, 1, limit)
 
 
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 
 
-def phones(html: Column | str, limit: int = 3) -> Column:
+def phones(html: Column | str, limit: int | None = None) -> Column:
     """Numbers of ``tel:`` links, 7 to 15 digits, the first spelling of each number."""
     raw = F.regexp_extract_all(_c(html), F.lit(r"(?i)href=[\"']tel:([^\"']+)[\"']"), F.lit(1))
     raw = F.transform(raw, lambda m: trimmed(F.regexp_replace(percent_decoded(m), r"[\s ]+", " ")))
     ok = F.filter(raw, lambda x: F.length(_digits(x)).between(7, 15))
     nums = F.transform(ok, _digits)
-    return F.slice(F.filter(ok, lambda x, i: F.array_position(nums, _digits(x)) == i + 1), 1, limit)
+    first = F.filter(ok, lambda x, i: F.array_position(nums, _digits(x)) == i + 1)
+    return first if limit is None else F.slice(first, 1, limit)
 
 
 def _not_handle(pattern: str, skip: str):
@@ -130,13 +131,13 @@ def page_facts(html: Column | str, final_url: Column | None = None) -> Column:
         theme(html).alias("theme"),
         apps(html).alias("apps"),
         page_language(html).alias("language"),
-        (url.rlike(r"/password(\?|$)") | F.left(_c(html), F.lit(50_000)).rlike("(?i)template-password|password-page")).alias("password_protected"),
+        (url.rlike(r"/password(\?|$)") | _c(html).rlike("(?i)template-password|password-page")).alias("password_protected"),
     )
 
 
 def merge_pages(first: Column, second: Column) -> Column:
     """Contact details of two pages, the first page's first; its other facts stand."""
-    both = first.withField("emails", F.slice(F.array_union(first["emails"], second["emails"]), 1, 5))
-    both = both.withField("phones", F.slice(F.array_union(first["phones"], second["phones"]), 1, 3))
+    both = first.withField("emails", F.array_union(first["emails"], second["emails"]))
+    both = both.withField("phones", F.array_union(first["phones"], second["phones"]))
     both = both.withField("socials", F.struct(*[F.coalesce(first["socials"][n], second["socials"][n]).alias(n) for n in SOCIAL]))
     return F.when(second.isNull(), first).otherwise(both)

@@ -32,7 +32,7 @@ INTERNAL = (
     r"|dependabot|workflow|makefile|gitignore)\b"
 )
 INTERNAL_SYMBOL = r"^_|^(?i:tests?\.)|^(?i:(docs|scripts|ci|benchmarks?)\.)"
-SECTION_ITEM_MIN, PHRASE_LINE_MIN, SUMMARY_MIN, SUMMARY_MAX, SYMBOLS_MAX, KEY_CHARS = 10, 12, 12, 400, 10, 80
+SECTION_ITEM_MIN, PHRASE_LINE_MIN, SUMMARY_MIN = 10, 12, 12
 SECTION_MIN = 20
 POINTER = r"(?i)refer to .{0,40}CHANGELOG|see .{0,40}CHANGELOG|full changelog"
 
@@ -89,14 +89,14 @@ def clean_line(col: Column | str) -> Column:
 
 
 def symbols(col: Column | str) -> Column:
-    """Code names in backticks, the first ten distinct ones; one to three lower-case letters are prose."""
+    """Distinct code names in backticks; one to three lower-case letters are prose."""
     found = F.regexp_extract_all(_c(col), F.lit(SYMBOL), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(found, lambda s: ~s.rlike(r"^[a-z]{1,3}$"))), 1, SYMBOLS_MAX)
+    return F.array_distinct(F.filter(found, lambda s: ~s.rlike(r"^[a-z]{1,3}$")))
 
 
 def near_key(summary: Column | str) -> Column:
-    """Findings that share their first 80 letters and digits are the same finding."""
-    return F.left(F.regexp_replace(F.lower(_c(summary)), "[^a-z0-9]", ""), F.lit(KEY_CHARS))
+    """Findings that share all letters and digits are the same finding."""
+    return F.regexp_replace(F.lower(_c(summary)), "[^a-z0-9]", "")
 
 
 def breaking_changes(body: Column | str) -> Column:
@@ -108,7 +108,7 @@ def breaking_changes(body: Column | str) -> Column:
 
     def keep(x: Column) -> Column:
         internal = x["summary"].rlike(ascii_words(INTERNAL)) | ((F.size(x["symbols"]) > 0) & F.forall(x["symbols"], lambda s: s.rlike(INTERNAL_SYMBOL)))
-        return F.length(x["summary"]).between(SUMMARY_MIN, SUMMARY_MAX) & ((x["confidence"] == "high") | ~internal)
+        return (F.length(x["summary"]) >= SUMMARY_MIN) & ((x["confidence"] == "high") | ~internal)
 
     return F.transform(F.filter(c, keep), lambda x: F.struct(x["summary"].alias("summary"), x["confidence"].alias("confidence"), x["symbols"].alias("symbols"), near_key(x["summary"]).alias("key")))
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\u00a0\ufeff]"
 
 # Longest description kept, remote-work words (boards with an own workplace field use "virtual").
-MAX_TEXT = 8000
 REMOTE_BOARD = r"(?i)\bremote\b|\bwork from home\b|\bwfh\b|\bdistributed\b|\banywhere\b"
 REMOTE_SITE = r"(?i)\bremote\b|\bwork from home\b|\bwfh\b|\bvirtual\b|\banywhere\b"
 
@@ -72,7 +71,12 @@ def code_point(code: Column) -> Column:
 _NAMED = [(r"&nbsp;|\u00a0", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;|&rsquo;", "'"), ("&quot;|&ldquo;|&rdquo;", '"')]
 
 
-def html_to_text(col: Column | str, limit: int = MAX_TEXT) -> Column:
+def shortened(col: Column, limit: int | None) -> Column:
+    """The first `limit` characters, where a limit is asked for."""
+    return col if limit is None else F.left(col, F.lit(limit))
+
+
+def html_to_text(col: Column | str, limit: int | None = None) -> Column:
     """HTML fragment to text: blocks end lines, list items get a dash, tags go, blanks collapse."""
     c = replace_all(
         F.coalesce(_c(col), F.lit("")),
@@ -87,10 +91,10 @@ def html_to_text(col: Column | str, limit: int = MAX_TEXT) -> Column:
         (r"\n{3,}", "\n\n"),
         (r"[ \t]{2,}", " "),
     )
-    return F.left(trimmed(c), F.lit(limit))
+    return shortened(trimmed(c), limit)
 
 
-def board_html_to_text(col: Column | str, limit: int = MAX_TEXT) -> Column:
+def board_html_to_text(col: Column | str, limit: int | None = None) -> Column:
     """The board variant: no list dash, and only a closing ``br`` ends a line."""
     named = [(r"&nbsp;", " "), *_NAMED[1:]]
     c = replace_all(
@@ -103,7 +107,7 @@ def board_html_to_text(col: Column | str, limit: int = MAX_TEXT) -> Column:
         (r"\n{3,}", "\n\n"),
         (r"[ \t]{2,}", " "),
     )
-    return F.left(trimmed(c), F.lit(limit))
+    return shortened(trimmed(c), limit)
 
 
 def decode_markup(col: Column | str) -> Column:

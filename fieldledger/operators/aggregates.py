@@ -354,5 +354,5 @@ def status_dist(df: DataFrame, status: str, error: str) -> DataFrame:
 
 def stratified_sample(df: DataFrame, ident: str, value: str, threshold: float, low: int = 200, high: int = 150, seed: int = 42) -> DataFrame:
     """A repeatable sample below the threshold and the first rows at or above it (the sampling is the feature)."""
-    small = df.filter(F.coalesce(value, F.lit(0)) < threshold).orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident).limit(low)
+    small = df.filter(F.coalesce(value, F.lit(0)) < threshold).orderBy(F.md5(F.concat(F.col(ident).cast("string"), F.lit(f":{seed}"))), ident).limit(low)
     return small.unionByName(df.filter(F.col(value) >= threshold).orderBy(ident).limit(high))

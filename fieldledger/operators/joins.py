@@ -17,7 +17,6 @@ from .groups import first_per_group, struct_list, top_per_group
 
 # Days a row stays published, stored, and unseen before it is closed; the join limit of a late text join.
 LIVE_DAYS, KEEP_PUBLISHED_DAYS, PURGE_DAYS, KEEP_STORED_DAYS = 1, 7, 3, 30
-SMALL_ROWS = 100_000
 NEVER = "0001-01-01 00:00:00"
 
 
@@ -85,13 +84,11 @@ def archive_closed(closed: DataFrame, dim: DataFrame, tags: DataFrame, ident: st
 def attach_text(top: DataFrame, texts: DataFrame, limit: int | None = None) -> DataFrame:
     """Text for the delivered rows only.
 
-    The inner join lets the few delivered ids be the small side; the outer join then meets only their own hits. Where
-    a `limit` bounds the rows they are checkpointed, so the search behind them runs once, and broadcast.
+    The inner join lets the few delivered ids be the small side, whose size the planner sees; the outer join then meets
+    only their own hits. Rows cut to a `limit` are checkpointed first, so the search behind them runs once.
     """
-    small = limit is not None and limit <= SMALL_ROWS
-    top = cut(top) if small else top
-    ids = F.broadcast(top.select("id")) if small else top.select("id")
-    hits = texts.join(ids, "id").select("id", F.col("text").alias("description"))
+    top = cut(top) if limit is not None else top
+    hits = texts.join(top.select("id"), "id").select("id", F.col("text").alias("description"))
     return top.join(hits, "id", "left").withColumn("description", F.coalesce("description", F.lit("")))
 
 

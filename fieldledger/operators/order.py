@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.notes import confidence_score
 from .groups import first_per_group, numbered, top_per_group
 
-# Seen-set cap, findings kept, notes and advisories cited.
-SEEN_MAX, FINDINGS_MAX, CITED_NOTES, CITED_ADVISORIES = 150_000, 40, 20, 10
-
 
 def newest_first(posted: str = "posted_at", ident: str = "id") -> list[Column]:
     """Newest first, undated last, id last of all so that the order is total."""
@@ -41,9 +38,12 @@ def rank_companies(df: DataFrame, by: str = "matching", n: int | None = None, na
     return out.limit(n) if n else out
 
 
-def rank_changes(df: DataFrame, keys: list[str], n: int = FINDINGS_MAX) -> DataFrame:
-    """Most certain, most symbols, then as found; the first forty per upgrade."""
-    return top_per_group(df, keys, [confidence_score("confidence").desc(), F.size("symbols").desc(), F.col("pos")], n, "rank")
+def rank_changes(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """Rank by most certain, most symbols, then as found; the first `n` per upgrade where a number is asked for."""
+    order = [confidence_score("confidence").desc(), F.size("symbols").desc(), F.col("pos")]
+    if n is None:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return top_per_group(df, keys, order, n, "rank")
 
 
 def by_size(df: DataFrame, size: str, n: int, *ties: str) -> DataFrame:
@@ -51,16 +51,19 @@ def by_size(df: DataFrame, size: str, n: int, *ties: str) -> DataFrame:
     return df.orderBy(F.col(size).desc(), *ties).limit(n)
 
 
-def cap_state(state: DataFrame, keys: list[str], n: int = SEEN_MAX) -> DataFrame:
-    """The newest entries of each seen-set. The cap is large, so positions are worked out day by day."""
+def cap_state(state: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """The newest `n` entries of each seen-set, all where no number is asked for. Positions are worked out day by day."""
+    if n is None:
+        return state
     placed = numbered(state, keys, [F.col("at").desc(), F.col("id")], -F.unix_date(F.to_date("at")), "_pos")
     return placed.filter(F.col("_pos") <= n).drop("_pos")
 
 
-def citations(registry: Column, repo: Column, notes: Column, advisories: Column) -> Column:
-    """Registry page, repository, the first notes, the first advisories."""
+def citations(registry: Column, repo: Column, notes: Column, advisories: Column, most_notes: int | None = None, most_advisories: int | None = None) -> Column:
+    """Registry page, repository, notes, advisories; the first of each where a number is asked for."""
+    first = lambda a, n: a if n is None else F.slice(a, 1, n)
     return F.concat(
-        F.array_compact(F.array(registry, repo)), F.slice(notes, 1, CITED_NOTES), F.slice(advisories, 1, CITED_ADVISORIES)
+        F.array_compact(F.array(registry, repo)), first(notes, most_notes), first(advisories, most_advisories)
     )
 
 

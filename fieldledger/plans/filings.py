@@ -25,11 +25,11 @@ def prefilter(hits: DataFrame, q: dict) -> DataFrame:
 
 
 def funded(hits: DataFrame, documents: DataFrame, q: dict, year: Column, seen: DataFrame | None = None) -> DataFrame:
-    """Filings that pass, the newest of each company, delivered ones left out by filing and by company."""
+    """Filings that pass, delivered ones left out before they are parsed; the newest of what each company has left."""
     wanted = prefilter(hits, q).select("accession", "cik", "file_name", "filed_at").dropDuplicates(["accession"])
+    if seen is not None:
+        wanted = exclude_seen(wanted, seen, "accession")
     filings = form_d(documents.select("accession", "body").join(wanted, "accession")).filter(filing_filter(q, year))
     if q.get("latest_per_company"):
         filings = latest(filings, ["cik"], "filed_at", F.col("accession").desc())
-    if seen is not None:
-        filings = exclude_seen(filings, seen, "accession")
     return filings

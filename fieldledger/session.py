@@ -36,11 +36,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder (a temporary one only where none is set)."""
+    """A fresh folder under the cluster's checkpoint folder. Only a local session may do without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="fieldledger-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
@@ -64,17 +66,3 @@ def saver(spark: SparkSession, purpose: str):
         return spark.read.parquet(f"{root}/{name}")
 
     return save
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy per-row work on a small input.
-
-    Inputs smaller than one read split per core are read by fewer tasks than there are cores; only then are the rows
-    dealt out over all of them. Larger inputs are left as they are read, without a shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
-    return df.repartition(cores) if size < cores * split else df

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.pay import STRUCTURED
 from ..operators.groups import first_per_group
-from ..session import spread
 
 STAGED = {
     "company": "string", "name": "string", "native_id": "string", "title": "string", "location": "string", "additional": "array<string>", "country": "string",
@@ -84,7 +83,7 @@ def _rows(raw: DataFrame, schema: str, path: str | None = None) -> DataFrame:
     """
     doc = F.from_json("body", schema)
     seq = F.col("seq") if "seq" in raw.columns else F.lit(0)
-    r = spread(raw).select("company", seq.alias("_seq"), F.posexplode(doc[path] if path else doc).alias("_i", "p"))
+    r = raw.select("company", seq.alias("_seq"), F.posexplode(doc[path] if path else doc).alias("_i", "p"))
     return r.select("company", F.struct("_seq", "_i").alias("_at"), "p")
 
 
@@ -125,7 +124,7 @@ def lever(raw: DataFrame) -> DataFrame:
         staged(
             r, company=F.col("company"), native_id=p["id"], title=p["text"], location=p["categories"]["location"], department=p["categories"]["team"], posted_raw=at,
             url=p["hostedUrl"], remote_flag=p["workplaceType"] == "remote", employment_type=p["categories"]["commitment"],
-            description=F.left(F.array_join(parts, "\n\n"), F.lit(T.MAX_TEXT)), compensation=comp,
+            description=F.array_join(parts, "\n\n"), compensation=comp,
         ),
         "lever",
     )
@@ -139,7 +138,7 @@ def ashby(raw: DataFrame) -> DataFrame:
         staged(
             r, company=F.col("company"), native_id=p["id"], title=p["title"], location=p["location"], department=F.coalesce(p["department"], p["team"]),
             posted_raw=p["publishedAt"], url=F.coalesce(p["jobUrl"], p["applyUrl"], F.lit("")), remote_flag=p["isRemote"], employment_type=p["employmentType"],
-            description=F.coalesce(F.left(p["descriptionPlain"], F.lit(T.MAX_TEXT)), T.board_html_to_text(p["descriptionHtml"])), compensation=p["compensation"],
+            description=F.coalesce(p["descriptionPlain"], T.board_html_to_text(p["descriptionHtml"])), compensation=p["compensation"],
         ),
         "ashby",
     )
@@ -190,7 +189,7 @@ def workday(lists: DataFrame, details: DataFrame, now: Column) -> DataFrame:
 
 
 def _three(parts: list[Column]) -> Column:
-    return F.left(T.join_present("\n\n", *[T.html_to_text(c) for c in parts]), F.lit(T.MAX_TEXT))
+    return T.join_present("\n\n", *[T.html_to_text(c) for c in parts])
 
 
 def oracle(lists: DataFrame, details: DataFrame) -> DataFrame:
@@ -280,7 +279,7 @@ PERSONIO = (
 
 def personio(raw: DataFrame) -> DataFrame:
     """P10: XML; further offices, titled description sections."""
-    r = spread(raw).select("company", F.explode(F.from_xml("body", PERSONIO)["position"]).alias("p"))
+    r = raw.select("company", F.explode(F.from_xml("body", PERSONIO)["position"]).alias("p"))
     p = F.col("p")
     sections = F.transform(p["jobDescriptions"]["jobDescription"], lambda x: F.concat(F.lit("<h3>"), F.coalesce(x["name"], F.lit("")), F.lit("</h3>"), F.coalesce(x["value"], F.lit(""))))
     return to_job(
@@ -328,7 +327,7 @@ TEAMTAILOR = (
 
 def teamtailor(raw: DataFrame) -> DataFrame:
     """RSS; the company is the channel's title."""
-    r = spread(raw).select("company", F.from_xml("body", TEAMTAILOR)["channel"].alias("c")).select("company", F.col("c.title").alias("name"), F.explode("c.item").alias("p"))
+    r = raw.select("company", F.from_xml("body", TEAMTAILOR)["channel"].alias("c")).select("company", F.col("c.title").alias("name"), F.explode("c.item").alias("p"))
     p = F.col("p")
     spots = p["tt:locations"]["tt:location"]
     names = F.filter(F.transform(spots, lambda x: T.join_present(", ", F.coalesce(x["tt:name"], x["tt:city"]), x["tt:country"])), lambda x: x.isNotNull())
@@ -395,7 +394,7 @@ def ukg(lists: DataFrame, details: DataFrame) -> DataFrame:
 def jobvite(raw: DataFrame) -> DataFrame:
     """A department heading stands for the rows under it; a repeat outside the tables gives way to the table row."""
     parts = F.posexplode(F.split("body", r"(?i)(?=<h3[^>]*>)")).alias("_part", "part")
-    r = spread(raw).select("company", parts).withColumn("dept", _s(T.strip_tags(F.regexp_extract("part", r"(?is)^<h3[^>]*>(.*?)</h3>", 1))))
+    r = raw.select("company", parts).withColumn("dept", _s(T.strip_tags(F.regexp_extract("part", r"(?is)^<h3[^>]*>(.*?)</h3>", 1))))
     row = r'(?is)<td class="jv-job-list-name">\s*<a href="/[^"/]+/job/(\w+)"[^>]*>(.*?)</a>\s*</td>(?:\s*<td(?! class="jv-job-list-location")[^>]*>.*?</td>)*?\s*<td class="jv-job-list-location">(.*?)</td>'
     link = r'(?is)<a href="/[^"/]+/job/(\w+)"[^>]*>(.*?)</a>'
     loose = F.filter(F.regexp_extract_all(F.regexp_replace("part", row, ""), F.lit(link), F.lit(0)), lambda m: ~m.contains("/apply"))
@@ -473,7 +472,7 @@ def _texts(df: DataFrame, **parts: Column) -> DataFrame:
 def icims_portal(raw: DataFrame) -> DataFrame:
     """Cards of a portal page."""
     card = r'(?s)<li class="iCIMS_JobCardItem">(.*?)</li>'
-    r = spread(raw).select("company", F.explode(F.regexp_extract_all("body", F.lit(card), F.lit(1))).alias("card"))
+    r = raw.select("company", F.explode(F.regexp_extract_all("body", F.lit(card), F.lit(1))).alias("card"))
     link = r'<a href="([^"]*/jobs/(\d+)/[^"]*)"'
     named = lambda x: F.regexp_extract("card", rf'(?s)<dt class="iCIMS_JobHeaderField">{x}</dt>\s*<dd[^>]*>(.*?)</dd>', 1)
     place = r'(?s)field-label">Location</span>\s*<span[^>]*>(.*?)</span>'
@@ -494,7 +493,7 @@ def icims_portal(raw: DataFrame) -> DataFrame:
 def talentbrew(raw: DataFrame) -> DataFrame:
     """The first row per id; the title by heading, by class, else the link's text without its spans."""
     a = r'(?s)<a\b([^>]*\bdata-job-id="(\d+)"[^>]*)>(.*?)</a>'
-    r = spread(raw).select("company", F.posexplode(F.regexp_extract_all("body", F.lit(a), F.lit(0))).alias("_i", "m"))
+    r = raw.select("company", F.posexplode(F.regexp_extract_all("body", F.lit(a), F.lit(0))).alias("_i", "m"))
     r = r.select("company", "_i", F.regexp_extract("m", a, 1).alias("attrs"), F.regexp_extract("m", a, 2).alias("id"), F.regexp_extract("m", a, 3).alias("inner"))
     by_class = lambda names: F.regexp_extract("inner", rf'(?s)<[^>]*class="[^"]*{names}[^"]*"[^>]*>(.*?)</[a-z0-9]+>', 1)
     r = _texts(

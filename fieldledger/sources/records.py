@@ -9,10 +9,8 @@ from ..functions import labels as L
 from ..functions import text as T
 from ..functions.versions import repo, severity, tag_version
 from ..operators.joins import advisory_fixed
-from ..session import spread
 
 # Release text kept, advisories read.
-RELEASE_CHARS, ADVISORIES, SUMMARY_CHARS = 8_000, 25, 300
 
 
 def hits(raw: DataFrame) -> DataFrame:
@@ -66,7 +64,7 @@ def _join(sep: str, parts: Column) -> Column:
 def form_d(raw: DataFrame) -> DataFrame:
     """Form D documents (`accession`, `cik`, `file_name`, `filed_at`, `body`) to flat records with nested people."""
     # A one-element explode keeps filters on the result from being pushed below the parse, where each would parse again.
-    x = spread(raw).select("*", F.explode(F.array(F.from_xml("body", FORM_D))).alias("x"))
+    x = raw.select("*", F.explode(F.array(F.from_xml("body", FORM_D))).alias("x"))
     x = x.selectExpr("*", "x.primaryIssuer AS i", "x.offeringData AS o", "x.primaryIssuer.issuerAddress AS a")
     i, o, a = F.col("i"), F.col("o"), F.col("a")
     fund_type = o["industryGroup"]["investmentFundInfo"]["investmentFundType"]
@@ -195,19 +193,19 @@ def releases(raw: DataFrame, keys: list[str]) -> DataFrame:
     r = raw.select(*keys, F.posexplode(doc).alias("pos", "r")).filter("NOT coalesce(r.draft, false)")
     return r.select(
         *keys, "pos", tag_version("r.tag_name").alias("version"), F.col("r.tag_name").alias("tag"), F.col("r.published_at").alias("published_at"), F.col("r.html_url").alias("url"),
-        F.left(F.coalesce("r.body", F.lit("")), F.lit(RELEASE_CHARS)).alias("body"),
+        F.coalesce("r.body", F.lit("")).alias("body"),
     ).filter("version IS NOT NULL")
 
 
 def advisories(raw: DataFrame, keys: list[str], to: Column) -> DataFrame:
-    """The first 25 advisories of an answer, with severity and whether the target version fixes them."""
+    """The advisories of an answer, with severity and whether the target version fixes them."""
     doc = F.from_json("body", "vulns array<struct<id:string,summary:string,details:string,severity:array<struct<type:string,score:string>>,database_specific:struct<severity:string>,affected:array<struct<ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>>>>>")
-    r = raw.select(*keys, to.alias("_to"), F.posexplode(F.slice(doc["vulns"], 1, ADVISORIES)).alias("pos", "v"))
+    r = raw.select(*keys, to.alias("_to"), F.posexplode(doc["vulns"]).alias("pos", "v"))
     none = "array<struct<introduced:string,fixed:string>>"
     ranges = F.flatten(F.transform(F.coalesce("v.affected", F.array()), lambda a: F.coalesce(a["ranges"], F.array())))
     events = F.flatten(F.transform(ranges, lambda g: F.coalesce(g["events"], F.array().cast(none))))
     score = F.get(F.filter("v.severity", lambda s: s["type"].startswith("CVSS")), 0)["score"]
     return r.select(
-        *keys, "pos", F.col("v.id").alias("id"), F.left(F.coalesce("v.summary", "v.details", F.lit("")), F.lit(SUMMARY_CHARS)).alias("summary"), severity("v.database_specific.severity", score).alias("severity"),
+        *keys, "pos", F.col("v.id").alias("id"), F.coalesce("v.summary", "v.details", F.lit("")).alias("summary"), severity("v.database_specific.severity", score).alias("severity"),
         F.concat(F.lit("https://osv.dev/vulnerability/"), "v.id").alias("url"), F.coalesce(advisory_fixed(events, F.col("_to")), F.lit(False)).alias("fixed_by_upgrade"),
     )

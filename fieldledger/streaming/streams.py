@@ -40,22 +40,24 @@ def ingest_stream(spark: SparkSession, path: str, kind: str, out: str, checkpoin
 
 
 def scd_stream(stream: DataFrame, base: str, checkpoint: str, day: str, attrs: list[str]) -> None:
-    """Each batch is one day's snapshot, merged into the table; the pointer moves once the new version is written."""
+    """Snapshots merged into the table; the pointer moves once the new version is written.
+
+    Each id spans the days of its own rows, so a batch of several days or a late one dates nothing wrongly; the
+    attributes are those of the newest day.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        snap = batch.groupBy("id").agg(F.max(day).alias("_day"), *[F.max_by(a, day).alias(a) for a in attrs])
+        snap = batch.groupBy("id").agg(F.min(day).alias("first_seen"), F.max(day).alias("last_seen"), *[F.max_by(a, day).alias(a) for a in attrs])
         # A replayed batch starts from the version before its own.
         old = current(spark, base)
         if old == f"v{number}":
             old = f"v{number - 1}" if number else None
-        stamp = F.col("_day")
-        if old is None:
-            table = snap.select("id", *attrs, stamp.alias("first_seen"), stamp.alias("last_seen"))
-        else:
-            stored = spark.read.parquet(f"{base}/{old}")
-            at = batch.agg(F.max(day).alias("_at")).scalar()
-            table = merge_snapshot(stored, snap.drop("_day"), at, attrs)
+        table = snap.select("id", *attrs, "first_seen", "last_seen")
+        if old is not None:
+            both = spark.read.parquet(f"{base}/{old}").unionByName(table)
+            newest = F.struct("last_seen", *attrs)
+            table = both.groupBy("id").agg(F.max(newest).alias("_n"), F.min("first_seen").alias("first_seen")).select("id", *[F.col("_n")[a].alias(a) for a in attrs], "first_seen", F.col("_n.last_seen").alias("last_seen"))
         table.write.mode("overwrite").parquet(f"{base}/v{number}")
         write_text(spark, f"{base}/CURRENT", f"v{number}")
 

@@ -35,7 +35,9 @@ GROUPS = 64
 OFTEN = 0.002  #: shingles in a larger share of documents come last in the order
 LEAF = 32
 CENTRES = 3
+TREE = 50_000  #: points of a tree that is dealt out by itself
 _FULL = np.iinfo(np.uint16).max
+_LATE = 1 << 62  #: places of the shingles that come last, behind all hashes (shifted to 62 bits; ties are safe)
 
 
 def shingle_sets(column, words: int = 5) -> list[np.ndarray]:
@@ -80,10 +82,15 @@ def _wide(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int = 80) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j in tree order) in different parts whose bound reaches what a link needs; a packed R-tree."""
+def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int = 80, heads: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j in tree order) in different parts whose bound reaches what a link needs; a packed R-tree.
+
+    heads: for each point, in how many trees it is, and where its head ends in the global order. Of two sets, let X be the
+    one whose head ends first: what they share up to there meets in trees, behind it lies at most the rest of X."""
     order = np.lexsort((*points.T[:3], size))  # near sizes, then near counts, share a leaf
     p, n, c = _wide(points[order]), size[order].astype(np.int64), part[order]
+    met, last = (x[order] for x in heads) if heads else (n, np.zeros(len(n), np.int64))
+    rest = -(-percent * n // 100) - 1
     starts = np.arange(0, len(p), LEAF)
     top, low, high = np.maximum.reduceat(p, starts), np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
     one = np.minimum.reduceat(c, starts)
@@ -100,11 +107,13 @@ def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int
         boxes = boxes[np.minimum(top[box], top[boxes]).sum(axis=1) >= needed(low[box], low[boxes], percent)]
         if not len(boxes):
             continue
-        rest = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
-        rest = rest[rest < len(p)]
+        near = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
+        near = near[near < len(p)]
         for i in range(a, b):
-            j = rest[(rest > i)]
+            j = near[near > i]
             j = j[(c[j] != c[i]) & (percent * n[j] <= 100 * n[i])]
+            behind = np.where(last[j] == last[i], np.maximum(rest[i], rest[j]), np.where(last[j] < last[i], rest[j], rest[i]))
+            j = j[np.minimum(met[i], met[j]) + behind >= needed(n[i], n[j], percent)]
             j = j[np.minimum(p[i], p[j]).sum(axis=1) >= needed(n[i], n[j], percent)]
             left.append(np.full(len(j), i))
             right.append(j)
@@ -131,7 +140,8 @@ def _often(docs: DataFrame, words: int, share: float) -> list[int]:
 
 
 def _features(docs: DataFrame, words: int, percent: int, often: list[int]) -> DataFrame:
-    """doc_id, n, node (hash of the set), point, head: the shingles that come first in the global order."""
+    """doc_id, n, node (hash of the set), point, head: the shingles that come first in the global order, last: where the
+    head ends in that order."""
     late = docs.sparkSession.sparkContext.broadcast(np.array(often, dtype=np.int64).view(np.uint64))
 
     def work(batches):
@@ -139,26 +149,30 @@ def _features(docs: DataFrame, words: int, percent: int, often: list[int]) -> Da
         by_hash = np.argsort(ranks)
         held = ranks[by_hash]
         for batch in portions(batches):
-            ids, n, node, points, heads, sizes = batch.column("doc_id"), [], [], [], [], []
+            ids, n, node, points, heads, sizes, last = batch.column("doc_id"), [], [], [], [], [], []
             for grams in shingle_sets(batch.column("text"), words):
                 k = head_length(len(grams), percent)
                 if len(held) and len(grams):
                     at = np.minimum(np.searchsorted(held, grams), len(held) - 1)
                     common = held[at] == grams
                     first = grams[~common][:k]
+                    end = int(first[-1] >> np.uint64(2)) if len(first) else 0
                     if len(first) < k:
-                        first = np.append(first, ranks[np.sort(by_hash[at[common]])[: k - len(first)]])
+                        some = np.sort(by_hash[at[common]])[: k - len(first)]
+                        first, end = np.append(first, ranks[some]), _LATE + int(some[-1])
                 else:
                     first = grams[:k]
+                    end = int(first[-1] >> np.uint64(2)) if len(first) else 0
+                last.append(end)
                 n.append(len(grams))
                 node.append(_node(grams))
                 points.append(point(grams).tobytes())
                 heads.append(first)
                 sizes.append(len(first))
             flat_heads = np.concatenate(heads) if heads else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(points, pa.binary()), lists(flat_heads.view(np.int64), np.cumsum(sizes))], names=["doc_id", "n", "node", "point", "head"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(points, pa.binary()), lists(flat_heads.view(np.int64), np.cumsum(sizes)), pa.array(last, pa.int64())], names=["doc_id", "n", "node", "point", "head", "last"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, node long, point binary, head array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, node long, point binary, head array<bigint>, last long")
 
 
 def _shared_heads(features: DataFrame, batches: int, buckets: int) -> DataFrame:
@@ -203,20 +217,22 @@ def _pairs_in_trees(trees: DataFrame, buckets: int, percent: int) -> DataFrame:
     def work(rows):
         gram = np.asarray(rows.column("gram"))
         order = np.argsort(gram, kind="stable")
-        node, n, part = (np.asarray(rows.column(c))[order] for c in ("node", "n", "part"))
+        node, n, part, met, last = (np.asarray(rows.column(c))[order] for c in ("node", "n", "part", "met", "last"))
         points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)[order]
         gram = gram[order]
         cuts = np.append(np.flatnonzero(np.append([True], gram[1:] != gram[:-1])), len(gram))
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            i, j = search(points[x:y], n[x:y], part[x:y], percent)
+            i, j = search(points[x:y], n[x:y], part[x:y], percent, (met[x:y], last[x:y]))
             a.append(node[x:y][i])
             b.append(node[x:y][j])
         a, b = np.concatenate(a), np.concatenate(b)
         both, met = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_counts=True)
         return pa.table({"a": both[0], "b": both[1], "met": met.astype(np.int64)})
 
-    found = trees.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda rows: work(rows), "a long, b long, met long")
+    # trees of one group of near copies go together, so that their pairs come up once; very large trees go one by one
+    home = F.when(F.col("size") > TREE, F.col("gram")).otherwise(F.col("l"))
+    found = trees.withColumn("bucket", F.pmod(F.xxhash64(home), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda rows: work(rows), "a long, b long, met long")
     return found.groupBy("a", "b").agg(F.sum("met").alias("met"))
 
 
@@ -245,18 +261,19 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     often = _often(base, words, OFTEN)
     features = saved(_features(base, words, percent, often), "features")
-    nodes = features.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point"))
+    nodes = features.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("last").alias("last"))
     heads = saved(_shared_heads(features, pieces(total, 4 << 20), pieces(total, 16 << 20, 8)), "heads")
 
-    in_trees = saved(nodes.join(heads.select("node").distinct(), "node").select("node", "n", "point"), "points")
-    x, y = in_trees.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), in_trees.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    in_trees = saved(nodes.join(heads.groupBy("node").agg(F.count("*").alias("met")), "node").select("node", "n", "point", "last", "met"), "points")
+    x, y = (in_trees.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("point").alias(f"p{k}"), F.col("last").alias(f"l{k}")) for k in ("a", "b"))
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, met) whose sizes, points and heads let them be linked."""
         sized = pairs.join(x, "a").join(y, "b").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
         rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1  # noqa: E731  behind the head
         least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-        return sized.where(F.col("met") + F.greatest(rest("na"), rest("nb")) >= least).mapInArrow(_surviving(percent), "a long, b long")
+        behind = F.when(F.col("la") < F.col("lb"), rest("na")).when(F.col("la") > F.col("lb"), rest("nb")).otherwise(F.greatest(rest("na"), rest("nb")))
+        return sized.where(F.col("met") + behind >= least).mapInArrow(_surviving(percent), "a long, b long")
 
     # first turn: every tree's points against some of them; which pairs it takes matters for the work of the second only
     centres = heads.groupBy("gram").agg(*[F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
@@ -267,7 +284,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # second turn: pairs of different components
     part = components(links)
     marked = heads.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    open_trees = marked.groupBy("gram").agg(F.min("part").alias("l"), F.max("part").alias("h")).where("l < h").select("gram")
+    open_trees = marked.groupBy("gram").agg(F.min("part").alias("l"), F.max("part").alias("h"), F.count("*").alias("size")).where("l < h").select("gram", "l", "size")
     trees = marked.join(open_trees, "gram").join(in_trees, "node")
     second = saved(plausible(_pairs_in_trees(trees, pieces(total, 8 << 20, 8), percent)), "pairs")
     more = saved(_verified(second, base, features, words, percent), "links")

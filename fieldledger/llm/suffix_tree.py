@@ -3,7 +3,7 @@
 A state is a context of up to `depth` words that stand before a word. Its next-word distribution holds what was seen twice
 or more behind it; what was seen once makes the mass that goes to the suffix (the context without its first word):
 P(w | s) = (N(s w) [if >= 2] + (n1(s) + a) P(w | suffix)) / (N(s) + a), where n1 counts the words seen once. The root is the
-smoothed word count. A context is kept when it was seen twice and its continuations, each left out in turn, diverge from
+smoothed word count. A context of k words is kept when it was seen 2 ** k times and its continuations, each left out in turn, diverge from
 the suffix by more than `nats`: the sum over its training words of ln(P_without_it(w | s) / P(w | suffix)), taken from below,
 (N - 1) / (N(s) - 1 + a) for words seen twice, (n1 - 1 + a) / (N(s) - 1 + a) times the suffix for others. A word is scored in
 the longest kept context before it, all of whose suffixes are kept as well; contexts do not cross documents.
@@ -14,7 +14,7 @@ A sequence, word or context that fills a third of the text is one entry per batc
 count is cut off or sampled. All rounds are one plan: the texts are dealt into batches once.
 
 Training: documents with crc32(doc_id as text) mod 5 other than 1; null ids are scored and not trained on. Null and empty
-texts are one end token. Words of equal 64-bit hash count as one; sequences are told apart by 44 bits within a bucket, so
+texts are one end token. Words of equal 64-bit hash count as one; sequences and contexts are told apart by 44 bits within a bucket, so
 chance meetings stay below one in a million. Rows of one id are scored and counted each.
 """
 
@@ -26,13 +26,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.llm.common import Words, join2, pieces, text_bytes
-from fieldledger.llm.keyed import BATCH, Dealt, ask, ask_again, flat, in_batches, lists
+from fieldledger.llm.keyed import BATCH, Dealt, ask, ask_again, in_batches
 
 DEPTH = 2
 NATS = 3.0  #: what a context must gain to be kept
 STRENGTH = 1.0  #: a: words' worth of the suffix in every distribution
 _END = np.uint64(0x9AE16A3B2F90404F)
-_ANSWER = f"{BATCH} int, bucket int, step int, total array<bigint>"
+_ANSWER = f"{BATCH} int, bucket int, step int, total binary, sums array<bigint>"
+
+
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Lists as compressed bytes, low bytes first: most high bytes of counts and of steps between keys are zero."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    rows = np.split(values, ends[:-1]) if len(ends) else []
+    return pa.array([squeeze(np.ascontiguousarray(r).view(np.uint8).reshape(len(r), values.itemsize).T.tobytes()) for r in rows], pa.binary())
+
+
+def unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists of a column, and the row of each."""
+    import zstandard
+
+    expand, size = zstandard.ZstdDecompressor().decompress, np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(expand(b), np.uint8).reshape(size, -1).T).view(kind).ravel() for b in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.empty(0, kind), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
 class Tokens:
@@ -66,17 +84,18 @@ class Entries:
         return np.bincount(self.which, weights=weights, minlength=len(self.keys))
 
     def table(self, batch: int, drop: int, **values: np.ndarray) -> pa.Table:
-        out = self.dealt.table(batch, **values)
+        ends = self.dealt.ends
         keys = (self.keys[self.dealt.order] >> np.uint64(drop)).view(np.int64)
         step = np.diff(keys, prepend=np.int64(0))
-        first = np.concatenate([[0], self.dealt.ends[:-1]])[: len(self.dealt.ends)].astype(np.int64)
+        first = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
         step[first] = keys[first]
-        return out.add_column(2, "keys", lists(step, self.dealt.ends))
+        out = {"bucket": pa.array(self.dealt.bucket, pa.int32()), BATCH: pa.array(np.full(len(ends), batch), pa.int32()), "keys": packed(step, ends)}
+        return pa.table(out | {name: packed(v[self.dealt.order], ends) for name, v in values.items()})
 
     def told(self, replies: pa.Table) -> np.ndarray:
         """The answer to each key: one value per entry, in the order sent."""
         out = np.zeros(len(self.keys), np.int64)
-        values, row = flat(replies.column("total"))
+        values, row = unpacked(replies.column("total"), np.int64)
         if len(values):
             base = np.array([self.dealt.first[b] for b in replies.column("bucket").to_pylist()], dtype=np.int64)
             sizes = np.bincount(row, minlength=replies.num_rows)
@@ -87,7 +106,7 @@ class Entries:
 
 def _asked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which key each entry of a bucket has, its row, and the rows' sizes."""
-    step, row = flat(rows.column("keys"))
+    step, row = unpacked(rows.column("keys"), np.int64)
     sizes = np.bincount(row, minlength=rows.num_rows)
     first = np.cumsum(sizes) - sizes
     run = np.cumsum(step)
@@ -97,7 +116,7 @@ def _asked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _reply(rows: pa.Table, sizes: np.ndarray, values: np.ndarray, step: int) -> pa.Table:
     whole = lambda c: pa.array(np.asarray(rows.column(c)), pa.int32())
-    return pa.table({BATCH: whole(BATCH), "bucket": whole("bucket"), "step": pa.array(np.full(rows.num_rows, step), pa.int32()), "total": lists(values.astype(np.int64), np.cumsum(sizes))})
+    return pa.table({BATCH: whole(BATCH), "bucket": whole("bucket"), "step": pa.array(np.full(rows.num_rows, step), pa.int32()), "total": packed(values.astype(np.int64), np.cumsum(sizes))})
 
 
 def _counts(step: int, least: int):
@@ -105,9 +124,10 @@ def _counts(step: int, least: int):
 
     def work(rows: pa.Table) -> pa.Table:
         which, _, sizes = _asked(rows)
-        total = np.bincount(which, weights=flat(rows.column("n"))[0])
-        own = pa.table({BATCH: pa.array([-1], pa.int32()), "bucket": pa.array([0], pa.int32()), "step": pa.array([step], pa.int32()), "total": pa.array([[int(total.sum()), int((total > 0).sum())]], pa.list_(pa.int64()))})
-        return pa.concat_tables([_reply(rows, sizes, np.where(total >= least, total, 0)[which], step), own])
+        total = np.bincount(which, weights=unpacked(rows.column("n"), np.int32)[0])
+        own = pa.table({BATCH: pa.array([-1], pa.int32()), "bucket": pa.array([0], pa.int32()), "step": pa.array([step], pa.int32()), "total": pa.nulls(1, pa.binary()), "sums": pa.array([[int(total.sum()), int((total > 0).sum())]], pa.list_(pa.int64()))})
+        told = _reply(rows, sizes, np.where(total >= least, total, 0)[which], step)
+        return pa.concat_tables([told.append_column("sums", pa.nulls(told.num_rows, pa.list_(pa.int64()))), own])
 
     return work
 
@@ -117,12 +137,13 @@ def _kept(step: int, nats: float):
 
     def work(rows: pa.Table) -> pa.Table:
         which, _, sizes = _asked(rows)
-        once, gain = (np.bincount(which, weights=flat(rows.column(c))[0]) for c in ("once", "gain"))
+        once, gain = (np.bincount(which, weights=unpacked(rows.column(c), kind)[0]) for c, kind in (("once", np.int32), ("gain", np.float32)))
         seen = np.zeros(len(once))
-        seen[which] = flat(rows.column("seen"))[0]
+        seen[which] = unpacked(rows.column("seen"), np.int32)[0]
         with np.errstate(divide="ignore", invalid="ignore"):
             rest = np.where(once > 0, once * np.log((once - 1 + STRENGTH) / (seen - 1 + STRENGTH)), 0.0)
-        return _reply(rows, sizes, np.where(gain + rest > nats, once + 1, 0)[which], step)
+        told = _reply(rows, sizes, np.where(gain + rest > nats, once + 1, 0)[which], step)
+        return told.append_column("sums", pa.nulls(told.num_rows, pa.list_(pa.int64())))
 
     return work
 
@@ -135,13 +156,13 @@ class Walk:
         t = self.tokens = Tokens(rows)
         step = np.asarray(told.column("step"))
         of = lambda k: told.filter(pa.array(step == k))
-        self.train_tokens, distinct = of(-1).column("total").to_pylist()[0]
+        self.train_tokens, distinct = of(-1).column("sums").to_pylist()[0]
         self.words = Entries(t.word, buckets).told(of(0))[np.unique(t.word, return_inverse=True)[1]]
         self.base = (self.words + 0.5) / (self.train_tokens + 0.5 * (distinct + 1))
         self.p, seen = self.base.copy(), np.concatenate([[0], self.words[:-1]])
         at = np.arange(len(t.word))
         for k in range(1, steps // 2 + 1):
-            at = at[(t.place[at] >= k) & (seen[at] >= 2)]
+            at = at[(t.place[at] >= k) & (seen[at] >= 2**k)]
             self.at, self.context = at, t.context(k, at)
             self.sequences = Entries(join2(self.context, t.word[at], 77), buckets)
             if steps == 2 * k:
@@ -168,7 +189,7 @@ class Walk:
             at = np.flatnonzero(ok)
 
 
-def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes: int = 6 << 20) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes: int = 10 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(True))
@@ -185,9 +206,9 @@ def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes:
         e = Entries(t.word, buckets)
         return e.table(batch, 0, n=e.sums(t.train).astype(np.int32))
 
-    first = answered(ask(batches, words, "keys array<bigint>, n array<int>"), _counts(0, 1))
-    of_all = first.where(f"{BATCH} = -1").agg(F.array(*[F.coalesce(F.sum(F.col("total")[k]), F.lit(0)) for k in (0, 1)]).alias("total"))
-    everywhere = spark.range(count).select(F.col("id").cast("int").alias(BATCH), F.lit(-1).alias("bucket"), F.lit(-1).alias("step"), of_all.scalar().alias("total"))
+    first = answered(ask(batches, words, "keys binary, n binary"), _counts(0, 1))
+    of_all = first.where(f"{BATCH} = -1").agg(F.array(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in (0, 1)]).alias("sums"))
+    everywhere = spark.range(count).select(F.col("id").cast("int").alias(BATCH), F.lit(-1).alias("bucket"), F.lit(-1).alias("step"), F.lit(None).cast("binary").alias("total"), of_all.scalar().alias("sums"))
     told = everywhere.unionByName(first.where(f"{BATCH} >= 0"))
     for k in range(1, depth + 1):
 
@@ -197,12 +218,12 @@ def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes:
 
         def contexts(batch: int, rows: pa.Table, known: pa.Table, k: int = k) -> pa.Table:
             w = Walk(rows, known, 2 * k + 1, buckets)
-            return w.contexts.table(batch, 0, once=w.once.astype(np.int32), gain=w.gain.astype(np.float32), seen=w.seen.astype(np.int32))
+            return w.contexts.table(batch, 20, once=w.once.astype(np.int32), gain=w.gain.astype(np.float32), seen=w.seen.astype(np.int32))
 
-        kind = f"bucket int, {BATCH} int, keys array<bigint>"
-        counted = answered(ask_again(batches, told, sequences, f"{kind}, n array<int>"), _counts(2 * k - 1, 2)).where(f"{BATCH} >= 0")
+        kind = f"bucket int, {BATCH} int, keys binary"
+        counted = answered(ask_again(batches, told, sequences, f"{kind}, n binary"), _counts(2 * k - 1, 2)).where(f"{BATCH} >= 0")
         told = told.unionByName(counted)
-        told = told.unionByName(answered(ask_again(batches, told, contexts, f"{kind}, once array<int>, gain array<float>, seen array<int>"), _kept(2 * k, nats)))
+        told = told.unionByName(answered(ask_again(batches, told, contexts, f"{kind}, once binary, gain binary, seen binary"), _kept(2 * k, nats)))
 
     def result(batch: int, rows: pa.Table, known: pa.Table) -> pa.Table:
         w = Walk(rows, known, 2 * depth + 2, buckets)

@@ -37,7 +37,7 @@ def plain(rows, depth, nats, a):
     for k in range(1, depth + 1):
         gain = Counter()
         for (s, w), c in pairs[k].items():
-            if (m := seen[k].get(s, 0)) >= 2 and (k == 1 or kept.get(s[1:])):
+            if (m := seen[k].get(s, 0)) >= 2**k and (k == 1 or kept.get(s[1:])):
                 gain[s] += c * math.log((c - 1) / (m - 1 + a) / p(s[1:], w)) if c > 1 else math.log((once[s] - 1 + a) / (m - 1 + a))
         kept |= {s: g > nats for s, g in gain.items()}
     out = []

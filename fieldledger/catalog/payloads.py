@@ -366,7 +366,7 @@ def p27(spark, d):
 
 
 @query("p28_advisories", """
-SELECT p_partkey AS pkg, i AS pos, 'GHSA-' || p_partkey || '-' || i AS id, CASE i % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'unknown' END AS severity, p_size <= 25 AND i % 2 = 0 AS fixed_by_upgrade FROM part, range(25) t(i)""")
+SELECT p_partkey AS pkg, i AS pos, 'GHSA-' || p_partkey || '-' || i AS id, CASE i % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'unknown' END AS severity, p_size <= 25 AND i % 2 = 0 AS fixed_by_upgrade FROM part, range(30) t(i)""")
 def p28(spark, d):
     p = A.table(spark, d, "part")
     fixed = cat(col("p_size"), lit(".0"))

@@ -215,7 +215,7 @@ y AS (SELECT *, CASE WHEN target <> 'good' AND req % 2 = 0 AND b = s THEN 1 ELSE
 z AS (SELECT *, in_notes - CASE WHEN target = 'pointer' AND log = 1 THEN 1 ELSE 0 END + log AS notes_found, (target IN ('good', 'pointer') OR log = 1) AS documented,
   in_notes - CASE WHEN req % 3 = 0 AND in_notes > 0 THEN 1 ELSE 0 END AS opts FROM y),
 delta AS (SELECT req, CASE WHEN b = a THEN 'same' ELSE 'major' END AS kind, CAST(b - a AS BIGINT) AS majors, CAST(least(b, s + 2) - a AS BIGINT) AS releases_in_range, CAST(notes_found AS BIGINT) AS notes_found, documented AS target_documented,
-  b > a AND NOT documented AS major_undocumented, CAST(CASE WHEN opts > 0 THEN opts + 1 ELSE 0 END + log AS BIGINT) AS breaking, CASE WHEN req % 4 = 0 THEN 1::BIGINT ELSE 0::BIGINT END AS advisories, CASE WHEN req % 4 = 0 AND s > 20 THEN 1::BIGINT ELSE 0::BIGINT END AS fixed FROM z)"""
+  b > a AND NOT documented AS major_undocumented, CAST(CASE WHEN opts > 0 THEN opts + 2 ELSE 0 END + log AS BIGINT) AS breaking, CASE WHEN req % 4 = 0 THEN 1::BIGINT ELSE 0::BIGINT END AS advisories, CASE WHEN req % 4 = 0 AND s > 20 THEN 1::BIGINT ELSE 0::BIGINT END AS fixed FROM z)"""
 A.VIEWS["delta"] = DELTA_SQL
 DELTA = ["req", "kind", "majors", "releases_in_range", "notes_found", "target_documented", "major_undocumented", "breaking", "advisories", "fixed"]
 

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import _MASK, WORD_BREAK, Words, saved
+from fieldledger.llm.common import _MASK, WORD_BREAK, Words, portions, saved
 
 FIT_ROWS = 20_000
 VOTERS = 300
+PORTION = 1 << 19  #: bytes of text for which counts are held at once
 #: Fixed: form patterns, counted per text (over the folded words but for the first two).
 PATTERNS = ("shouted words", "shouted share", "exclamations", "marks in a row", "masked letters", "digits", "addresses", "second person", "long words", "few words")
 _SECOND = [b"you", b"your", b"du", b"dein", b"ihr", b"tu", b"toi", b"vous", b"usted", b"te"]
@@ -109,7 +110,7 @@ def _lexicon(rows: DataFrame, toxic: int, clean: int, voters: int) -> np.ndarray
     """Keys that stand out in toxic texts, sorted."""
 
     def tally(batches):
-        for batch in batches:
+        for batch in portions(batches):
             w = Words(batch.column("text"), fold=True)
             first, size = _eights(w)
             label = np.asarray(batch.column("toxic"))
@@ -211,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, voters: in
     lexicon = _lexicon(rows, toxic, clean, voters)
 
     def read(batches):
-        for batch in batches:
+        for batch in portions(batches, size=PORTION):
             c = _counts(batch.column("text"), lexicon).astype(np.float32)
             yield pa.RecordBatch.from_pydict({"c": pa.array([r.tobytes() for r in c], pa.binary()), "toxic": batch.column("toxic")})
 
@@ -238,8 +239,8 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, voters:
 
     def work(batches):
         for batch in batches:
-            parts = [model.score(batch.column("text")[a : a + 1000].fill_null("")) for a in range(0, batch.num_rows, 1000)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=[*batch.schema.names, "score"])
+            for part in portions([batch], size=PORTION):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column("text").fill_null("")), pa.float64())], names=[*part.schema.names, "score"])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(work, f"{columns}, score double")

@@ -9,7 +9,8 @@ the suffix by more than `nats`: the sum over its training words of ln(P_without_
 the longest kept context before it, all of whose suffixes are kept as well; contexts do not cross documents.
 
 Counting goes from short to long contexts, by questions of batches of documents to hash buckets (see `keyed`): the counts
-of words; then for each length the counts of sequences behind contexts that can be kept, and the sums for each context.
+of words; then for each length the counts of sequences behind contexts that can be kept (if the sequence without its first
+word was seen twice), and the sums for each context.
 A sequence, word or context that fills a third of the text is one entry per batch. Nothing is held in one place, and no
 count is cut off or sampled. All rounds are one plan: the texts are dealt into batches once.
 
@@ -160,14 +161,16 @@ class Walk:
         self.words = Entries(t.word, buckets).told(of(0))[np.unique(t.word, return_inverse=True)[1]]
         self.base = (self.words + 0.5) / (self.train_tokens + 0.5 * (distinct + 1))
         self.p, seen = self.base.copy(), np.concatenate([[0], self.words[:-1]])
-        at = np.arange(len(t.word))
+        at, most = np.arange(len(t.word)), self.words  # a sequence is seen no more often than its own suffix
         for k in range(1, steps // 2 + 1):
             at = at[(t.place[at] >= k) & (seen[at] >= 2**k)]
-            self.at, self.context = at, t.context(k, at)
-            self.sequences = Entries(join2(self.context, t.word[at], 77), buckets)
+            self.context, may = t.context(k, at), most[at] >= 2
+            self.asked = at[may]
+            self.sequences = Entries(join2(self.context[may], t.word[self.asked], 77), buckets)
             if steps == 2 * k:
                 return
-            count = self.sequences.told(of(2 * k - 1))[self.sequences.which]
+            count = np.zeros(len(at), np.int64)
+            count[may] = self.sequences.told(of(2 * k - 1))[self.sequences.which]
             self.contexts = Entries(self.context, buckets)
             teach, n = t.train[at], seen[at]
             self.once = self.contexts.sums(teach & (count < 2))
@@ -184,6 +187,7 @@ class Walk:
             # the next token's longer context is this sequence; it can be kept only where its suffix is
             follow = np.zeros(len(t.word) + 1, np.int64)
             follow[at + 1] = count
+            most = follow[1:]
             seen, ok = follow[:-1], np.zeros(len(t.word), bool)
             ok[at[use]] = True
             at = np.flatnonzero(ok)
@@ -214,7 +218,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes:
 
         def sequences(batch: int, rows: pa.Table, known: pa.Table, k: int = k) -> pa.Table:
             w = Walk(rows, known, 2 * k, buckets)
-            return w.sequences.table(batch, 20, n=w.sequences.sums(w.tokens.train[w.at]).astype(np.int32))
+            return w.sequences.table(batch, 20, n=w.sequences.sums(w.tokens.train[w.asked]).astype(np.int32))
 
         def contexts(batch: int, rows: pa.Table, known: pa.Table, k: int = k) -> pa.Table:
             w = Walk(rows, known, 2 * k + 1, buckets)

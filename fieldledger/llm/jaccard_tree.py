@@ -35,7 +35,7 @@ GROUPS = 64
 OFTEN = 0.002  #: shingles in a larger share of documents come last in the order
 LEAF = 32
 CENTRES = 3
-TREE = 50_000  #: points of a tree that is dealt out by itself
+TREE = 8_000  #: points of a tree that is dealt out by itself
 _FULL = np.iinfo(np.uint16).max
 _LATE = 1 << 62  #: places of the shingles that come last, behind all hashes (shifted to 62 bits; ties are safe)
 
@@ -87,7 +87,7 @@ def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int
 
     heads: for each point, in how many trees it is, and where its head ends in the global order. Of two sets, let X be the
     one whose head ends first: what they share up to there meets in trees, behind it lies at most the rest of X."""
-    order = np.lexsort((*points.T[:3], size))  # near sizes, then near counts, share a leaf
+    order = np.lexsort((*points.T[:3], size, part))  # one part, then near sizes and counts, share a leaf
     p, n, c = _wide(points[order]), size[order].astype(np.int64), part[order]
     met, last = (x[order] for x in heads) if heads else (n, np.zeros(len(n), np.int64))
     rest = -(-percent * n // 100) - 1
@@ -98,9 +98,8 @@ def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int
     left, right = [], []
     for a in range(0, len(p), LEAF):
         b, box = min(a + LEAF, len(p)), a // LEAF
-        # boxes: sizes ascend, so later boxes hold larger sets; all but those of this leaf's only part
-        far = int(np.searchsorted(low, high[box] * 100 // percent, "right"))
-        boxes = np.arange(box, max(far, box + 1))
+        # boxes whose sizes are near enough, but for those of this leaf's only part
+        boxes = box + np.flatnonzero((percent * low[box:] <= 100 * high[box]) & (percent * low[box] <= 100 * high[box:]))
         if single[box]:
             boxes = boxes[~(single[boxes] & (one[boxes] == one[box]))]
         # the least overlap is smallest for the smallest sizes of both
@@ -111,7 +110,7 @@ def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int
         near = near[near < len(p)]
         for i in range(a, b):
             j = near[near > i]
-            j = j[(c[j] != c[i]) & (percent * n[j] <= 100 * n[i])]
+            j = j[(c[j] != c[i]) & (percent * np.maximum(n[j], n[i]) <= 100 * np.minimum(n[j], n[i]))]
             behind = np.where(last[j] == last[i], np.maximum(rest[i], rest[j]), np.where(last[j] < last[i], rest[j], rest[i]))
             j = j[np.minimum(met[i], met[j]) + behind >= needed(n[i], n[j], percent)]
             j = j[np.minimum(p[i], p[j]).sum(axis=1) >= needed(n[i], n[j], percent)]

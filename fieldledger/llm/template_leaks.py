@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import saved, windows
+from fieldledger.llm.common import portions, saved, windows
 
 # What counts as a number word and as a unit.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())
@@ -55,7 +55,7 @@ class Reader:
 
     PLAIN, IS_NUMBER, MAY_BE_UNIT, CAPITAL = range(4)
 
-    def __init__(self, room: int = 300_000) -> None:
+    def __init__(self, room: int = 150_000) -> None:
         import xxhash
 
         self.room, self.known, self.digest = room, {}, xxhash.xxh3_64_intdigest
@@ -142,7 +142,7 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 8, cover: float = 0.5,
 
     def work(batches):
         read, table = Reader(), sent.value
-        for batch in batches:
+        for batch in portions(batches, size=1 << 20):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 t = read(text)

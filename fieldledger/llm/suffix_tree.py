@@ -3,8 +3,8 @@
 A state is a context of up to `depth` words that stand before a word. Its next-word distribution holds what was seen twice
 or more behind it; what was seen once makes the mass that goes to the suffix (the context without its first word):
 P(w | s) = (N(s w) [if >= 2] + (n1(s) + a) P(w | suffix)) / (N(s) + a), where n1 counts the words seen once. The root is the
-smoothed word count. A context of k words is kept when it was seen 2 ** k times and its continuations, each left out in turn, diverge from
-the suffix by more than `nats`: the sum over its training words of ln(P_without_it(w | s) / P(w | suffix)), taken from below,
+smoothed word count. A context of any length is kept when its continuations, each left out in turn, diverge from the
+suffix by more than `nats` (what was seen once has none left, so this begins at two sightings): the sum over its training words of ln(P_without_it(w | s) / P(w | suffix)), taken from below,
 (N - 1) / (N(s) - 1 + a) for words seen twice, (n1 - 1 + a) / (N(s) - 1 + a) times the suffix for others. A word is scored in
 the longest kept context before it, all of whose suffixes are kept as well; contexts do not cross documents.
 
@@ -163,7 +163,7 @@ class Walk:
         self.p, seen = self.base.copy(), np.concatenate([[0], self.words[:-1]])
         at, most = np.arange(len(t.word)), self.words  # a sequence is seen no more often than its own suffix
         for k in range(1, steps // 2 + 1):
-            at = at[(t.place[at] >= k) & (seen[at] >= 2**k)]
+            at = at[(t.place[at] >= k) & (seen[at] >= 2)]
             self.context, may = t.context(k, at), most[at] >= 2
             self.asked = at[may]
             self.sequences = Entries(join2(self.context[may], t.word[self.asked], 77), buckets)

@@ -3,8 +3,9 @@
 A word's template is the word itself, folded and without punctuation at its ends, or a typed placeholder: `<number>` for
 figures and number words, `<unit>` for a known unit behind a number (or glued to one), `<name>` for a capitalised word
 that does not open a sentence. Windows of `size` template words (the whole item where it is shorter) are hashed and joined
-between benchmark and documents. Hits of one document and item on one diagonal are put together; their slots must be
-consistent, i.e. each value of the item stands for one value of the document throughout. So a question with other
+between benchmark and documents. Hits of one document and item on one diagonal are put together, and runs of hits are chained in order over
+nearby diagonals, as an inserted or missing word moves what follows it. The slots must be consistent on a
+diagonal and along a chain, i.e. each value of the item stands for one value of the document throughout. So a question with other
 numbers or names is caught, while text that only shares a shape is not: windows that are mostly placeholders do not
 count, and the hits must cover at least `cover` of the item's words (and `least` words of it, or all).
 
@@ -17,6 +18,7 @@ items are reported under each of their ids. Other columns are ignored; empty tab
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -126,6 +128,37 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(work, f"item_id {kind}, words int, width int, item_at int, hash long, item_slots array<string>")
 
 
+def chained(words: int, width: int, lines: list[dict]) -> list[tuple[int, int, int]]:
+    """(covered, changed, at) of whole diagonals and of chains of their runs; lines: the consistent diagonals of a document and item."""
+    out, runs = [], []
+    for line in lines:
+        d, pairs = line["diagonal"], {(x["theirs"], x["own"]) for x in line["slots"]}
+        ats = np.array(line["ats"])
+        out.append((int(width + np.minimum(np.diff(ats), width).sum()), sum(a != b for a, b in pairs), int(ats[0]) + d))
+        for part in np.split(ats, np.flatnonzero(np.diff(ats) > 1) + 1):
+            runs.append((int(part[0]) + d, int(part[0]), int(part[-1]), d, pairs))
+    if len(lines) < 2:
+        return out
+    runs.sort(key=lambda r: r[:4])
+    longest = max(b - a for _, a, b, _, _ in runs)
+    best: list[tuple[int, frozenset, int]] = []  # of the chains that end with each run: words covered, slots, first word
+    for j, (at, first, last, d, pairs) in enumerate(runs):
+        size = last - first + width
+        top = (size, frozenset(pairs), at)
+        for i in range(j - 1, -1, -1):
+            at_i, first_i, last_i, d_i, _ = runs[i]
+            if at - at_i > longest + width + words:
+                break
+            if last_i < first and last_i + d_i < at and at - (last_i + d_i) <= width + words and abs(d - d_i) <= words:
+                covered = best[i][0] + size - max(0, last_i + width - first)
+                if covered > top[0]:
+                    both = best[i][1] | pairs
+                    if len({a for a, _ in both}) == len(both) == len({b for _, b in both}):
+                        top = (covered, both, best[i][2])
+        best.append(top)
+    return out + [(n, sum(a != b for a, b in pairs), at) for n, pairs, at in best]
+
+
 def leaks(docs: DataFrame, items: DataFrame, size: int = 8, cover: float = 0.5, least: int = 8) -> DataFrame:
     """doc_id, item_id, item_words, covered, changed (slots with another value), at (first word in the document)."""
     spark = docs.sparkSession
@@ -158,12 +191,23 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 8, cover: float = 0.5,
     kind = docs.schema["doc_id"].dataType.simpleString()
     hits = keys.mapInArrow(work, f"doc_id {kind}, width int, at long, hash long, slots array<string>")
     met = hits.join(ours, ["hash", "width"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
-    lines = met.groupBy("doc_id", "item_id", "words", "width", "diagonal").agg(F.sort_array(F.collect_set("item_at")).alias("ats"), F.min("at").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("own"))))).alias("slots"))
-    step = F.transform("ats", lambda x, k: F.when(k == 0, F.col("width")).otherwise(F.least(F.col("width"), x - F.get(F.col("ats"), k - 1))))
-    covered = F.aggregate(step, F.lit(0), lambda s, x: s + x)
+    lines = met.groupBy("doc_id", "item_id", "words", "width", "diagonal").agg(F.sort_array(F.collect_set("item_at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("own"))))).alias("slots"))
     theirs, own = F.array_distinct(F.transform("slots", lambda s: s["theirs"])), F.array_distinct(F.transform("slots", lambda s: s["own"]))
     consistent = (F.size(theirs) == F.size("slots")) & (F.size(own) == F.size("slots"))
-    good = lines.withColumn("covered", covered).where(consistent & (F.col("covered") >= F.least(F.col("words"), F.greatest(F.lit(least), F.ceil(cover * F.col("words"))))))
-    changed = F.size(F.filter("slots", lambda s: s["theirs"] != s["own"]))
-    best = F.max_by(F.struct("covered", changed.alias("changed"), "at"), F.struct("covered", -changed, -F.col("at")))
-    return good.groupBy("doc_id", "item_id", F.col("words").alias("item_words")).agg(best.alias("b")).select("doc_id", "item_id", "item_words", "b.covered", "b.changed", "b.at")
+    grouped = lines.where(consistent).groupBy("doc_id", "item_id", "words", "width").agg(F.collect_list(F.struct("diagonal", "ats", "slots")).alias("lines"))
+
+    def judge(batches):
+        for batch in batches:
+            keep, found = [], []
+            for row in range(batch.num_rows):
+                words, width, lines = (batch.column(c)[row].as_py() for c in ("words", "width", "lines"))
+                covered, changed, at = max(chained(words, width, lines), key=lambda c: (c[0], -c[1], -c[2]))
+                if covered >= min(words, max(least, math.ceil(cover * words))):
+                    keep.append(row)
+                    found.append((words, covered, changed, at))
+            ids = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("doc_id", "item_id")]
+            cols = list(zip(*found, strict=True)) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays(ids + [pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "item_words", "covered", "changed", "at"])
+
+    item_kind = items.schema["item_id"].dataType.simpleString()
+    return grouped.mapInArrow(judge, f"doc_id {kind}, item_id {item_kind}, item_words int, covered int, changed int, at long")

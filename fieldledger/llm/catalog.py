@@ -115,3 +115,20 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldledger.llm.feistel_shards import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldledger.llm.bit_planes import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_bit_planes"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum([a.v[i] * b.v[i] for i in range(1, len(a.v) + 1)])::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+"""

@@ -132,3 +132,10 @@ r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number
       FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldledger.llm.nn_descent import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))

@@ -13,12 +13,9 @@ from .registry import query
 @query("k01_newest_first", """
 WITH @postings SELECT id, CAST(row_number() OVER (PARTITION BY source, company ORDER BY posted_at DESC NULLS LAST, id) AS BIGINT) AS pos FROM postings""")
 def k01(spark, d):
-    from ..operators.groups import numbered
+    from ..operators.groups import placed
 
-    p = A.postings(spark, d)
-    # The month of posting falls along the order; undated rows are the last piece.
-    piece = F.coalesce(-F.months_between(F.date_trunc("month", "posted_at"), F.lit("1990-01-01").cast("date")).cast("int"), F.lit(1))
-    return numbered(p, CO, O.newest_first(), piece).select("id", F.col("pos").cast("bigint").alias("pos"))
+    return placed(A.postings(spark, d), CO, O.newest_first()).select("id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("k02_first_n", """

@@ -19,6 +19,7 @@ from .filters import FILING_Q, filings, market, stores
 from .joins import CO
 from .payloads import filing_docs, js, st
 from .registry import query
+from .sources import published
 from .upserts import base_before
 
 lit, col, cat = F.lit, F.col, F.concat
@@ -36,7 +37,7 @@ def q01(spark, d):
     from ..operators.joins import attach_text
 
     texts = A.table(spark, d, "documents").select(col("doc_id").alias("id"), "text")
-    top = PJ.job_search(A.postings(spark, d), JOB_Q, A.now())
+    top = PJ.job_search_index(spark, *published(spark, d, "postings whole", A.postings), JOB_Q, A.now()).rows
     # A posting's text is the document of its number.
     out = attach_text(top.select(col("id").alias("pid"), col("k").alias("id"), "title", "posted_at"), texts, JOB_Q["max_jobs"])
     return out.select(col("pid").alias("id"), "title", col("posted_at").cast("string").alias("posted_at"), "description")
@@ -139,17 +140,28 @@ def q05(spark, d):
 
 
 @query("q06_hospital_search", """
-WITH @postings, @health, h2 AS (SELECT p.id, p.posted_at, h.system, p.source, p.company FROM postings p JOIN health h ON h.key = p.source || ':' || p.company WHERE coalesce(posted_at, first_seen) >= TIMESTAMP '2001-08-01' - INTERVAL 900 DAY AND system_state IN ('S0','S1','S2') AND title NOT LIKE '%engineer'),
-c AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY posted_at DESC NULLS LAST, id) AS rn FROM h2) SELECT id, system FROM c WHERE rn <= 20 ORDER BY posted_at DESC NULLS LAST, id LIMIT 150""")
+WITH @postings, @health, h2 AS (SELECT p.id, p.posted_at, p.title, h.system, p.source, p.company FROM postings p JOIN health h ON h.key = p.source || ':' || p.company WHERE coalesce(posted_at, first_seen) >= TIMESTAMP '2001-08-01' - INTERVAL 900 DAY AND system_state IN ('S0','S1','S2') AND title NOT LIKE '%engineer'),
+c AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY posted_at DESC NULLS LAST, id) AS rn FROM h2) SELECT id, system, 'Registered nurse' AS role_family, title, CAST(posted_at AS VARCHAR) AS posted_at FROM c WHERE rn <= 20 ORDER BY posted_at DESC NULLS LAST, id LIMIT 150""")
 def q06(spark, d):
     q = dict(posted_within=900, states=["S0", "S1", "S2"], families=["Registered nurse"], per_system=20, max_jobs=150)
-    return PH.hospital_search(A.postings(spark, d), A.health_systems(spark, d), q, A.now()).select("id", "system")
+    found = PH.hospital_search_index(spark, *published(spark, d, "postings whole", A.postings), A.health_systems(spark, d), q, A.now())
+    return found.rows.select("id", "system", "role_family", "title", col("posted_at").cast("string").alias("posted_at"))
 
 
 @query("q07_store_search", """
-WITH @stores SELECT domain, product_count FROM stores WHERE k % 2 = 0 AND currency = 'USD' ORDER BY coalesce(product_count, 0) DESC, domain LIMIT 25""")
+WITH @stores, m AS (SELECT * FROM stores WHERE k % 2 = 0 AND currency = 'USD') SELECT domain, product_count, (SELECT count(*) FROM m) AS matched FROM m ORDER BY coalesce(product_count, 0) DESC, domain LIMIT 25""")
 def q07(spark, d):
-    return PS.store_search(stores(spark, d), dict(require_email=True, currencies=["usd"], sort_by="most_products", max_results=25), A.now()).select("domain", "product_count")
+    index = published(spark, d, "stores", stores, PS.newest_found(), 200, "first_seen")
+    found = PS.store_search_index(spark, *index, dict(require_email=True, currencies=["usd"], sort_by="most_products", max_results=25), A.now())
+    return found.rows.select("domain", "product_count", lit(found.matched).cast("bigint").alias("matched"))
+
+
+@query("q07_newest_stores", """
+WITH @stores SELECT domain, CAST(first_seen AS VARCHAR) AS first_seen FROM stores WHERE k % 2 = 0 AND currency = 'USD' AND first_seen > TIMESTAMP '2001-03-01' ORDER BY first_seen DESC, domain LIMIT 25""")
+def q07b(spark, d):
+    index = published(spark, d, "stores", stores, PS.newest_found(), 200, "first_seen")
+    found = PS.store_search_index(spark, *index, dict(require_email=True, currencies=["usd"], seen_after="2001-03-01 00:00:00", max_results=25), A.now())
+    return found.rows.select("domain", col("first_seen").cast("string").alias("first_seen"))
 
 
 @query("q08_store_build", """

@@ -165,7 +165,7 @@ f AS (SELECT *, refused / n AS share, refused / n > 0.1 AS bad FROM w WHERE n =
 SELECT win AS "window", refused, round(share, 6) AS share, win - coalesce(max(CASE WHEN NOT bad THEN win END) OVER (ORDER BY win), -1) AS bad_streak FROM f""")
 def w15(spark, d):
     e = A.table(spark, d, "events")
-    r = W.refusal_windows(e, [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), F.col("event_type") == "error")
+    r = W.refusal_windows(e, [F.col("ts"), F.col("event_id")], F.col("event_type") == "error")
     return r.select("window", "refused", F.round("share", 6).alias("share"), "bad_streak")
 
 

@@ -4,7 +4,8 @@
 (WindowGroupLimit). Work that needs a whole ordered group (exact positions, values carried down, exact medians) is
 split: a `bucket` column that never falls along the order cuts each group into pieces, the pieces are summarised,
 the few summaries per group are accumulated, and each row is finished inside its own piece. One key may hold a
-third of the table and still spreads over all its pieces.
+third of the table and still spreads over all its pieces. Where no such column is at hand, `placed` cuts the table by
+range over the whole order, at points Spark samples.
 """
 
 from __future__ import annotations
@@ -13,11 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import saver
+
+#: Spark cuts `row_number() <= n` before the shuffle up to this n (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
-    """The first `n` rows of each group; with no keys, of the table."""
+    """The first `n` rows of each group; with no keys, of the table. Beyond Spark's own group limit no task holds a whole
+    group: positions are then found by range."""
     if not keys:
         return df.orderBy(*order).limit(n)
+    if n > GROUP_LIMIT:
+        out = placed(df, keys, order, rank or "_rn").filter(F.col(rank or "_rn") <= n)
+        return out if rank else out.drop("_rn")
     out = df.withColumn(rank or "_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank or "_rn") <= n)
     return out if rank else out.drop("_rn")
 
@@ -60,6 +70,29 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column
     return joined.withColumn(out, F.row_number().over(own) + F.col("_off")).drop("_b", "_f", "_off")
 
 
+def slices(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
+    """The rows dealt by range over the whole order into slices, written once in order: `_slice`, and `_row`, the place
+    in the slice from 0. Rows equal in all of the order share a slice."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The number counts from 0 in every partition; its low 33 bits are the row's place there.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    cut = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_slice", F.spark_partition_id()).withColumn("_row", row)
+    return saver(df.sparkSession, "slices")(cut, "rows")
+
+
+def placed(df: DataFrame, keys: list[str], order: list[Column], out: str = "pos", parts: int | None = None) -> DataFrame:
+    """Exact 1-based position in the order of each group (with no keys: of the table); `order` should be total.
+
+    A group's rows lie in consecutive slices of keys and order, so a position is the place in the slice, less the place
+    where the group starts there, plus the group's rows in the slices before.
+    """
+    cut = slices(df, [*[F.col(k).asc_nulls_first() for k in keys], *order], parts)
+    runs = cut.groupBy("_slice", *keys).agg(F.count("*").alias("_n"), F.min("_row").alias("_start"))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # a row per slice at most
+    offsets = runs.select("_slice", *keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start") + 1).alias("_off"))
+    return rejoin(cut, offsets, ["_slice", *keys]).withColumn(out, F.col("_row") + F.col("_off")).drop("_slice", "_row", "_off")
+
+
 def carried_down(df: DataFrame, keys: list[str], order: str, bucket: Column, value: Column, out: str) -> DataFrame:
     """The last non-null `value` at or before each row; `order` is one column, unique in the group."""
     df = df.withColumn("_b", bucket).withColumn("_v", value)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.notes import confidence_score
-from .groups import first_per_group, numbered, top_per_group
+from .groups import first_per_group, placed, top_per_group
 
 
 def newest_first(posted: str = "posted_at", ident: str = "id") -> list[Column]:
@@ -42,7 +42,7 @@ def rank_changes(df: DataFrame, keys: list[str], n: int | None = None) -> DataFr
     """Rank by most certain, most symbols, then as found; the first `n` per upgrade where a number is asked for."""
     order = [confidence_score("confidence").desc(), F.size("symbols").desc(), F.col("pos")]
     if n is None:
-        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return placed(df, keys, order, "rank").withColumn("rank", F.col("rank").cast("int"))
     return top_per_group(df, keys, order, n, "rank")
 
 
@@ -52,11 +52,8 @@ def by_size(df: DataFrame, size: str, n: int, *ties: str) -> DataFrame:
 
 
 def cap_state(state: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
-    """The newest `n` entries of each seen-set, all where no number is asked for. Positions are worked out day by day."""
-    if n is None:
-        return state
-    placed = numbered(state, keys, [F.col("at").desc(), F.col("id")], -F.unix_date(F.to_date("at")), "_pos")
-    return placed.filter(F.col("_pos") <= n).drop("_pos")
+    """The newest `n` entries of each seen-set, all where no number is asked for."""
+    return state if n is None else top_per_group(state, keys, [F.col("at").desc_nulls_last(), F.col("id")], n)
 
 
 def citations(registry: Column, repo: Column, notes: Column, advisories: Column, most_notes: int | None = None, most_advisories: int | None = None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.notes import confidence_score
-from .groups import carried_down, first_per_group, numbered, rejoin, top_per_group
+from .groups import carried_down, first_per_group, placed, rejoin, top_per_group
 
 # Outage guard, source drops, response windows, re-check days.
 DROP_MIN, DROP_ACCEPT_RUNS = 50, 7
@@ -153,9 +153,9 @@ def recent_count(df: DataFrame, client: str, ts: str, seconds: int = 3600) -> Da
     return counted.filter(F.col("_piece") == F.col("_own")).drop("_t", "_own", "_piece")
 
 
-def refusal_windows(responses: DataFrame, order: list[Column], bucket: Column, refused: Column) -> DataFrame:
+def refusal_windows(responses: DataFrame, order: list[Column], refused: Column) -> DataFrame:
     """Full windows of 200 responses in order, their refused share, and how many bad windows stand in a row."""
-    pos = numbered(responses, [], order, bucket)
+    pos = placed(responses, [], order)
     win = pos.withColumn("window", F.floor((F.col("pos") - 1) / WINDOW_ROWS)).groupBy("window").agg(
         F.count("*").alias("n"), F.count(F.when(refused, True)).alias("refused")
     )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.clinical import with_clinical_tags
 from ..functions.predicates import health_filter, job_filter
@@ -11,6 +12,7 @@ from ..operators.aggregates import daily_cells
 from ..operators.groups import top_per_group
 from ..operators.joins import live_rows, owners
 from ..operators.order import newest_first
+from ..sources import index as I
 
 
 def system_postings(postings: DataFrame, systems: DataFrame) -> DataFrame:
@@ -45,6 +47,15 @@ def health_day(jobs: DataFrame, systems: DataFrame, fails: DataFrame, keys: list
     return daily_cells(cells, ["system", "location", "role_family", "specialty", "employment"], run_at)
 
 
+def hospital_search_index(spark: SparkSession, root: str, schema: StructType, systems: DataFrame, q: dict, now: Column) -> I.Found:
+    """Q06 over a published index, in waves: rows are tagged only after the job filter, and only in the shards read."""
+    within, mark = q.get("posted_within"), q.get("seen_after")
+    waves = I.in_waves(spark, root, schema, now - F.make_dt_interval(F.lit(within)) if within else None, F.lit(mark).cast("timestamp_ntz") if mark else None)
+    caps = [(k, q[c]) for c, k in (("per_system", ["system"]), ("per_company", ["source", "company"])) if q.get(c)]
+    hits = lambda rows: tagged_postings(rows.filter(job_filter(q, now)), systems).filter(health_filter(q))
+    return I.first_in_waves(spark, waves, hits, caps, newest_first(), q["max_jobs"], schema)
+
+
 def hospital_search(postings: DataFrame, systems: DataFrame, q: dict, now: Column) -> DataFrame:
     """Q06: the job filter first (plain columns, before any tag is made), then the hospital filter, caps and order."""
     hits = tagged_postings(postings.filter(job_filter(q, now)), systems).filter(health_filter(q))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import StructType
 
 from ..functions.predicates import job_filter
 from ..functions.text import career_site_url, display_name
@@ -15,6 +15,7 @@ from ..operators import windows as S
 from ..operators.groups import struct_list, top_per_group
 from ..operators.order import newest_first, rank_companies
 from ..operators.upserts import merge_snapshot, purge
+from ..sources import index as I
 
 KEYS = ["source", "company"]
 
@@ -28,6 +29,15 @@ def job_search(postings: DataFrame, q: dict, now: Column, texts: DataFrame | Non
     return J.attach_text(top, texts, q["max_jobs"]) if texts is not None else top
 
 
+def job_search_index(spark: SparkSession, root: str, schema: StructType, q: dict, now: Column) -> I.Found:
+    """Q01 over a published index: shards newest first, in waves, until `max_jobs` rows are found. The manifest rules out
+    shards by posting date and by first sight."""
+    within, mark = q.get("posted_within"), q.get("seen_after")
+    waves = I.in_waves(spark, root, schema, now - F.make_dt_interval(F.lit(within)) if within else None, F.lit(mark).cast("timestamp_ntz") if mark else None)
+    caps = [(KEYS, q["per_company"])] if q.get("per_company") else []
+    return I.first_in_waves(spark, waves, lambda rows: rows.filter(job_filter(q, now)), caps, newest_first(), q["max_jobs"], schema)
+
+
 # ---------------------------------------------------------------- Q02
 
 _FACETS = ("department", "location", "country", "currency")

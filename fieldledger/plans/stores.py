@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.contacts import merge_pages, page_facts
 from ..functions.predicates import store_filter
@@ -12,6 +13,7 @@ from ..operators.aggregates import catalog_facts
 from ..operators.filters import path_allowed
 from ..operators.upserts import classify_check
 from ..operators.windows import dedupe_alias
+from ..sources import index as I
 from ..sources.records import store_meta
 
 # Sort orders of the store search; our agent's name in robots files (callers use their own).
@@ -31,6 +33,21 @@ def store_search(stores: DataFrame, q: dict, now: Column) -> DataFrame:
     return stores.filter(store_filter(q, now)).orderBy(key.desc_nulls_last(), "domain").limit(q["max_results"])
 
 
+def newest_found() -> list[Column]:
+    """The order in which store shards are published."""
+    return [F.col("first_seen").desc_nulls_last(), F.col("domain")]
+
+
+def store_search_index(spark: SparkSession, root: str, schema: StructType, q: dict, now: Column) -> I.Found:
+    """Q07 over a published index (newest found first). That order ends early, in waves; every other order reads all
+    shards the manifest leaves, once."""
+    by = q.get("sort_by", "newest_found")
+    mark = q.get("seen_after")
+    waves = I.in_waves(spark, root, schema, seen_after=F.lit(mark).cast("timestamp_ntz") if mark else None, whole=by != "newest_found")
+    order = newest_found() if by == "newest_found" else [SORTS[by]().desc_nulls_last(), F.col("domain")]
+    return I.first_in_waves(spark, waves, lambda rows: rows.filter(store_filter(q, now)), [], order, q["max_results"], schema)
+
+
 def store_build(responses: DataFrame, first_seen: DataFrame, now: Column) -> DataFrame:
     """Q08: captured responses (`domain, kind, status, body, final_url`; one per kind) to classified, merged, de-duplicated stores."""
     one = lambda kind: F.max_by(F.struct("status", "body", "final_url"), F.when(F.col("kind") == kind, F.lit(1))).alias(kind)

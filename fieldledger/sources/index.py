@@ -1,4 +1,4 @@
-"""The published index: sorted shards, their statistics, the manifest, text chunks, publishing.
+"""The published index: sorted shards, their statistics, the manifest, text chunks, publishing, search in waves.
 
 Layout: ``{base}/{stamp}/shards/shard=N/*.json.gz``, ``{base}/{stamp}/manifest`` and a pointer ``{base}/CURRENT``.
 The shard number is a partition column, so a reader that joins to the filtered manifest reads the surviving shards
@@ -7,16 +7,18 @@ only (dynamic partition pruning) and no list of paths passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.groups import numbered
+from ..operators.groups import placed, top_per_group
 from ..operators.order import newest_first
+from ..session import cut
 
 # Rows per shard, texts per chunk.
 SHARD_ROWS, CHUNK_ROWS = 40_000, 4_000
-CHUNK_PIECES = 4096
 
 
 def read_shards(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -24,25 +26,16 @@ def read_shards(spark: SparkSession, paths: str | list[str], schema: T.StructTyp
     return spark.read.schema(schema).json(paths)
 
 
-def with_shards(df: DataFrame, order: list[Column], bucket: Column, rows: int = SHARD_ROWS, fine: Column | None = None) -> DataFrame:
-    """Exact shard numbers in the sort order: every shard but the last holds `rows` rows."""
-    return numbered(df, [], order, bucket, "_pos", fine).withColumn("shard", F.floor((F.col("_pos") - 1) / rows).cast("int"))
-
-
-def posted_piece(posted: str = "posted_at") -> Column:
-    """Pieces of the newest-first order: days falling, undated rows last."""
-    return F.coalesce(-F.datediff(posted, F.lit("1970-01-01").cast("date")), F.lit(2**31 - 1))
+def with_shards(df: DataFrame, order: list[Column] | None = None, rows: int = SHARD_ROWS) -> DataFrame:
+    """Exact shard numbers in the sort order (newest first, undated last): every shard but the last holds `rows` rows."""
+    return placed(df, [], order or newest_first(), "_pos").withColumn("shard", F.floor((F.col("_pos") - 1) / rows).cast("int"))
 
 
-def id_piece(ident: str = "id") -> Column:
-    """Pieces of a day (or of the undated rows) in id order: a prefix never falls as the id rises."""
-    return F.left(ident, F.lit(20))
-
-
-def write_shards(df: DataFrame, path: str, order: list[Column] | None = None, bucket: Column | None = None, rows: int = SHARD_ROWS) -> None:
-    """Newest first, undated last; each shard is sorted and written by one task."""
-    placed = with_shards(df, order or newest_first(), bucket if bucket is not None else posted_piece(), rows, None if order else id_piece())
-    placed.repartition("shard").sortWithinPartitions("shard", "_pos").drop("_pos").write.mode("overwrite").partitionBy("shard").option("compression", "gzip").json(path)
+def write_shards(df: DataFrame, path: str, order: list[Column] | None = None, rows: int = SHARD_ROWS) -> None:
+    """Newest first, undated last. Shards are dealt to tasks in turn, and each is sorted and written by one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = with_shards(df, order, rows).repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int"))
+    dealt.sortWithinPartitions("shard", "_pos").drop("_pos").write.mode("overwrite").partitionBy("shard").option("compression", "gzip").json(path)
 
 
 def shard_stats(df: DataFrame, posted: str = "posted_at", seen: str = "first_seen") -> DataFrame:
@@ -92,10 +85,8 @@ def build_manifest(df: DataFrame, source: str = "source", company: list[str] | N
 def append_chunks(df: DataFrame, day: str, size: int = CHUNK_ROWS, start: int = 0, live: Column | None = None) -> DataFrame:
     """Rows with text and no chunk yet get one, `size` rows each; the caller appends the result by chunk."""
     todo = df.filter(F.col("chunk").isNull() & F.col("text").isNotNull() & (live if live is not None else F.lit(True)))
-    piece = F.pmod(F.xxhash64("id"), F.lit(CHUNK_PIECES))
-    placed = numbered(todo, [], [F.col("id")], piece, "_pos")
     number = (F.floor((F.col("_pos") - 1) / size) + start).cast("string")
-    return placed.withColumn("chunk", F.concat(F.lit(f"desc-{day}-"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))).drop("_pos")
+    return placed(todo, [], [F.col("id")], "_pos").withColumn("chunk", F.concat(F.lit(f"desc-{day}-"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))).drop("_pos")
 
 
 # ---------------------------------------------------------------- S08 publish
@@ -134,13 +125,22 @@ def current(spark: SparkSession, base: str) -> str | None:
     return text
 
 
-def publish(spark: SparkSession, df: DataFrame, base: str, stamp: str, rows: int = SHARD_ROWS) -> str:
-    """New shards, then their manifest, then the pointer; only then the directory the pointer named before goes."""
+def next_chunk(rows: DataFrame, day: str) -> int:
+    """The number after the last chunk of that day among the rows."""
+    last = rows.filter(F.col("chunk").startswith(f"desc-{day}-")).agg(F.max(F.substring_index("chunk", "-", -1).cast("int"))).first()[0]
+    return 0 if last is None else last + 1
+
+
+def publish(spark: SparkSession, df: DataFrame, base: str, stamp: str, rows: int = SHARD_ROWS, order: list[Column] | None = None, totals: DataFrame | None = None, posted: str = "posted_at") -> str:
+    """New shards, then their manifest (and the row of totals), then the pointer; only then the directory the
+    pointer named before goes."""
     old = current(spark, base)
     root = f"{base}/{stamp}"
-    write_shards(df, f"{root}/shards", rows=rows)
+    write_shards(df, f"{root}/shards", order, rows)
     stored = spark.read.schema(df.schema).json(f"{root}/shards")
-    shard_stats(stored).write.mode("overwrite").parquet(f"{root}/manifest")
+    shard_stats(stored, posted).write.mode("overwrite").parquet(f"{root}/manifest")
+    if totals is not None:
+        totals.write.mode("overwrite").parquet(f"{root}/totals")
     write_text(spark, f"{base}/CURRENT", stamp)
     if old and old != stamp:
         fs, p = _fs(spark, f"{base}/{old}")
@@ -148,6 +148,80 @@ def publish(spark: SparkSession, df: DataFrame, base: str, stamp: str, rows: int
     return root
 
 
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """One row per shard, as `publish` saved it."""
+    return spark.read.parquet(f"{root}/manifest")
+
+
+def published_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks that hold texts, by their folder names: no text is read."""
+    return spark.read.parquet(path).select("chunk").distinct()
+
+
+def drop_chunk_folders(spark: SparkSession, path: str, used: DataFrame) -> None:
+    """Chunks no published row names any more lose their folder. One row per unused chunk passes the driver."""
+    fs, _ = _fs(spark, path)
+    for r in published_chunks(spark, path).join(used.select("chunk"), "chunk", "left_anti").toLocalIterator():
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunk={r['chunk']}"), True)
+
+
+# ---------------------------------------------------------------- search in waves
+
+class Found(NamedTuple):
+    """What a search gives: its rows, how many rows matched in the shards it read, and how many shards these are."""
+
+    rows: DataFrame
+    matched: int
+    shards: int
+
+
+def in_waves(spark: SparkSession, root: str, schema: T.StructType | str, cutoff: Column | None = None, seen_after: Column | None = None, first: int | None = None, whole: bool = False):
+    """(rows, shards) of the surviving shards in publish order: `first` shards (one for each core), then twice as many, and
+    so on; all at once where `whole` is set. The saved manifest decides each wave; only its last shard number passes the driver."""
+    left = surviving(read_manifest(spark, root), cutoff, seen_after).select("shard")
+    done, size = -1, None if whole else first or spark.sparkContext.defaultParallelism
+    while True:
+        ahead = left.filter(F.col("shard") > done)
+        last, n = (ahead.orderBy("shard").limit(size) if size else ahead).agg(F.max("shard"), F.count("*")).first()
+        if last is None:
+            return
+        inside = (F.col("shard") > done) & (F.col("shard") <= last)
+        # The bounds prune folders at once; the join leaves out the shards between them that the manifest ruled out.
+        yield read_shards(spark, f"{root}/shards", schema).filter(inside).join(left.filter(inside), "shard").drop("shard"), n
+        if not size:
+            return
+        done, size = last, size * 2
+
+
+def first_in_waves(spark: SparkSession, waves, hits, caps: list[tuple[list[str], int]], order: list[Column], n: int, schema: T.StructType | None = None) -> Found:
+    """The first `n` of `hits(rows)` in publish order, after each cap (keys, rows per group) in turn.
+
+    Later shards hold later rows, so what the first waves leave is final: reading ends as soon as `n` rows are left.
+    Between waves only rows under the first cap (or the first `n`) are kept.
+    """
+    kept = out = None
+    matched = shards = 0
+    for wave, size in waves:
+        count = Observation()
+        new = hits(wave).observe(count, F.count(F.lit(1)).alias("n"))
+        if caps:
+            new = top_per_group(new, caps[0][0], order, caps[0][1])
+        new = cut(new.orderBy(*order).limit(n) if len(caps) < 2 else new)
+        matched, shards = matched + count.get["n"], shards + size
+        if kept is not None:
+            new = kept.unionByName(new)
+            new = cut(top_per_group(new, caps[0][0], order, caps[0][1]) if caps else new)
+        kept = out = new
+        for keys, each in caps[1:]:
+            out = top_per_group(out, keys, order, each)
+        out = out.orderBy(*order).limit(n)
+        if out.count() >= n:
+            break
+    if out is None:
+        out = hits(spark.createDataFrame([], schema)).limit(0)
+    return Found(out, matched, shards)
+
+
 def drop_unused_chunks(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunk references of chunks that are gone become null."""
     c = chunks.select(F.col("chunk"), F.lit(True).alias("_has")).distinct()

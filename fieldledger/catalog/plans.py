@@ -107,23 +107,59 @@ def q03b(spark, d):
     return both.select("id", "archived", col("first_seen").cast("string").alias("first_seen"), col("last_seen").cast("string").alias("last_seen"))
 
 
-# Postings with a pay line and, for every posting of an owned company, clinical tags.
-@query("q04_publish", """
-WITH @postings, @health, live AS (SELECT p.*, h.system FROM postings p LEFT JOIN health h ON h.key = p.source || ':' || p.company),
-t AS (SELECT *, row_number() OVER (ORDER BY posted_at DESC NULLS LAST, id) AS pos FROM live)
-SELECT id, CAST((pos - 1) // 500 AS INTEGER) AS shard, CAST(40000 + k AS DOUBLE) AS pay_min, CAST(60000 + k AS DOUBLE) AS pay_max, 'USD' AS currency, 'year' AS pay_period, CASE WHEN system IS NOT NULL THEN CASE WHEN title LIKE '%engineer' THEN 'Non-clinical' ELSE 'Registered nurse' END END AS role_family,
-  CASE WHEN system IS NOT NULL THEN CASE WHEN title LIKE '%engineer' THEN '' ELSE 'BLS' END END AS licenses FROM t""")
-def q04(spark, d):
+# Postings with a pay line, last seen up to eight days ago: rows of an old chunk, rows without text, rows whose chunk
+# goes, and rows whose text is new. Every fifth customer's site is failing.
+NIGHT_JOBS_SQL = """jobs AS (SELECT *, TIMESTAMP '2001-08-01' - to_days(CAST(k % 9 AS INTEGER)) AS last_seen, CASE WHEN k % 9 = 8 THEN 'desc-20010701-000' WHEN k % 4 = 0 THEN 'desc-20010730-000' END AS chunk, k % 4 <> 2 AS told FROM postings),
+live AS (SELECT j.* FROM jobs j LEFT JOIN (SELECT 'customer-' || c_custkey AS company, TIMESTAMP '2001-07-28' AS since FROM customer WHERE c_custkey % 5 = 0) f USING (company)
+  WHERE last_seen >= TIMESTAMP '2001-07-25' AND (last_seen >= TIMESTAMP '2001-07-31' OR (since IS NOT NULL AND last_seen >= greatest(since, TIMESTAMP '2001-07-25')))),
+fresh AS (SELECT id, 'desc-20010801-' || lpad(CAST((row_number() OVER (ORDER BY id) - 1) // 300 AS VARCHAR), 3, '0') AS chunk FROM live WHERE chunk IS NULL AND told)"""
+A.VIEWS["night_jobs"] = NIGHT_JOBS_SQL
+
+
+def night_jobs(spark, d):
     p = A.postings(spark, d).drop("pay_min", "pay_max", "currency")
     text = cat(F.when(col("title").endswith("engineer"), "").otherwise("BLS needed. "), lit("The pay range is $"), F.format_number(40_000 + col("k"), 0), lit(" - $"), F.format_number(60_000 + col("k"), 0), lit(" a year."))
     none = lambda t: lit(None).cast(t)
-    live = p.withColumns(
-        {"description": text, "employment_type": none("string"), "pay_source": none("string"), "pay_min": none("double"), "pay_max": none("double"), "currency": none("string"), "pay_period": none("string"), "annual_min": none("bigint"), "annual_max": none("bigint")}
+    return p.withColumns(
+        {
+            "last_seen": A.now() - F.expr("make_dt_interval(cast(k % 9 AS int))"), "chunk": F.expr("CASE WHEN k % 9 = 8 THEN 'desc-20010701-000' WHEN k % 4 = 0 THEN 'desc-20010730-000' END"), "description": F.when(col("k") % 4 != 2, text),
+            "employment_type": none("string"), "pay_source": none("string"), "pay_min": none("double"), "pay_max": none("double"), "currency": none("string"), "pay_period": none("string"), "annual_min": none("bigint"), "annual_max": none("bigint"),
+        }
     )
-    done = PJ.enrich(live, A.health_systems(spark, d))
-    keep = done.select("id", "posted_at", "first_seen", "pay_min", "pay_max", "currency", "pay_period", col("clinical.role_family").alias("role_family"), F.array_join("clinical.licenses", ";").alias("licenses"))
-    root = I.publish(spark, keep, shared_dir(spark, "q04"), "run1", 500)
-    return I.read_shards(spark, f"{root}/shards", keep.schema.add("shard", IntegerType())).drop("posted_at", "first_seen")
+
+
+def published_night(spark, d):
+    """Chunks of the nights before, then the night's publish."""
+    base = shared_dir(spark, "q04")
+    jobs = night_jobs(spark, d)
+    jobs.where("chunk IS NOT NULL").select("id", col("description").alias("text"), "chunk").repartition("chunk").write.partitionBy("chunk").parquet(f"{base}/chunks")
+    fails = A.table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.expr("lower(c_mktsegment) AS source"), F.expr("concat('customer-', c_custkey) AS company"), A.ts("2001-07-28 00:00:00").alias("since"))
+    root, after = PJ.publish_night(spark, jobs, fails, A.health_systems(spark, d), A.now(), base, "200108010000", 500, 300)
+    return base, root, after
+
+
+@query("q04_publish", """
+WITH @postings, @health, @night_jobs, t AS (SELECT l.*, h.system, coalesce(l.chunk, f.chunk) AS in_chunk, row_number() OVER (ORDER BY posted_at DESC NULLS LAST, l.id) AS pos FROM live l LEFT JOIN health h ON h.key = l.source || ':' || l.company LEFT JOIN fresh f ON f.id = l.id)
+SELECT id, CAST((pos - 1) // 500 AS INTEGER) AS shard, in_chunk AS chunk, CASE WHEN told THEN CAST(40000 + k AS DOUBLE) END AS pay_min, CASE WHEN told THEN CAST(60000 + k AS DOUBLE) END AS pay_max, CASE WHEN told THEN 'USD' END AS currency, CASE WHEN told THEN 'year' END AS pay_period,
+  CASE WHEN system IS NOT NULL THEN CASE WHEN title LIKE '%engineer' THEN 'Non-clinical' ELSE 'Registered nurse' END END AS role_family, CASE WHEN system IS NOT NULL THEN CASE WHEN told AND NOT title LIKE '%engineer' THEN 'BLS' ELSE '' END END AS licenses,
+  told AND in_chunk IS NOT NULL AS found, (SELECT count(*) FROM live) AS total, (SELECT count(DISTINCT source || ':' || company) FROM live) AS companies FROM t""")
+def q04(spark, d):
+    base, root, _ = published_night(spark, d)
+    schema = "id string, posted_at timestamp_ntz, first_seen timestamp_ntz, chunk string, pay_min double, pay_max double, currency string, pay_period string, clinical struct<role_family:string,licenses:array<string>>, shard int"
+    rows = I.read_shards(spark, f"{root}/shards", schema)
+    texts = spark.read.parquet(f"{base}/chunks").select("id", "chunk", col("text").isNotNull().alias("found"))
+    totals = spark.read.parquet(f"{root}/totals")
+    out = rows.join(texts, ["id", "chunk"], "left").withColumns({"found": F.coalesce("found", lit(False)), "total": totals.select("total").scalar(), "companies": totals.select("companies").scalar()})
+    return out.select("id", "shard", "chunk", "pay_min", "pay_max", "currency", "pay_period", col("clinical.role_family").alias("role_family"), F.array_join("clinical.licenses", ";").alias("licenses"), "found", "total", "companies")
+
+
+@query("q04_chunks_left", """
+WITH @postings, @night_jobs, c AS (SELECT coalesce(l.chunk, f.chunk) AS chunk FROM live l LEFT JOIN fresh f ON f.id = l.id WHERE coalesce(l.chunk, f.chunk) IS NOT NULL), named AS (SELECT coalesce(j.chunk, f.chunk) AS chunk FROM jobs j LEFT JOIN fresh f ON f.id = j.id)
+SELECT chunk, count(*) AS jobs, max(CAST(chunk IN (SELECT chunk FROM c) AS INTEGER)) AS kept FROM named WHERE chunk IN (SELECT chunk FROM c) GROUP BY chunk""")
+def q04b(spark, d):
+    base, _, after = published_night(spark, d)
+    left = I.published_chunks(spark, f"{base}/chunks").withColumn("kept", lit(1))
+    return after.where("chunk IS NOT NULL").groupBy("chunk").agg(F.count("*").alias("jobs")).join(left, "chunk", "full_outer")
 
 
 @query("q05_health_day", """

@@ -15,6 +15,7 @@ from ..operators import windows as S
 from ..operators.groups import struct_list, top_per_group
 from ..operators.order import newest_first, rank_companies
 from ..operators.upserts import merge_snapshot, purge
+from ..session import saver
 from ..sources import index as I
 
 KEYS = ["source", "company"]
@@ -138,6 +139,31 @@ def enrich(live: DataFrame, systems: DataFrame) -> DataFrame:
     return tagged.drop(*tags, "_title", "_department", "_employment_type", "_description")
 
 
+def publish_night(spark: SparkSession, jobs: DataFrame, fails: DataFrame, systems: DataFrame, run_at: Column, base: str, stamp: str, rows: int = I.SHARD_ROWS, texts: int = I.CHUNK_ROWS) -> tuple[str, DataFrame]:
+    """Q04: the night's index, whole; gives its folder and the jobs with their chunks.
+
+    In this order, so that a reader or a run cut short always finds a complete index: chunks for the live texts that have
+    none, shards of the live rows (pay and clinical tags read from the text, which stays in its chunk) with manifest and
+    totals, the pointer, and only then the folders of chunks that no live row names. `stamp` begins with the day.
+    """
+    save = saver(spark, "publish")
+    live = J.live_rows(jobs, fails, KEYS, run_at)
+    day = stamp[:8]
+    chunked = I.append_chunks(live.withColumnRenamed("description", "text"), day, texts, I.next_chunk(jobs, day)).select("id", "text", "chunk")
+    chunked = save(chunked, "chunked")
+    if chunked.limit(1).count():
+        chunked.repartition("chunk").write.mode("append").partitionBy("chunk").parquet(f"{base}/chunks")
+    named = jobs.join(chunked.select("id", F.col("chunk").alias("_new")), "id", "left").withColumn("chunk", F.coalesce("chunk", "_new")).drop("_new")
+    named = save(named, "jobs")
+    live = J.live_rows(named, fails, KEYS, run_at)
+    done = save(enrich(live, systems).drop("description"), "live")
+    root = I.publish(spark, done, base, stamp, rows, totals=I.build_manifest(done))
+    used = done.select("chunk").where("chunk IS NOT NULL").distinct()
+    if I.path_exists(spark, f"{base}/chunks"):
+        I.drop_chunk_folders(spark, f"{base}/chunks", used)
+    return root, I.drop_unused_chunks(named, used)
+
+
 # ---------------------------------------------------------------- Q13
 
 def drop_alerts(runs: DataFrame) -> DataFrame:

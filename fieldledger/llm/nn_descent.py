@@ -5,7 +5,7 @@ then one more projection) and dealt to homes, which are runs of that order. Seve
 blocks, and the nearest points inside a block are a point's first neighbours. Then come rounds of NN-descent: each
 point's neighbours, and up to as many points that have it as neighbour, are joined to one another at the point's home;
 a pair of which one end is new there is measured, and each end keeps its nearest. A home sends at most `k` entries for a
-point, which loses nothing, since only the `k` nearest of all are kept. Rounds end when under 5 % of the entries change.
+point, which loses nothing, since only the `k` nearest of all are kept, and one row to each other home. Rounds end when under 5 % of the entries change.
 
 Search. A query keeps its `beam` nearest points so far. In a round it asks the homes of the neighbours of its nearest
 points not yet opened; a home measures them on the original vectors in double precision and sends those that are near
@@ -86,8 +86,16 @@ def _nearest(target: np.ndarray, other: np.ndarray, d: np.ndarray, k: int, old:
     return t[ends - 1], ends, other[order], d[order], old[order]
 
 
-def _listed(home_size: int, t, ends, other, d) -> pa.Table:
-    return pa.table({"home": pa.array((t // home_size).astype(np.int32)), "node": pa.array(t), "nbrs": lists(other, ends), "ds": lists(d, ends)})
+_SENT = "home int, nodes array<long>, sizes array<int>, nbrs array<long>, ds array<double>"
+
+
+def _sent(home_size: int, t, ends, other, d) -> pa.Table:
+    """Lists for points `t` (rising), a row for each home they belong to: points, lengths of their lists, and the lists."""
+    homes, first = np.unique(t // home_size, return_index=True)
+    upto = np.append(first[1:], len(t)).astype(np.int64)[: len(homes)]
+    flat = ends[upto - 1]
+    sizes = np.diff(np.concatenate([[0], ends])).astype(np.int32)
+    return pa.table({"home": pa.array(homes.astype(np.int32)), "nodes": lists(t, upto), "sizes": lists(sizes, upto), "nbrs": lists(other, flat), "ds": lists(d, flat)})
 
 
 _LISTS = "home int, node long, nbrs array<long>, ds array<double>"
@@ -111,14 +119,22 @@ def _within(rows: pa.Table, k: int, home_size: int) -> pa.Table:
         for column, values in zip(out, (np.repeat(node[a : a + 1024], take), node[near].ravel(), np.take_along_axis(d, near, 1).ravel()), strict=True):
             column.append(values)
     t, o, d = (np.concatenate(c) if c else np.empty(0, np.float64 if c is out[2] else np.int64) for c in out)
-    return _listed(home_size, *_nearest(t, o, d, k)[:4])
+    return _sent(home_size, *_nearest(t, o, d, k)[:4])
 
 
-def _merged(rows: pa.Table, k: int) -> pa.Table:
-    """Lists of each point put together; `fresh` marks entries that its old list (old = true) did not have."""
-    flat, at = _flat(rows, "nbrs")
-    t, ends, other, d, old = _nearest(_column(rows, "node")[at], flat, _flat(rows, "ds")[0], k, _column(rows, "old").astype(bool)[at])
-    return pa.table({"home": pa.array(np.full(len(t), rows.column("home")[0].as_py()), pa.int32()), "node": pa.array(t), "nbrs": lists(other, ends), "ds": lists(d, ends), "fresh": lists(~old, ends)})
+def _merged(home: int, now: pa.Table | None, sent: pa.Table, k: int) -> pa.Table:
+    """A home's lists put together with what was sent to it; `fresh` marks entries that the lists did not have."""
+    t, o, d, old = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, bool)]
+    if now is not None and now.num_rows:
+        flat, at = _flat(now, "nbrs")
+        t, o, d, old = [_column(now, "node")[at]], [flat], [_flat(now, "ds")[0]], [np.ones(len(flat), bool)]
+    if sent.num_rows:
+        t.append(np.repeat(_flat(sent, "nodes")[0], _flat(sent, "sizes")[0]))
+        o.append(_flat(sent, "nbrs")[0])
+        d.append(_flat(sent, "ds")[0])
+        old.append(np.zeros(len(d[-1]), bool))
+    t, ends, other, d, old = _nearest(*(np.concatenate(x) for x in (t, o, d)), k, np.concatenate(old))
+    return pa.table({"home": pa.array(np.full(len(t), home), pa.int32()), "node": pa.array(t), "nbrs": lists(other, ends), "ds": lists(d, ends), "fresh": lists(~old, ends)})
 
 
 def _joined(members: pa.Table, points: pa.Table, k: int, home_size: int) -> pa.Table:
@@ -155,7 +171,7 @@ def _joined(members: pa.Table, points: pa.Table, k: int, home_size: int) -> pa.T
             full = count == k
             worst[t[full]] = np.minimum(worst[t[full]], dd[ends[full] - 1])  # from here on only what is nearer than these
     t, ends, o, d, _ = _nearest(*out, k)
-    return _listed(home_size, ids[t], ends, ids[o] if len(o) else o, d)
+    return _sent(home_size, ids[t], ends, ids[o] if len(o) else o, d)
 
 
 class Graph:
@@ -207,12 +223,9 @@ def build(vectors: DataFrame, k: int = K, home: int = HOME, leaf: int = LEAF, or
     if orders > 1 and n > leaf:
         rest = numbered(_keys(points.select("node", "vector"), mean, list(range(1, orders)), bits), ["tree", "side", "along", "node"], "at", slices=pieces(n * (orders - 1), home))
         blocks = blocks.unionByName(rest.select((-F.floor(F.col("at") / leaf) - 1).alias("block"), "node", "vector"))
-    start = blocks.groupBy("block").applyInArrow(lambda rows: _within(rows, k, home), _LISTS)
-
-    def merge(df: DataFrame) -> DataFrame:
-        return saved(df.groupBy("home").applyInArrow(lambda rows: _merged(rows, k), f"{_LISTS}, fresh array<boolean>"), "lists")
-
-    now, rounds = merge(start.withColumn("old", F.lit(False))), 0
+    start = blocks.groupBy("block").applyInArrow(lambda rows: _within(rows, k, home), _SENT)
+    kinds = f"{_LISTS}, fresh array<boolean>"
+    now, rounds = saved(start.groupBy("home").applyInArrow(lambda key, sent: _merged(key[0].as_py(), None, sent, k), kinds), "lists"), 0
     while n > leaf:
         told = now.select(F.col("node").alias("v"), F.explode(F.arrays_zip("nbrs", "ds", "fresh")).alias("e"))
         there = told.select("v", F.col("e.nbrs").alias("x"), F.col("e.fresh").alias("fresh"), F.col("e.ds").alias("d"))
@@ -221,8 +234,9 @@ def build(vectors: DataFrame, k: int = K, home: int = HOME, leaf: int = LEAF, or
         met = saved(met, "met")
         worst = now.select("node", F.when(F.size("ds") < k, F.lit(float("inf"))).otherwise(F.array_max("ds")).alias("worst"))
         asked = met.select("home", F.col("x").alias("node")).distinct().join(points.select("node", "vector").join(worst, "node"), "node")
-        nearer = met.groupBy("home").cogroup(_anew(asked).groupBy("home")).applyInArrow(lambda m, p: _joined(m, p, k, home), _LISTS)
-        now = merge(now.select("home", "node", "nbrs", "ds").withColumn("old", F.lit(True)).unionByName(nearer.withColumn("old", F.lit(False))))
+        nearer = met.groupBy("home").cogroup(_anew(asked).groupBy("home")).applyInArrow(lambda m, p: _joined(m, p, k, home), _SENT)
+        now = now.select("home", "node", "nbrs", "ds").groupBy("home").cogroup(nearer.groupBy("home"))
+        now = saved(now.applyInArrow(lambda key, lists_, sent: _merged(key[0].as_py(), lists_, sent, k), kinds), "lists")
         rounds += 1
         changed = now.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0]
         if changed < SETTLED * n * k:

@@ -1,8 +1,8 @@
 """Collocations from counts held in weighted acyclic automata.
 
-Shards. Texts are cut into shards of bounded size; a shard is its words with their counts and its texts as places in that
-list (0 between pieces). Spark adds up the words; those of `least` or more occurrences get a number, all others end a
-run, since no phrase with a rarer word can reach `least`.
+Shards. Texts of one language are cut into shards of bounded size; a shard is its words with their counts and its texts
+as places in that list (0 between pieces). Word buckets add up the shards' counts; words of `least` or more occurrences
+get a number, which goes back to the shards; all others end a run, since no phrase with a rarer word can reach `least`.
 
 Transducers. A shard's runs give sorted n-grams of 1 to 5 words, and from these its count transducer is built level by
 level: a deterministic acyclic automaton over word numbers whose arc, read as the last word of an n-gram, outputs how
@@ -17,7 +17,7 @@ nothing: no phrase is more frequent than its beginning.
 Parts. A range asks for the counts of all parts of its phrases; the ranges where these fall run the sorted parts through their own
 transducer (a composition of two acyclic automata) and answer. Scores are made of 38-digit decimals. Words are joined back last.
 
-Bounds: a shard holds `shard_bytes` of text, or one longer text; a range about `range_words` word occurrences in as many
+Bounds: a shard holds `shard_bytes` of text, or one longer text; a bucket about `bucket_words` words of shards; a range about `range_words` word occurrences in as many
 entries at most; the driver and each task hold the cut points, one for each range.
 
 Odd rows. A null or empty text has no words, a null language is `und`. Repeated rows count each. Ties end with the phrase in byte order,
@@ -37,7 +37,9 @@ from fieldledger.llm.common import Words, pieces, portions, saved
 from fieldledger.llm.keyed import lists
 
 #: Longest phrase; fewest occurrences; UTF-8 bytes of text in a shard; word occurrences of a range.
-LONGEST, LEAST, SHARD_BYTES, RANGE_WORDS = 5, 100, 8 << 20, 4_000_000
+LONGEST, LEAST, SHARD_BYTES, RANGE_WORDS = 5, 100, 6 << 20, 4_000_000
+#: Words of shards in a bucket; bytes of text a task holds in shards that are not full.
+BUCKET_WORDS, HELD_BYTES = 400_000, 24 << 20
 #: Cut points are taken from so many sampled phrases for each range, and so many from one shard.
 SAMPLED, SAMPLED_IN_SHARD = 32, 64
 
@@ -92,61 +94,99 @@ def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
         salt += 1
 
 
-def _shard(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, their counts, and the texts as places from 1 on with 0 at the end of each piece."""
+def _shard(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, their hashes and counts, and the texts as places from 1 on with 0 at the end of each piece."""
     w = Words(_pieced(texts), fold=True)
     if not len(w.start):
-        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+        return [], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     first, place = _distinct(w)
     ends = np.concatenate([[0], np.cumsum(w.bytes == 0x0A)])
     cut = np.append((ends[w.start[1:]] > ends[w.end[:-1]]) | (w.doc[1:] != w.doc[:-1]), True)
     out = np.zeros(len(place) + int(cut.sum()), np.int64)
     out[np.arange(len(place)) + np.cumsum(cut) - cut] = place + 1
-    return [w.text(i) for i in first], np.bincount(place, minlength=len(first)), out
+    return [w.text(i) for i in first], w.hashes()[first].view(np.int64), np.bincount(place, minlength=len(first)), out
 
 
 def _shards(docs: DataFrame, size: int) -> DataFrame:
     def work(batches):
         from pyspark import TaskContext
 
-        part, k, held, room = TaskContext.get().partitionId(), 0, [], 0
+        part, k, held, room = TaskContext.get().partitionId(), 0, {}, {}
 
-        def rows():
+        def row(lang):
             nonlocal k
-            all_ = pa.Table.from_batches(held)
-            for lang in sorted(set(all_.column("lang").to_pylist())):
-                own = all_.filter(pc.equal(all_.column("lang"), lang)).column("text").combine_chunks()
-                own = pa.concat_arrays(own.chunks) if isinstance(own, pa.ChunkedArray) else own
-                words, counts, places = _shard(own)
-                if words:
-                    k += 1
-                    yield pa.RecordBatch.from_pydict({"shard": [f"{part}-{k}"], "lang": [lang], "words": pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())), "counts": [counts.tolist()], "places": [pack(places)]})
-
-
-        for b in portions(batches, size=size // 2):
-            n = b.column("text").nbytes
-            if held and room + n > size:
-                yield from rows()
-                held, room = [], 0
-            held.append(b)
-            room += n
-        if held:
-            yield from rows()
+            texts = pa.concat_arrays(held.pop(lang))
+            room.pop(lang)
+            words, hashes, counts, places = _shard(texts)
+            if words:
+                k += 1
+                flat = pa.array(words, pa.binary()).cast(pa.string())
+                whole = np.array([len(words)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{part}-{k}"]), pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), flat), lists(hashes, whole), lists(counts, whole), pa.array([pack(places)], pa.binary())],
+                    names=["shard", "lang", "words", "hashes", "counts", "places"],
+                )
+
+        for b in portions(batches, size=size // 4):
+            langs = b.column("lang")
+            for lang in sorted(pc.unique(langs).to_pylist()):
+                own = b.column("text").filter(pc.equal(langs, lang)).fill_null("").cast(pa.large_string())
+                if lang in held and room[lang] + own.nbytes > size:
+                    yield from row(lang)
+                held.setdefault(lang, []).append(own)
+                room[lang] = room.get(lang, 0) + own.nbytes
+            while sum(room.values()) > HELD_BYTES:
+                yield from row(max(room, key=room.get))
+        for lang in sorted(held):
+            yield from row(lang)
 
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return docs.mapInArrow(work, "shard string, lang string, words array<string>, counts array<long>, places binary")
-
-
-def _numbered_words(words: DataFrame, least: int) -> DataFrame:
-    """lang, word, f, id of the words with `least` or more occurrences; ids run from 1 without gaps."""
-    spark = words.sparkSession
-    f = words.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    f = saved(f.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "words")
-    starts, total = [], 1
-    for r in sorted(f.groupBy("part").count().collect()):  # one row per partition
-        starts.append((r[0], total))
-        total += r[1]
-    return f.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").select("lang", "word", "f", (F.col("row") + F.col("start")).alias("id"))
+    return docs.mapInArrow(work, "shard string, lang string, words array<string>, hashes array<long>, counts array<long>, places binary")
+
+
+def _dealt(batches, buckets: int):
+    """A shard's words to their buckets, a row for each."""
+    for b in batches:
+        for i, shard in enumerate(b.column("shard").to_pylist()):
+            hashes, counts = (np.asarray(b.column(n)[i].values) for n in ("hashes", "counts"))
+            bucket = (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            there, first = np.unique(bucket[order], return_index=True)
+            ends = np.append(first[1:], len(order)).astype(np.int64)
+            words = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), b.column("words")[i].values.take(pa.array(order)))
+            same = lambda value: pa.array([value] * len(there))  # noqa: B023,E731 - used at once
+            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), same(shard), same(b.column("lang")[i].as_py()), words, lists(counts[order], ends), lists(order, ends)], names=["bucket", "shard", "lang", "words", "counts", "pos"])
+
+
+_COUNTED = "shard string, pos array<long>, id array<long>, langs array<string>, words array<string>, f array<long>"
+
+
+def _counted(bucket: int, rows: pa.Table, buckets: int, least: int) -> pa.Table:
+    """A bucket's frequent words with their numbers (a row without shard), and for each shard the numbers of its words."""
+    chunked = rows.column("words").combine_chunks()
+    word = chunked.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(chunked)), np.asarray(chunked.value_lengths()))
+    langs = pa.array(rows.column("lang").to_pylist()).dictionary_encode()
+    lang = np.asarray(langs.indices)[row].astype(np.int64)
+    pairs, place = np.unique(np.asarray(word.indices).astype(np.int64) * len(langs.dictionary) + lang, return_inverse=True)
+    f = np.zeros(len(pairs), np.int64)
+    np.add.at(f, place, np.asarray(rows.column("counts").combine_chunks().flatten()))
+    often = f >= least
+    number = np.where(often, 1 + bucket + buckets * (np.cumsum(often) - 1), 0)
+    kept = pairs[often]
+    n = np.array([len(kept)])
+    ids = number[place]
+    told = ids > 0
+    ends = np.cumsum(np.bincount(row[told], minlength=len(chunked)))
+    shards = pa.table(
+        {
+            "shard": pa.array([None, *rows.column("shard").to_pylist()], pa.string()),
+            "pos": lists(np.asarray(rows.column("pos").combine_chunks().flatten())[told], np.append(0, ends)),
+            "id": lists(np.concatenate([number[often], ids[told]]), np.append(n, n + ends)),
+        }
+    )
+    texts = lambda values: pa.ListArray.from_arrays(pa.array([0] + [len(values)] * (len(chunked) + 1), pa.int32()), values.cast(pa.string()))
+    return shards.append_column("langs", texts(langs.dictionary.take(pa.array(kept % len(langs.dictionary))))).append_column("words", texts(word.dictionary.take(pa.array(kept // len(langs.dictionary))))).append_column("f", lists(f[often], np.full(len(chunked) + 1, n[0])))
 
 
 def _encoded(places: pa.Table, known: pa.Table, longest: int) -> pa.Table:
@@ -156,10 +196,12 @@ def _encoded(places: pa.Table, known: pa.Table, longest: int) -> pa.Table:
         return pa.table({n: pa.array([], t) for n, t in names.items()})
     at = unpack(places.column("places")[0].as_py())
     number = np.zeros(int(at.max()) + 1, np.int64)
-    number[np.asarray(known.column("pos")) + 1] = np.asarray(known.column("id"))
+    number[np.asarray(known.column("pos").combine_chunks().flatten()) + 1] = np.asarray(known.column("id").combine_chunks().flatten())
     ids = number[at]
     ids = ids[(ids > 0) | np.concatenate([[False], ids[:-1] > 0])]  # one 0 after each run
     starts = np.flatnonzero(ids)
+    if not len(starts):  # no word here is frequent
+        return pa.table({n: pa.array([], t) for n, t in names.items()})
     wide = np.concatenate([ids, np.zeros(longest, np.int64)])
     pick = starts[np.unique(np.linspace(0, len(starts) - 1, SAMPLED_IN_SHARD).astype(int))]
     tuples = wide[pick[:, None] + np.arange(longest)]
@@ -365,16 +407,18 @@ def _with_parts(t: Transducer, told: pa.Table) -> pa.Table:
     return pa.concat_tables(tables)
 
 
-def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_bytes: int = SHARD_BYTES, range_words: int = RANGE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_bytes: int = SHARD_BYTES, range_words: int = RANGE_WORDS, bucket_words: int = BUCKET_WORDS) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(phrases: path, a, l, r), (words: lang, word, f, id), (totals: lang, n); None if no word is frequent enough."""
     shards = saved(_shards(docs, shard_bytes), "shards")
-    words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "e")).select("shard", "lang", "pos", F.col("e.words").alias("word"), F.col("e.counts").alias("f"))
     totals = saved(shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    frequent = saved(_numbered_words(words, least), "frequent")
+    buckets = pieces(shards.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0], bucket_words)
+    dealt = shards.select("shard", "lang", "words", "hashes", "counts").mapInArrow(lambda batches: _dealt(batches, buckets), "bucket int, shard string, lang string, words array<string>, counts array<long>, pos array<long>")
+    counted = saved(dealt.groupBy("bucket").applyInArrow(lambda key, rows: _counted(key[0].as_py(), rows, buckets, least), _COUNTED), "words")
+    frequent = counted.where("shard is null").select(F.explode(F.arrays_zip("langs", "words", "f", "id")).alias("e")).select(F.col("e.langs").alias("lang"), F.col("e.words").alias("word"), F.col("e.f").alias("f"), F.col("e.id").alias("id"))
     sums = frequent.agg(F.sum("f")).first()[0]
     if not sums:
         return None
-    known = words.join(frequent.select("lang", "word", "id"), ["lang", "word"]).select("shard", "pos", "id")
+    known = counted.where("shard is not null").select("shard", "pos", "id")
     places = shards.select(F.col("shard").alias("shard"), "places")
     texts = saved(places.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda p, w: _encoded(p, w, longest), "ids binary, sample array<array<long>>"), "texts")
     ranges = pieces(sums, range_words)

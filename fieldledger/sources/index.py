@@ -115,8 +115,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     ctx.rename(tmp, p, arr)
 
 
-def current(spark: SparkSession, base: str) -> str | None:
-    fs, p = _fs(spark, f"{base}/CURRENT")
+def read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs(spark, path)
     if not fs.exists(p):
         return None
     stream = fs.open(p)
@@ -125,6 +125,15 @@ def current(spark: SparkSession, base: str) -> str | None:
     return text
 
 
+def current(spark: SparkSession, base: str) -> str | None:
+    return read_text(spark, f"{base}/CURRENT")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def next_chunk(rows: DataFrame, day: str) -> int:
     """The number after the last chunk of that day among the rows."""
     last = rows.filter(F.col("chunk").startswith(f"desc-{day}-")).agg(F.max(F.substring_index("chunk", "-", -1).cast("int"))).first()[0]
@@ -143,8 +152,7 @@ def publish(spark: SparkSession, df: DataFrame, base: str, stamp: str, rows: int
         totals.write.mode("overwrite").parquet(f"{root}/totals")
     write_text(spark, f"{base}/CURRENT", stamp)
     if old and old != stamp:
-        fs, p = _fs(spark, f"{base}/{old}")
-        fs.delete(p, True)
+        remove(spark, f"{base}/{old}")
     return root
 
 
@@ -160,9 +168,8 @@ def published_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def drop_chunk_folders(spark: SparkSession, path: str, used: DataFrame) -> None:
     """Chunks no published row names any more lose their folder. One row per unused chunk passes the driver."""
-    fs, _ = _fs(spark, path)
     for r in published_chunks(spark, path).join(used.select("chunk"), "chunk", "left_anti").toLocalIterator():
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunk={r['chunk']}"), True)
+        remove(spark, f"{path}/chunk={r['chunk']}")
 
 
 # ---------------------------------------------------------------- search in waves

@@ -34,6 +34,25 @@ def advance(state: DataFrame, key: str, indexed_at: Column, now: Column, complet
     return state.filter(F.col("key") != key).unionByName(row)
 
 
+def new_for_feeds(df: DataFrame, state: DataFrame, key: str = "key", seen: str = "first_seen") -> DataFrame:
+    """R01 for many feeds at once: rows first seen after their own feed's mark; all rows of a feed without one."""
+    marks = state.select(F.col("key").alias(key), F.col("seen_through").alias("_mark"))
+    return df.join(marks, key, "left").filter(F.col("_mark").isNull() | (F.col(seen) > F.col("_mark"))).drop("_mark")
+
+
+def advance_feeds(state: DataFrame, loads: DataFrame, now: Column, move_on_partial: bool = True) -> DataFrame:
+    """R01, R02 for many feeds at once: `loads` (key, indexed_at, completed) are the feeds that ran. A mark never falls; a
+    cut run moves it only where the feed says so. Feeds that did not run stay as they are."""
+    old = state.select("key", F.struct("seen_through", "last_run", "runs").alias("_old"))
+    ran = loads.groupBy("key").agg(F.max("indexed_at").alias("_at"), F.min("completed").alias("_whole"))
+    j = old.join(ran, "key", "full_outer")
+    moves = F.col("_at").isNotNull() & (F.col("_whole") | F.lit(move_on_partial))
+    through = F.when(moves, F.greatest("_old.seen_through", "_at")).otherwise(F.col("_old.seen_through"))
+    last = F.when(F.col("_at").isNotNull(), now).otherwise(F.col("_old.last_run"))
+    runs = F.coalesce("_old.runs", F.lit(0)) + F.col("_at").isNotNull().cast("int")
+    return j.select("key", through.alias("seen_through"), last.alias("last_run"), runs.alias("runs"))
+
+
 def seen_feed(df: DataFrame, seen: DataFrame, feed: str, now: Column, n: int, order: list[Column] | None = None, keep_days: int = KEEP_DAYS, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows not delivered within the last `keep_days`, at most `n`; and the seen-set after the run.
 

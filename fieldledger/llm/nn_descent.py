@@ -137,11 +137,23 @@ def _merged(home: int, now: pa.Table | None, sent: pa.Table, k: int) -> pa.Table
     return pa.table({"home": pa.array(np.full(len(t), home), pa.int32()), "node": pa.array(t), "nbrs": lists(other, ends), "ds": lists(d, ends), "fresh": lists(~old, ends)})
 
 
+def _given(asks: pa.Table, points: pa.Table) -> pa.Table:
+    """The points of a home that other homes ask for, a row for each asking home."""
+    ids = _column(points, "node")
+    order = np.argsort(ids)
+    ids, v, worst = ids[order], matrix(points.column("vector"))[order], _column(points, "worst")[order]
+    xs, row = _flat(asks, "xs")
+    at = np.searchsorted(ids, xs)
+    ends = np.cumsum(np.bincount(row, minlength=asks.num_rows))
+    return pa.table({"home": asks.column("home"), "nodes": lists(xs, ends), "vectors": lists(v[at].ravel().astype(points.column("vector").type.value_type.to_pandas_dtype()), ends * v.shape[1]), "worst": lists(worst[at], ends)})
+
+
 def _joined(members: pa.Table, points: pa.Table, k: int, home_size: int) -> pa.Table:
     """Neighbours of each point of a home joined to one another: nearer pairs than either end has."""
-    ids = _column(points, "node")
+    ids = _flat(points, "nodes")[0]
     order = np.argsort(ids)
-    ids, v, worst = ids[order], matrix(points.column("vector"))[order], _column(points, "worst")[order].copy()
+    v = _flat(points, "vectors")[0].astype(np.float64).reshape(len(ids), -1)[order]
+    ids, worst = ids[order], _flat(points, "worst")[0][order]
     norm = (v * v).sum(1)
     at, x, fresh = _column(members, "v"), np.searchsorted(ids, _column(members, "x")), _column(members, "fresh").astype(bool)
     order = np.lexsort((~fresh, x, at))
@@ -225,6 +237,7 @@ def build(vectors: DataFrame, k: int = K, home: int = HOME, leaf: int = LEAF, or
         blocks = blocks.unionByName(rest.select((-F.floor(F.col("at") / leaf) - 1).alias("block"), "node", "vector"))
     start = blocks.groupBy("block").applyInArrow(lambda rows: _within(rows, k, home), _SENT)
     kinds = f"{_LISTS}, fresh array<boolean>"
+    kind = points.schema["vector"].dataType.elementType.simpleString()
     now, rounds = saved(start.groupBy("home").applyInArrow(lambda key, sent: _merged(key[0].as_py(), None, sent, k), kinds), "lists"), 0
     while n > leaf:
         told = now.select(F.col("node").alias("v"), F.explode(F.arrays_zip("nbrs", "ds", "fresh")).alias("e"))
@@ -233,8 +246,11 @@ def build(vectors: DataFrame, k: int = K, home: int = HOME, leaf: int = LEAF, or
         met = there.drop("d").unionByName(back.select("v", "x", "fresh")).withColumn("home", F.floor(F.col("v") / home).cast("int"))
         met = saved(met, "met")
         worst = now.select("node", F.when(F.size("ds") < k, F.lit(float("inf"))).otherwise(F.array_max("ds")).alias("worst"))
-        asked = met.select("home", F.col("x").alias("node")).distinct().join(points.select("node", "vector").join(worst, "node"), "node")
-        nearer = met.groupBy("home").cogroup(_anew(asked).groupBy("home")).applyInArrow(lambda m, p: _joined(m, p, k, home), _SENT)
+        # Homes ask homes: at most HOME points in a row.
+        asks = met.select("home", F.floor(F.col("x") / home).cast("int").alias("to"), "x").groupBy("home", "to").agg(F.collect_set("x").alias("xs"))
+        there = points.select("home", "node", "vector").join(worst, "node")
+        given = asks.groupBy("to").cogroup(_anew(there).groupBy("home")).applyInArrow(_given, f"home int, nodes array<long>, vectors array<{kind}>, worst array<double>")
+        nearer = met.groupBy("home").cogroup(given.groupBy("home")).applyInArrow(lambda m, p: _joined(m, p, k, home), _SENT)
         now = now.select("home", "node", "nbrs", "ds").groupBy("home").cogroup(nearer.groupBy("home"))
         now = saved(now.applyInArrow(lambda key, lists_, sent: _merged(key[0].as_py(), lists_, sent, k), kinds), "lists")
         rounds += 1

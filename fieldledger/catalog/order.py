@@ -61,7 +61,7 @@ def k05(spark, d):
         "lang", "doc_id", F.expr("CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence"),
         F.expr("slice(array('a','b','c','d','e'), 1, cast(doc_id % 5 AS int)) AS symbols"), F.col("doc_id").alias("pos"),
     )
-    return O.rank_changes(f, ["lang"]).select("lang", "doc_id", "rank")
+    return O.rank_changes(f, ["lang"], huge=True).select("lang", "doc_id", "rank")
 
 
 @query("k07_by_size", """

@@ -213,23 +213,34 @@ LEDGER_WINDOWS = {"24h": 24, "7d": 168, "30d": 720, "all": None}
 
 
 def ledger_summary(requests: DataFrame, now: Column) -> DataFrame:
-    """Requests, revenue, cost, cache hits and payers for four windows in one pass."""
-    names = F.array(
+    """Requests, revenue, cost, cache hits and payers for four windows in one pass.
+
+    The windows lie inside one another, so a request belongs to the smallest that holds it, its age class. Sums are made
+    per payer and class; a payer counts from its own smallest class on, and a window is the sum over the classes in it.
+    """
+    hours = list(LEDGER_WINDOWS.values())
+    inside = [F.lit(True) if h is None else F.col("ts") >= now - F.make_dt_interval(hours=F.lit(h)) for h in hours]
+    age = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)])
+    zero = F.lit(0.0)
+    measures = {"requests": F.lit(1), "paid_requests": F.when(F.col("paid"), 1), "revenue": F.coalesce("price", zero), "cost": F.coalesce("cost", zero), "cache_hits": F.when(F.col("cache_hit"), 1)}
+    aged = requests.withColumn("_age", age)
+    per_payer = aged.groupBy("payer").agg(F.min("_age").alias("_first"), *[F.coalesce(F.sum(F.when(F.col("_age") == i, m)), F.lit(0)).alias(f"{n}_{i}") for n, m in measures.items() for i in range(len(hours))])
+    total = per_payer.agg(
+        *[F.sum(f"{n}_{i}").alias(f"{n}_{i}") for n in measures for i in range(len(hours))],
+        *[count_where(F.col("payer").isNotNull() & (F.col("_first") <= i)).alias(f"payers_{i}") for i in range(len(hours))],
+    )
+    upto = lambda n, i: sum((F.col(f"{n}_{j}") for j in range(1, i + 1)), F.col(f"{n}_0"))
+    windows = F.array(
         *[
-            F.when(F.lit(h is None) | (F.col("ts") >= now - F.make_dt_interval(hours=F.lit(h or 0))), F.lit(n))
-            for n, h in LEDGER_WINDOWS.items()
+            F.struct(
+                F.lit(name).alias("window"),
+                *[(F.round(upto(n, i), 4) if n in ("revenue", "cost") else upto(n, i)).alias(n) for n in measures],
+                F.col(f"payers_{i}").alias("unique_payers"),
+            )
+            for i, name in enumerate(LEDGER_WINDOWS)
         ]
     )
-    per = requests.withColumn("window", F.explode(F.array_compact(names)))
-    money = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 4)
-    out = per.groupBy("window").agg(
-        F.count("*").alias("requests"),
-        count_where(F.col("paid")).alias("paid_requests"),
-        money("price").alias("revenue"),
-        money("cost").alias("cost"),
-        count_where(F.col("cache_hit")).alias("cache_hits"),
-        F.countDistinct("payer").alias("unique_payers"),
-    )
+    out = total.select(F.explode(windows).alias("w")).select("w.*").filter("requests > 0")
     return out.withColumn("profit", F.round(F.col("revenue") - F.col("cost"), 4))
 
 

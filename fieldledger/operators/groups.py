@@ -93,6 +93,16 @@ def placed(df: DataFrame, keys: list[str], order: list[Column], out: str = "pos"
     return rejoin(cut, offsets, ["_slice", *keys]).withColumn(out, F.col("_row") + F.col("_off")).drop("_slice", "_row", "_off")
 
 
+def counted(df: DataFrame, keys: list[str], order: list[Column], flag: Column, out: str, parts: int | None = None) -> DataFrame:
+    """How many flagged rows stand at or before each row in its group's order (which should be total), for groups of any size."""
+    cut = slices(df.withColumn("_flag", flag.cast("long")), [*[F.col(k).asc_nulls_first() for k in keys], *order], parts)
+    sums = cut.groupBy("_slice", *keys).agg(F.sum("_flag").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # a row per slice at most
+    offsets = sums.select("_slice", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    own = W.partitionBy("_slice", *keys).orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
+    return rejoin(cut, offsets, ["_slice", *keys]).withColumn(out, F.sum("_flag").over(own) + F.col("_off")).drop("_slice", "_row", "_off", "_flag")
+
+
 def carried_down(df: DataFrame, keys: list[str], order: str, bucket: Column, value: Column, out: str) -> DataFrame:
     """The last non-null `value` at or before each row; `order` is one column, unique in the group."""
     df = df.withColumn("_b", bucket).withColumn("_v", value)

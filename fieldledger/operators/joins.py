@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.text import normal_key
 from ..functions.versions import loose_key, version_key
 from ..session import cut
-from .groups import first_per_group, struct_list, top_per_group
+from .groups import counted, first_per_group, struct_list, top_per_group
 
 # Days a row stays published, stored, and unseen before it is closed; the join limit of a late text join.
 LIVE_DAYS, KEEP_PUBLISHED_DAYS, PURGE_DAYS, KEEP_STORED_DAYS = 1, 7, 3, 30
@@ -132,10 +132,23 @@ def merge_registry(found: DataFrame, old: DataFrame, keys: list[str]) -> DataFra
 
 
 def in_range(notes: DataFrame, upgrades: DataFrame, key: str = "pkg") -> DataFrame:
-    """Notes after `from` and up to `to`, by package."""
-    u = upgrades.withColumn("_f", version_key("from_version")).withColumn("_t", version_key("to_version"))
-    n = notes.withColumn("_v", version_key("version"))
-    return n.join(u, key).filter((F.col("_v") > F.col("_f")) & (F.col("_v") <= F.col("_t"))).drop("_f", "_t", "_v")
+    """Notes after `from` and up to `to`, by package.
+
+    Notes and the two ends of each upgrade are put in one order of versions per package. A note's place is the number of
+    notes up to it, an end's the number of notes not above it, so an upgrade's notes are those of consecutive places:
+    they are listed and met by equality. The work grows with notes, upgrades and the pairs found, not with all pairs.
+    """
+    ends = F.explode(F.array(F.struct(version_key("from_version").alias("v"), F.lit("_lo").alias("end")), F.struct(version_key("to_version").alias("v"), F.lit("_hi").alias("end")))).alias("e")
+    asked = upgrades.select(F.col(key).alias("_k"), F.struct(*upgrades.columns).alias("_u"), ends).select("_k", "_u", "e.v", "e.end")
+    there = notes.select(F.col(key).alias("_k"), F.struct(*notes.columns).alias("_n"), version_key("version").alias("v"))
+    both = there.unionByName(asked, allowMissingColumns=True)
+    note = F.col("end").isNull()
+    at = counted(both.filter("_k IS NOT NULL"), ["_k"], [F.col("v"), F.col("end").asc_nulls_first(), F.col("_n"), F.col("_u")], note, "_at")
+    pivot = lambda end: F.max(F.when(F.col("end") == end, F.col("_at")))
+    spans = at.filter(~note).groupBy("_k", "_u").agg(pivot("_lo").alias("_lo"), pivot("_hi").alias("_hi")).filter("_hi > _lo")
+    listed = spans.select("_k", "_u", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("_at"))
+    met = at.filter(note).select("_k", "_n", "_at").join(listed, ["_k", "_at"])
+    return met.select("_n.*", *[F.col("_u")[c].alias(c) for c in upgrades.columns if c != key])
 
 
 def target_note(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -204,12 +217,19 @@ def drop_alias(sites: DataFrame, host: str, count: str, order: list[Column], tes
 
 
 def not_recovered(drops: DataFrame, catch_ups: DataFrame, share: float = 0.5, within_days: int | None = None) -> DataFrame:
-    """Drops no later catch-up run made good (optionally: within so many days)."""
-    later = drops.select("source", "started", "usual").join(catch_ups.select("source", F.col("started").alias("_s"), F.col("jobs").alias("_j")), "source")
-    good = later.filter((F.col("_s") > F.col("started")) & (F.col("_j") >= F.col("usual") * share))
-    if within_days is not None:
-        good = good.filter(F.col("_s") <= F.date_add("started", within_days))
-    return drops.join(good.select("source", "started").distinct(), ["source", "started"], "left_anti")
+    """Drops no later catch-up run made good (optionally: within so many days).
+
+    Drops and catch-ups of a source stand in one order of days; a drop looks at the largest catch-up behind it, which is a
+    running maximum from the end, or that of the few days asked for.
+    """
+    day = F.unix_date(F.to_date("started"))
+    both = drops.select(F.struct(*drops.columns).alias("_d"), "source", day.alias("_t"), F.lit(None).cast("double").alias("_j")).unionByName(
+        catch_ups.select(F.lit(None).alias("_d"), "source", day.alias("_t"), F.col("jobs").cast("double").alias("_j"))
+    )
+    own = W.partitionBy("source")
+    behind = own.orderBy(F.desc("_t")).rangeBetween(W.unboundedPreceding, -1) if within_days is None else own.orderBy("_t").rangeBetween(1, within_days)
+    seen = both.withColumn("_best", F.max("_j").over(behind)).filter("_d IS NOT NULL")
+    return seen.filter(F.col("_best").isNull() | (F.col("_best") < F.col("_d.usual") * share) | F.col("source").isNull()).select("_d.*")
 
 
 def union_latest(older: DataFrame, newer: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.notes import confidence_score
@@ -38,12 +38,15 @@ def rank_companies(df: DataFrame, by: str = "matching", n: int | None = None, na
     return out.limit(n) if n else out
 
 
-def rank_changes(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
-    """Rank by most certain, most symbols, then as found; the first `n` per upgrade where a number is asked for."""
+def rank_changes(df: DataFrame, keys: list[str], n: int | None = None, huge: bool = False) -> DataFrame:
+    """Rank by most certain, most symbols, then as found; the first `n` per upgrade where a number is asked for.
+    `huge` says that a group may hold a large share of all rows: its ranks are then found by range."""
     order = [confidence_score("confidence").desc(), F.size("symbols").desc(), F.col("pos")]
-    if n is None:
+    if n is not None:
+        return top_per_group(df, keys, order, n, "rank")
+    if huge:
         return placed(df, keys, order, "rank").withColumn("rank", F.col("rank").cast("int"))
-    return top_per_group(df, keys, order, n, "rank")
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def by_size(df: DataFrame, size: str, n: int, *ties: str) -> DataFrame:

@@ -54,19 +54,18 @@ def rolling_usual(runs: DataFrame, n: int = HISTORY_RUNS) -> DataFrame:
     """Exact median of the previous `n` full runs per source (`usual`); rows are one per run and source.
 
     Every full run is judged for every source ever seen; a source a run lacks counts 0 for that run but gives no
-    history. Runs are numbered by start, so the frame is over runs, not over the source's own rows.
+    history. Runs are numbered by start; each count is handed on to the `n` runs behind it, so a source costs as many
+    rows as it has runs, times `n`, and none for runs long after its last.
     """
     full = runs.filter("is_full").groupBy("day", "source").agg(F.sum("jobs").alias("jobs"))
     days = full.select("day").distinct().withColumn("_run", F.row_number().over(W.orderBy("day")))  # one row per run
-    every = full.agg(F.collect_set("source").alias("_all"))  # the crawled systems, a short list
-    grid = days.withColumn("source", F.explode(every.scalar()))
-    got = grid.join(full, ["day", "source"], "left")
-    frame = W.partitionBy("source").orderBy("_run").rowsBetween(-n, -1)
-    past = F.sort_array(F.collect_list("jobs").over(frame))
-    got = got.withColumn("_past", past).filter(F.size("_past") > 0)
+    own = full.join(days, "day")
+    last = days.agg(F.max("_run")).scalar()
+    handed = own.select("source", "jobs", F.explode(F.sequence(F.col("_run") + 1, F.col("_run") + n)).alias("_run")).filter(F.col("_run") <= last)
+    past = rejoin(handed.groupBy("source", "_run").agg(F.sort_array(F.collect_list("jobs")).alias("_past")), own.select("source", "_run", "jobs"), ["source", "_run"], "left")
     k = F.size("_past")
     usual = (F.get("_past", F.floor((k - 1) / 2).cast("int")) + F.get("_past", F.floor(k / 2).cast("int"))) / 2
-    return got.select("day", "source", F.coalesce("jobs", F.lit(0)).alias("jobs"), usual.alias("usual"))
+    return past.join(days, "_run").select("day", "source", F.coalesce("jobs", F.lit(0)).alias("jobs"), usual.alias("usual"))
 
 
 def source_drops(runs: DataFrame) -> DataFrame:
@@ -142,15 +141,22 @@ def stints(snapshots: DataFrame, keys: list[str], day: str = "day", gap: int = 3
 def recent_count(df: DataFrame, client: str, ts: str, seconds: int = 3600) -> DataFrame:
     """Requests of the client in the hour before each request.
 
-    A client's log is cut into pieces one window long; each row also goes to the next piece as history, so a busy
-    client spreads over as many tasks as it has hours.
+    A client's log is cut into pieces one window long, with one row per moment. The hour before a moment is the rest of
+    the piece before, from the moment one window earlier on, and the own piece up to the moment: two running sums, so
+    the work is linear however busy an hour is.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    piece = F.floor(micros / (seconds * 1_000_000))
-    rows = df.withColumn("_t", micros).withColumn("_own", piece).withColumn("_piece", F.explode(F.array(piece, piece + 1)))
-    w = W.partitionBy(client, "_piece").orderBy("_t").rangeBetween(-seconds * 1_000_000, 0)
-    counted = rows.withColumn("recent", F.count("*").over(w) - 1)
-    return counted.filter(F.col("_piece") == F.col("_own")).drop("_t", "_own", "_piece")
+    span = seconds * 1_000_000
+    rows = df.withColumn("_t", micros)
+    moments = rows.groupBy(client, "_t").agg(F.count("*").alias("_n"))
+    marks = moments.select(client, F.col("_t").alias("_of"), F.explode(F.array(F.struct(F.col("_t").alias("at"), F.lit(1).alias("kind"), F.col("_n").alias("n")), F.struct((F.col("_t") - span).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n")))).alias("m")).select(client, "_of", "m.*")
+    marks = marks.withColumn("_piece", F.floor(F.col("at") / span))
+    piece = W.partitionBy(client, "_piece")
+    upto = F.sum("n").over(piece.orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
+    # The mark one window earlier stands before the requests of its moment, which still count.
+    part = marks.withColumn("_part", F.when(F.col("kind") == 1, upto).otherwise(F.sum("n").over(piece) - upto))
+    recent = part.groupBy(client, F.col("_of").alias("_t")).agg((F.sum("_part") - 1).alias("recent"))
+    return rejoin(rows, recent, [client, "_t"]).drop("_t")
 
 
 def refusal_windows(responses: DataFrame, order: list[Column], refused: Column) -> DataFrame:

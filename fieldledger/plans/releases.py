@@ -17,25 +17,34 @@ SIGNALS = 2
 
 
 def notes_in_range(requests: DataFrame, releases: DataFrame, changelogs: DataFrame, save=lambda df, name: df) -> DataFrame:
-    """Notes of each upgrade (`req`); a missing or pointer-only target note gives way to the changelog's section."""
-    found = J.in_range(releases, requests).select("req", "pkg", "version", "tag", "url", "body", "pos", (version_key("version") == version_key("to_version")).alias("is_target"))
+    """Notes of each upgrade (`req`) with what breaks; a missing or pointer-only target note gives way to the changelog's
+    section. A package's `pos` names a note.
+
+    The range join sees no bodies. Each note some upgrade reaches is read once, however many upgrades reach it.
+    """
+    slim = releases.select("pkg", "version", "tag", "url", "pos")
+    found = J.in_range(slim, requests).select("req", "pkg", "version", "tag", "url", "pos", (version_key("version") == version_key("to_version")).alias("is_target"))
     # A tag once per upgrade.
     found = found.withColumn("_p", F.col("pos"))
     found = save(first_per_group(found, ["req", "tag"], [F.col("_p")]).drop("_p"), "found")
-    good = found.filter("is_target").groupBy("req").agg(F.max((~is_pointer("body")).cast("int")).alias("good"))
+    used = releases.join(found.select("pkg", "pos").distinct(), ["pkg", "pos"], "left_semi")
+    read = save(used.select("pkg", "pos", is_pointer("body").alias("_pointer"), breaking_changes("body").alias("changes")), "read")
+    found = found.join(read, ["pkg", "pos"])
+    good = found.filter("is_target").groupBy("req").agg(F.max((~F.col("_pointer")).cast("int")).alias("good"))
     need = requests.join(good, "req", "left").filter("coalesce(good, 0) = 0")
     section = need.join(changelogs, "pkg").select(
         "req", "pkg", F.col("to_version").alias("version"), F.concat(F.lit("changelog "), "to_version").alias("tag"), F.col("changelog_url").alias("url"),
-        changelog_section("text", "to_version").alias("body"), F.lit(0).alias("pos"), F.lit(True).alias("is_target"),
+        F.lit(0).alias("pos"), F.lit(True).alias("is_target"), changelog_section("text", "to_version").alias("body"),
     ).filter("body IS NOT NULL")
-    replaced = found.join(section.select("req", F.lit(True).alias("_s")), "req", "left").filter("NOT (is_target AND coalesce(_s, false))").drop("_s")
+    section = section.withColumn("changes", breaking_changes("body")).drop("body")
+    replaced = found.join(section.select("req", F.lit(True).alias("_s")), "req", "left").filter("NOT (is_target AND coalesce(_s, false))").drop("_s", "_pointer")
     return replaced.unionByName(section)
 
 
 def changes(notes: DataFrame) -> DataFrame:
-    """Breaking changes per upgrade: near-identical ones once, ranked, the first forty."""
+    """Breaking changes per upgrade: near-identical ones once, ranked."""
     order = F.struct(version_key("version").alias("v"), F.col("tag").alias("t"))
-    flat = notes.select("req", "version", "tag", "url", order.alias("o"), F.posexplode(breaking_changes("body")).alias("i", "c"))
+    flat = notes.select("req", "version", "tag", "url", order.alias("o"), F.posexplode("changes").alias("i", "c"))
     flat = flat.select("req", "version", "tag", "url", F.struct("o", "i").alias("pos"), "c.*")
     return rank_changes(dedupe_near(flat, ["req"]), ["req"])
 
@@ -49,9 +58,8 @@ def migration_delta(requests: DataFrame, packages: DataFrame, releases: DataFram
         F.count("*").alias("breaking"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "summary"))), lambda x: x["summary"]).alias("changes")
     )
     fixes = advisories.groupBy("pkg").agg(F.count("*").alias("advisories"), F.count(F.when(F.col("fixed_by_upgrade"), True)).alias("fixed"))
-    span = requests.select("req", "pkg", version_key("from_version").alias("_f"), version_key("to_version").alias("_t"))
-    vers = packages.select("pkg", F.explode("versions").alias("_x")).join(span, "pkg")
-    vers = vers.filter((version_key("_x") > F.col("_f")) & (version_key("_x") <= F.col("_t"))).groupBy("req").agg(F.count("*").alias("releases_in_range"))
+    listed = packages.select("pkg", F.explode("versions").alias("version"))
+    vers = J.in_range(listed, requests.select("req", "pkg", "from_version", "to_version")).groupBy("req").agg(F.count("*").alias("releases_in_range"))
     r = requests.withColumns({"kind": jump("from_version", "to_version"), "majors": majors_crossed("from_version", "to_version")})
     for side, key in ((vers, "req"), (cover, "req"), (what, "req"), (fixes, "pkg")):
         r = r.join(side, key, "left")

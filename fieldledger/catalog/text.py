@@ -35,7 +35,7 @@ HTML_STEPS = [
 
 @query("t01_html_to_text", f"SELECT page_id, {TRIM.format(_chain('html', HTML_STEPS))} AS text FROM pages")
 def t01(spark, d):
-    return table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("text"))
+    return spread(table(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", T.html_to_text("html").alias("text"))
 
 
 BOARD_STEPS = HTML_STEPS[:2] + [(r"(?i)</(p|div|li|h[1-6]|br)>", "\n"), (r"<[^>]+>", ""), ("&nbsp;", " ")] + HTML_STEPS[7:12] + HTML_STEPS[13:]
@@ -43,7 +43,7 @@ BOARD_STEPS = HTML_STEPS[:2] + [(r"(?i)</(p|div|li|h[1-6]|br)>", "\n"), (r"<[^>]
 
 @query("t01_board_html_to_text", f"SELECT page_id, {TRIM.format(_chain('html', BOARD_STEPS))} AS text FROM pages")
 def t01b(spark, d):
-    return table(spark, d, "pages").select("page_id", T.board_html_to_text("html").alias("text"))
+    return spread(table(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", T.board_html_to_text("html").alias("text"))
 
 
 @query("t02_decode", """
@@ -238,9 +238,15 @@ def t19(spark, d):
 
 # ---------------------------------------------------------------- pay
 
+def spread(df, key):
+    """The rows dealt over the cluster's tasks: the given tables are files of one or two read splits, and a text costs more
+    than its shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def pay_texts(spark, d):
     """Order values written as pay lines in five ways."""
-    o = table(spark, d, "orders").withColumn("n", F.floor(F.col("o_totalprice") / 5 + 20_000).cast("bigint"))
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey").withColumn("n", F.floor(F.col("o_totalprice") / 5 + 20_000).cast("bigint"))
     money = lambda c: F.format_number(c, 0)
     lo, hi = F.col("n"), F.col("n") + 15_000
     k = F.col("o_orderkey") % 6
@@ -323,7 +329,7 @@ TITLES = [  # title, department, type, description, then the tags that must come
 def clinical_rows(spark, d):
     """Orders with one of seven postings each."""
     pick = lambda i: F.element_at(F.array(*[F.lit(t[i]).cast("string") for t in TITLES]), (F.col("o_orderkey") % len(TITLES) + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", pick(0).alias("title"), pick(1).alias("department"), pick(2).alias("employment_type"), pick(3).alias("description"))
+    return spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", pick(0).alias("title"), pick(1).alias("department"), pick(2).alias("employment_type"), pick(3).alias("description"))
 
 
 def _case(i: int) -> str:

@@ -20,6 +20,7 @@ from .joins import CO
 from .payloads import filing_docs, js, st
 from .registry import query
 from .sources import published
+from .text import spread
 from .upserts import base_before
 
 lit, col, cat = F.lit, F.col, F.concat
@@ -243,7 +244,7 @@ def q09(spark, d):
 
 def release_tables(spark, d):
     """Packages, notes, changelogs and advisories of parts: package p has versions 1..size of its part, patch level from the line number."""
-    p = A.table(spark, d, "part")
+    p = spread(A.table(spark, d, "part"), "p_partkey")
     pkg = col("p_partkey").alias("pkg")
     ver = lambda i: cat(i, lit(".0.0"))
     packages = p.select(pkg, F.transform(F.sequence(lit(1), F.col("p_size") + 2), ver).alias("versions"))

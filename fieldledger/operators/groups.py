@@ -80,27 +80,33 @@ def slices(df: DataFrame, order: list[Column], parts: int | None = None) -> Data
     return saver(df.sparkSession, "slices")(cut, "rows")
 
 
-def placed(df: DataFrame, keys: list[str], order: list[Column], out: str = "pos", parts: int | None = None) -> DataFrame:
-    """Exact 1-based position in the order of each group (with no keys: of the table); `order` should be total.
-
-    A group's rows lie in consecutive slices of keys and order, so a position is the place in the slice, less the place
-    where the group starts there, plus the group's rows in the slices before.
-    """
-    cut = slices(df, [*[F.col(k).asc_nulls_first() for k in keys], *order], parts)
-    runs = cut.groupBy("_slice", *keys).agg(F.count("*").alias("_n"), F.min("_row").alias("_start"))
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # a row per slice at most
-    offsets = runs.select("_slice", *keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start") + 1).alias("_off"))
-    return rejoin(cut, offsets, ["_slice", *keys]).withColumn(out, F.col("_row") + F.col("_off")).drop("_slice", "_row", "_off")
+def _carry(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """What a group has in the slices before; only the first group of a slice can have any, so a row per slice at most."""
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    return sums.select("_slice", *keys, F.sum("_n").over(before).alias("_off")).filter("_off > 0")
 
 
 def counted(df: DataFrame, keys: list[str], order: list[Column], flag: Column, out: str, parts: int | None = None) -> DataFrame:
-    """How many flagged rows stand at or before each row in its group's order (which should be total), for groups of any size."""
+    """How many flagged rows stand at or before each row in its group's order, for groups of any size.
+
+    The rows are dealt by range over keys and order; sums run inside a group's rows of one slice, and what the group has
+    in the slices before is added. Rows equal in all of the order count in the order they were written.
+    """
     cut = slices(df.withColumn("_flag", flag.cast("long")), [*[F.col(k).asc_nulls_first() for k in keys], *order], parts)
-    sums = cut.groupBy("_slice", *keys).agg(F.sum("_flag").alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # a row per slice at most
-    offsets = sums.select("_slice", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    carry = _carry(cut.groupBy("_slice", *keys).agg(F.sum("_flag").alias("_n")), keys)
     own = W.partitionBy("_slice", *keys).orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
-    return rejoin(cut, offsets, ["_slice", *keys]).withColumn(out, F.sum("_flag").over(own) + F.col("_off")).drop("_slice", "_row", "_off", "_flag")
+    joined = rejoin(cut.withColumn("_own", F.sum("_flag").over(own)), F.broadcast(carry), ["_slice", *keys], "left")
+    return joined.withColumn(out, F.col("_own") + F.coalesce("_off", F.lit(0))).drop("_slice", "_row", "_off", "_flag", "_own")
+
+
+def placed(df: DataFrame, keys: list[str], order: list[Column], out: str = "pos", parts: int | None = None) -> DataFrame:
+    """Exact 1-based position in the order of each group (with no keys: of the table); `order` should be total."""
+    if keys:
+        return counted(df, keys, order, F.lit(1), out, parts)
+    cut = slices(df, order, parts)
+    carry = _carry(cut.groupBy("_slice").agg(F.count("*").alias("_n")), [])
+    joined = cut.join(F.broadcast(carry), "_slice", "left")
+    return joined.withColumn(out, F.col("_row") + F.coalesce("_off", F.lit(0)) + 1).drop("_slice", "_row", "_off")
 
 
 def carried_down(df: DataFrame, keys: list[str], order: str, bucket: Column, value: Column, out: str) -> DataFrame:

@@ -131,24 +131,36 @@ def merge_registry(found: DataFrame, old: DataFrame, keys: list[str]) -> DataFra
     return j.select(*keys, *cols, "retained")
 
 
-def in_range(notes: DataFrame, upgrades: DataFrame, key: str = "pkg") -> DataFrame:
-    """Notes after `from` and up to `to`, by package.
-
-    Notes and the two ends of each upgrade are put in one order of versions per package. A note's place is the number of
-    notes up to it, an end's the number of notes not above it, so an upgrade's notes are those of consecutive places:
-    they are listed and met by equality. The work grows with notes, upgrades and the pairs found, not with all pairs.
-    """
+def _version_places(notes: DataFrame, upgrades: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(notes: _k, _n, _at) and (upgrades: _k, _u, _lo, _hi): a note's place among its package's notes in order of version,
+    and how many notes are not above each end of an upgrade."""
     ends = F.explode(F.array(F.struct(version_key("from_version").alias("v"), F.lit("_lo").alias("end")), F.struct(version_key("to_version").alias("v"), F.lit("_hi").alias("end")))).alias("e")
     asked = upgrades.select(F.col(key).alias("_k"), F.struct(*upgrades.columns).alias("_u"), ends).select("_k", "_u", "e.v", "e.end")
     there = notes.select(F.col(key).alias("_k"), F.struct(*notes.columns).alias("_n"), version_key("version").alias("v"))
-    both = there.unionByName(asked, allowMissingColumns=True)
+    both = there.unionByName(asked, allowMissingColumns=True).filter("_k IS NOT NULL")
     note = F.col("end").isNull()
-    at = counted(both.filter("_k IS NOT NULL"), ["_k"], [F.col("v"), F.col("end").asc_nulls_first(), F.col("_n"), F.col("_u")], note, "_at")
+    # At one version notes come before ends, as an end counts the notes of its own version.
+    at = counted(both, ["_k"], [F.col("v"), F.col("end").asc_nulls_first()], note, "_at")
     pivot = lambda end: F.max(F.when(F.col("end") == end, F.col("_at")))
-    spans = at.filter(~note).groupBy("_k", "_u").agg(pivot("_lo").alias("_lo"), pivot("_hi").alias("_hi")).filter("_hi > _lo")
-    listed = spans.select("_k", "_u", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("_at"))
-    met = at.filter(note).select("_k", "_n", "_at").join(listed, ["_k", "_at"])
-    return met.select("_n.*", *[F.col("_u")[c].alias(c) for c in upgrades.columns if c != key])
+    return at.filter(note).select("_k", "_n", "_at"), at.filter(~note).groupBy("_k", "_u").agg(pivot("_lo").alias("_lo"), pivot("_hi").alias("_hi"))
+
+
+def in_range(notes: DataFrame, upgrades: DataFrame, key: str = "pkg") -> DataFrame:
+    """Notes after `from` and up to `to`, by package.
+
+    Notes and the two ends of each upgrade are put in one order of versions per package, so an upgrade's notes are those
+    of consecutive places: they are listed and met by equality. The work grows with notes, upgrades and the pairs found,
+    not with all pairs.
+    """
+    there, spans = _version_places(notes, upgrades, key)
+    listed = spans.filter("_hi > _lo").select("_k", "_u", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("_at"))
+    return there.join(listed, ["_k", "_at"]).select("_n.*", *[F.col("_u")[c].alias(c) for c in upgrades.columns if c != key])
+
+
+def count_in_range(notes: DataFrame, upgrades: DataFrame, out: str, key: str = "pkg") -> DataFrame:
+    """J13 where only the number of notes is wanted: the difference of two places, no note is listed."""
+    _, spans = _version_places(notes, upgrades, key)
+    return spans.select("_u.*", F.greatest(F.lit(0), F.col("_hi") - F.col("_lo")).alias(out))
 
 
 def target_note(candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -58,8 +58,10 @@ def migration_delta(requests: DataFrame, packages: DataFrame, releases: DataFram
         F.count("*").alias("breaking"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "summary"))), lambda x: x["summary"]).alias("changes")
     )
     fixes = advisories.groupBy("pkg").agg(F.count("*").alias("advisories"), F.count(F.when(F.col("fixed_by_upgrade"), True)).alias("fixed"))
-    listed = packages.select("pkg", F.explode("versions").alias("version"))
-    vers = J.in_range(listed, requests.select("req", "pkg", "from_version", "to_version")).groupBy("req").agg(F.count("*").alias("releases_in_range"))
+    span = requests.select("req", "pkg", version_key("from_version").alias("_f"), version_key("to_version").alias("_t"))
+    keyed = packages.select("pkg", F.transform("versions", version_key).alias("_v"))  # a package's versions are one row as they come
+    inside = F.filter("_v", lambda v: (v > F.col("_f")) & (v <= F.col("_t")))
+    vers = span.join(keyed, "pkg").select("req", F.size(inside).cast("bigint").alias("releases_in_range"))
     r = requests.withColumns({"kind": jump("from_version", "to_version"), "majors": majors_crossed("from_version", "to_version")})
     for side, key in ((vers, "req"), (cover, "req"), (what, "req"), (fixes, "pkg")):
         r = r.join(side, key, "left")

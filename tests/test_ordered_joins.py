@@ -35,6 +35,8 @@ def test_range_join_of_versions(spark):
     got = sorted((x.req, x.tag, x.pkg, x.version, x.to_version) for x in J.in_range(n, u).collect())
     want = sorted((q, t, p, v, b) for q, up, a, b in ups for p, v, t in notes if p == up and p is not None and q != 99 and keys[a] < keys[v] <= keys[b])
     assert want and got == want
+    counts = {x.req: x.n for x in J.count_in_range(n, u, "n").collect()}
+    assert counts == {q: sum(1 for w in want if w[0] == q) for q, up, _, _ in ups if up is not None}
 
 
 @pytest.mark.parametrize("within", [None, 3])

@@ -131,6 +131,10 @@ def merge_registry(found: DataFrame, old: DataFrame, keys: list[str]) -> DataFra
     return j.select(*keys, *cols, "retained")
 
 
+#: Places of one package's notes that are shuffled as one stretch.
+STRETCH = 256
+
+
 def _version_places(notes: DataFrame, upgrades: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(notes: _k, _n, _at) and (upgrades: _k, _u, _lo, _hi): a note's place among its package's notes in order of version,
     and how many notes are not above each end of an upgrade."""
@@ -149,12 +153,15 @@ def in_range(notes: DataFrame, upgrades: DataFrame, key: str = "pkg") -> DataFra
     """Notes after `from` and up to `to`, by package.
 
     Notes and the two ends of each upgrade are put in one order of versions per package, so an upgrade's notes are those
-    of consecutive places: they are listed and met by equality. The work grows with notes, upgrades and the pairs found,
-    not with all pairs.
+    of consecutive places. Places are cut into stretches of `STRETCH`: an upgrade is sent to the stretches it touches and
+    meets their notes there. What is shuffled grows with notes, upgrades and stretches touched, the pairs are made where
+    they are used, and neither side is collected: the spans look small to the planner before they are listed.
     """
     there, spans = _version_places(notes, upgrades, key)
-    listed = spans.filter("_hi > _lo").select("_k", "_u", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("_at"))
-    return there.join(listed, ["_k", "_at"]).select("_n.*", *[F.col("_u")[c].alias(c) for c in upgrades.columns if c != key])
+    part = lambda at: F.floor(at / STRETCH)
+    listed = spans.filter("_hi > _lo").select("_k", "_u", "_lo", "_hi", F.explode(F.sequence(part(F.col("_lo") + 1), part(F.col("_hi")))).alias("_part"))
+    met = listed.join(there.withColumn("_part", part(F.col("_at"))).hint("merge"), ["_k", "_part"]).filter("_at > _lo AND _at <= _hi")
+    return met.select("_n.*", *[F.col("_u")[c].alias(c) for c in upgrades.columns if c != key])
 
 
 def count_in_range(notes: DataFrame, upgrades: DataFrame, out: str, key: str = "pkg") -> DataFrame:

@@ -29,7 +29,8 @@ def funded(hits: DataFrame, documents: DataFrame, q: dict, year: Column, seen: D
     wanted = prefilter(hits, q).select("accession", "cik", "file_name", "filed_at").dropDuplicates(["accession"])
     if seen is not None:
         wanted = exclude_seen(wanted, seen, "accession")
-    filings = form_d(documents.select("accession", "body").join(wanted, "accession")).filter(filing_filter(q, year))
+    # Documents are met by a merge: their size in the source says little about that of their bodies, so none is broadcast.
+    filings = form_d(documents.select("accession", "body").hint("merge").join(wanted, "accession")).filter(filing_filter(q, year))
     if q.get("latest_per_company"):
         filings = latest(filings, ["cik"], "filed_at", F.col("accession").desc())
     return filings

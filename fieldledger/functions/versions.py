@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c
+from .text import _c, let
 
 
 def tag_version(col: Column | str) -> Column:
@@ -24,17 +24,22 @@ def _bare(col: Column | str) -> Column:
 def version_key(col: Column | str) -> Column:
     """``struct<major, minor, patch, release, suffix>``: structs compare field by field, a pre-release before its release."""
     p = r"^(\d+(?:\.\d+)*)[-+]?(.*)$"
-    nums = F.split(F.regexp_extract(_bare(col), p, 1), r"\.")
-    n = [F.coalesce(F.get(nums, i).try_cast("bigint"), F.lit(0).cast("bigint")) for i in range(3)]
-    pre = F.regexp_extract(_bare(col), p, 2)
-    return F.struct(n[0].alias("major"), n[1].alias("minor"), n[2].alias("patch"), F.when(pre == "", 1).otherwise(0).alias("release"), pre.alias("suffix"))
+
+    def fields(x: Column) -> Column:
+        n = [F.coalesce(F.get(x["nums"], i).try_cast("bigint"), F.lit(0).cast("bigint")) for i in range(3)]
+        release = F.when(x["pre"] == "", 1).otherwise(0)
+        return F.struct(n[0].alias("major"), n[1].alias("minor"), n[2].alias("patch"), release.alias("release"), x["pre"].alias("suffix"))
+
+    # The pieces are cut out once, not for every field.
+    cut = lambda bare: F.struct(F.split(F.regexp_extract(bare, p, 1), r"\.").alias("nums"), F.regexp_extract(bare, p, 2).alias("pre"))
+    return let(let(_bare(col), cut), fields)
 
 
 def loose_key(col: Column | str) -> Column:
     """All numeric parts, trailing zeros dropped, so that arrays compare as padded versions do."""
     nums = F.transform(F.split(_bare(col), r"[.\-+]"), lambda x: F.coalesce(F.regexp_extract(x, r"^\d+", 0).try_cast("bigint"), F.lit(0).cast("bigint")))
-    last = F.array_max(F.transform(nums, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
-    return F.slice(nums, F.lit(1), last)
+    last = lambda a: F.array_max(F.transform(a, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    return let(nums, lambda a: F.slice(a, F.lit(1), last(a)))
 
 
 def _nums(col: Column | str) -> list[Column]:
@@ -63,10 +68,10 @@ def repo(col: Column | str) -> Column:
 
 def severity(named: Column | str, score: Column | str) -> Column:
     """The named value, else the band of a plain score; vectors carry no score."""
-    n = F.lower(_c(named))
-    s = F.when(~_c(score).contains("/AV:"), F.regexp_extract(_c(score), r"^\s*(\d+(\.\d+)?)", 1).try_cast("double"))
-    band = F.when(s >= 9, "critical").when(s >= 7, "high").when(s >= 4, "moderate").when(s.isNotNull(), "low")
-    return F.when(n.isin("critical", "high", "moderate", "low"), n).otherwise(F.coalesce(band, F.lit("unknown")))
+    number = F.when(~_c(score).contains("/AV:"), F.regexp_extract(_c(score), r"^\s*(\d+(\.\d+)?)", 1).try_cast("double"))
+    band = let(number, lambda s: F.when(s >= 9, "critical").when(s >= 7, "high").when(s >= 4, "moderate").when(s.isNotNull(), "low"))
+    known = _c(named).rlike(r"(?i)^(?:critical|high|moderate|low)\z")
+    return F.when(known, F.lower(_c(named))).otherwise(F.coalesce(band, F.lit("unknown")))
 
 
 def edit_distance(a: Column | str, b: Column | str, limit: int | None = None) -> Column:

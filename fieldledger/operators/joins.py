@@ -180,7 +180,12 @@ def target_note(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 def advisory_fixed(events: Column, to: Column) -> Column:
     """Some `fixed` event at or below the target."""
-    return F.exists(events, lambda e: e["fixed"].isNotNull() & (e["fixed"] != "") & (loose_key(e["fixed"]) <= loose_key(to)))
+    return fixed_by_key(events, loose_key(to))
+
+
+def fixed_by_key(events: Column, to_key: Column) -> Column:
+    """J15 where the target's `loose_key` is at hand: it is the same for all advisories of an answer."""
+    return F.exists(events, lambda e: e["fixed"].isNotNull() & (e["fixed"] != "") & (loose_key(e["fixed"]) <= to_key))
 
 
 # ---------------------------------------------------------------- J16 near names

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..functions.versions import repo, severity, tag_version
-from ..operators.joins import advisory_fixed
+from ..functions.versions import loose_key, repo, severity, tag_version
+from ..operators.joins import fixed_by_key
 
 # Release text kept, advisories read.
 
@@ -200,12 +200,12 @@ def releases(raw: DataFrame, keys: list[str]) -> DataFrame:
 def advisories(raw: DataFrame, keys: list[str], to: Column) -> DataFrame:
     """The advisories of an answer, with severity and whether the target version fixes them."""
     doc = F.from_json("body", "vulns array<struct<id:string,summary:string,details:string,severity:array<struct<type:string,score:string>>,database_specific:struct<severity:string>,affected:array<struct<ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>>>>>")
-    r = raw.select(*keys, to.alias("_to"), F.posexplode(doc["vulns"]).alias("pos", "v"))
+    r = raw.select(*keys, loose_key(to).alias("_to"), F.posexplode(doc["vulns"]).alias("pos", "v"))
     none = "array<struct<introduced:string,fixed:string>>"
     ranges = F.flatten(F.transform(F.coalesce("v.affected", F.array()), lambda a: F.coalesce(a["ranges"], F.array())))
     events = F.flatten(F.transform(ranges, lambda g: F.coalesce(g["events"], F.array().cast(none))))
     score = F.get(F.filter("v.severity", lambda s: s["type"].startswith("CVSS")), 0)["score"]
     return r.select(
         *keys, "pos", F.col("v.id").alias("id"), F.coalesce("v.summary", "v.details", F.lit("")).alias("summary"), severity("v.database_specific.severity", score).alias("severity"),
-        F.concat(F.lit("https://osv.dev/vulnerability/"), "v.id").alias("url"), F.coalesce(advisory_fixed(events, F.col("_to")), F.lit(False)).alias("fixed_by_upgrade"),
+        F.concat(F.lit("https://osv.dev/vulnerability/"), "v.id").alias("url"), F.coalesce(fixed_by_key(events, F.col("_to")), F.lit(False)).alias("fixed_by_upgrade"),
     )

@@ -9,6 +9,7 @@ from ..sources import feeds as P
 from ..sources import records as R
 from .filters import filings
 from .registry import query
+from .text import spread
 
 lit, col, cat = F.lit, F.col, F.concat
 
@@ -23,7 +24,7 @@ def js(**kw):
 
 def rows(spark, d):
     """Postings with the few extra values payloads carry."""
-    return A.postings(spark, d).withColumns(
+    return spread(A.postings(spark, d), "k").withColumns(
         {"day": F.date_format("posted_at", "yyyy-MM-dd"), "html": cat(lit("<p>Work on "), "title", lit(" &amp; more</p><ul><li>in "), "location", lit("</li></ul>"))}
     )
 
@@ -313,7 +314,7 @@ def filing_xml(df):
 
 
 def filing_docs(spark, d):
-    f = filings(spark, d)
+    f = spread(filings(spark, d), "accession")
     return f.select(cat(lit("0001-01-"), "accession").alias("accession"), col("cik").cast("string").alias("cik"), lit("primary_doc.xml").alias("file_name"), F.date_format("filed_at", "yyyy-MM-dd").alias("filed_at"), filing_xml(f).alias("body"))
 
 
@@ -368,7 +369,7 @@ def p27(spark, d):
 @query("p28_advisories", """
 SELECT p_partkey AS pkg, i AS pos, 'GHSA-' || p_partkey || '-' || i AS id, CASE i % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'unknown' END AS severity, p_size <= 25 AND i % 2 = 0 AS fixed_by_upgrade FROM part, range(30) t(i)""")
 def p28(spark, d):
-    p = A.table(spark, d, "part")
+    p = spread(A.table(spark, d, "part"), "p_partkey")
     fixed = cat(col("p_size"), lit(".0"))
     vuln = lambda i: st(
         id=cat(lit("GHSA-"), "p_partkey", lit("-"), i), details=lit("long text"), database_specific=st(severity=F.when(i % 3 == 0, "HIGH").otherwise("")), severity=F.array(st(type=lit("CVSS_V3"), score=F.when(i % 3 == 1, "5.0").otherwise("CVSS:3.1/AV:N"))),

@@ -77,20 +77,23 @@ def shortened(col: Column, limit: int | None) -> Column:
 
 
 def html_to_text(col: Column | str, limit: int | None = None) -> Column:
-    """HTML fragment to text: blocks end lines, list items get a dash, tags go, blanks collapse."""
-    c = replace_all(
-        F.coalesce(_c(col), F.lit("")),
+    """HTML fragment to text: blocks end lines, list items get a dash, tags go, blanks collapse.
+
+    Each group of rules runs only on texts that hold what it looks for.
+    """
+    tags = lambda c: replace_all(
+        c,
         (r"(?is)<script.*?</script>", ""),
         (r"(?is)<style.*?</style>", ""),
         (r"(?i)<br\s*/?>", "\n"),
         (r"(?i)</(p|div|li|h[1-6])>", "\n"),
         (r"(?i)<li[^>]*>", "- "),
         (r"<[^>]+>", ""),
-        *_NAMED,
-        (r"[ \t]+\n", "\n"),
-        (r"\n{3,}", "\n\n"),
-        (r"[ \t]{2,}", " "),
     )
+    blanks = lambda c: replace_all(c, (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "))
+    c = let(F.coalesce(_c(col), F.lit("")), lambda x: F.when(x.contains("<"), tags(x)).otherwise(x))
+    c = let(c, lambda x: F.when(x.contains("&") | x.contains("\u00a0"), replace_all(x, *_NAMED)).otherwise(x))
+    c = let(c, lambda x: F.when(x.rlike(r"[ \t][ \t\n]|\n{3}"), blanks(x)).otherwise(x))
     return shortened(trimmed(c), limit)
 
 

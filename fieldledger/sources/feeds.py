@@ -305,10 +305,10 @@ def rippling(lists: DataFrame, details: DataFrame) -> DataFrame:
     kind = F.get(F.filter("spots", lambda x: _s(x["workplaceType"]).isNotNull()), 0)["workplaceType"]
     g = g.withColumns({"_names": names, "_kind": F.lower(F.regexp_replace(kind, "^([^_]*)_", "$1-"))})
     text = F.array_join(F.transform(F.map_entries(F.map_filter(d["description"], lambda k, v: k != "company")), lambda e: e["value"]), "\n")
-    pay = F.get(F.filter(d["payRangeDetails"], lambda x: _s(x["currency"]).isNotNull() & ((F.coalesce(x["rangeStart"], F.lit(0)) != 0) | (F.coalesce(x["rangeEnd"], F.lit(0)) != 0))), 0)
-    comp = F.when(pay.isNotNull() & pay["frequency"].isin("HOUR", "DAY", "WEEK", "MONTH", "YEAR"), F.to_json(F.struct(F.array(F.struct(F.array(F.struct(
+    first_pay = F.get(F.filter(d["payRangeDetails"], lambda x: _s(x["currency"]).isNotNull() & ((F.coalesce(x["rangeStart"], F.lit(0)) != 0) | (F.coalesce(x["rangeEnd"], F.lit(0)) != 0))), 0)
+    comp = T.let(first_pay, lambda pay: F.when(pay.isNotNull() & pay["frequency"].isin("HOUR", "DAY", "WEEK", "MONTH", "YEAR"), F.to_json(F.struct(F.array(F.struct(F.array(F.struct(
         F.lit("Salary").alias("compensationType"), F.concat(F.lit("1 "), pay["frequency"]).alias("interval"), pay["currency"].alias("currencyCode"), pay["rangeStart"].alias("minValue"), pay["rangeEnd"].alias("maxValue"),
-    )).alias("components"))).alias("compensationTiers"))))
+    )).alias("components"))).alias("compensationTiers")))))
     return to_job(
         staged(
             g, company=F.col("company"), name=d["companyName"], native_id=F.col("id"), title=p["name"], location=F.get("_names", 0), additional=_rest(F.col("_names")), country=F.get("spots", 0)["countryCode"],
@@ -465,7 +465,8 @@ def icims(raw: DataFrame) -> DataFrame:
 def _texts(df: DataFrame, **parts: Column) -> DataFrame:
     """HTML parts as text columns (null for empty): one `transform` over all of them, so the text rules stand in the plan once."""
     made = F.transform(F.array(*parts.values()), lambda h: _s(T.html_to_text(h)))
-    df = df.withColumn("_parts", made)
+    # A one-element explode keeps filters on the texts from being pushed below, where each would make them again.
+    df = df.select("*", F.explode(F.array(made)).alias("_parts"))
     return df.select("*", *[F.get("_parts", i).alias(n) for i, n in enumerate(parts)]).drop("_parts")
 
 

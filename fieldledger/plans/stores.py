@@ -13,6 +13,7 @@ from ..operators.aggregates import catalog_facts
 from ..operators.filters import path_allowed
 from ..operators.upserts import classify_check
 from ..operators.windows import dedupe_alias
+from ..session import saver
 from ..sources import index as I
 from ..sources.records import store_meta
 
@@ -75,6 +76,7 @@ def store_build(responses: DataFrame, first_seen: DataFrame, now: Column) -> Dat
     schema = "products array<struct<product_type:string,vendor:string,published_at:string,variants:array<struct<price:string>>>>"
     goods = responses.filter("kind = 'catalog' AND status = 200").select("domain", F.explode(F.from_json("body", schema)["products"]).alias("g"))
     goods = goods.select("domain", "g.product_type", "g.vendor", parse_date("g.published_at").cast("timestamp_ntz").alias("published"), "g.variants")
+    goods = saver(goods.sparkSession, "store_build")(goods, "goods")  # several figures read the products; they are parsed once
     live = s.filter("status = 'live'").join(catalog_facts(goods, ["domain"], now), "domain", "left").join(first_seen, "domain", "left")
     live = live.withColumns({"emails": F.coalesce("page.emails", F.array().cast("array<string>")), "phones": F.coalesce("page.phones", F.array().cast("array<string>")), "apps": F.coalesce("page.apps", F.array().cast("array<string>")), "language": F.col("page.language"), "theme": F.col("page.theme"), "socials": F.col("page.socials")})
     keep = ["domain", "name", "myshopify_domain", "country", "currency", "ships_to", "product_count", "language", "theme", "emails", "phones", "apps", "socials", "price_min", "price_median", "price_max", "product_types", "vendors", "newest_product", "added_30d", "first_seen"]

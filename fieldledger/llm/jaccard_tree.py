@@ -11,10 +11,11 @@ dealt out first, exactly: with shingles in one global order, two sets this simil
 these sets. The order puts shingles that many documents have last (the order changes the work, never the result).
 
 Equal sets are one node from the start. Then, in turn: each tree links its points with a few of them, picked by hash, so
-large groups of near copies fall together without listing their pairs; the trees are searched for pairs whose nodes are
-still in different components; every pair that survives the bounds is verified on the whole sets. Components of the
-verified links are exact: a pair is left out only if it is linked already or cannot be linked. A second bound counts the
-trees in which a pair meets: of what two sets share, all but the rest behind one of the heads shows up there.
+large groups of near copies fall together without listing their pairs; the trees are searched for nodes that have a
+partner in a different component, and these nodes get their whole sets, are searched once more and verified on the spot.
+Each task gives nodes and then links that join components, at most one per node, never pairs. Components of the verified
+links are exact: a pair is left out only if it is linked already or cannot be linked. Another bound counts the trees in
+which a pair meets: of what two sets share, all but the rest behind one of the heads shows up there.
 
 A text of 1 to 4 words is one shingle; a null, empty or blank text has none and is linked with nothing. Null ids are
 members but never name a component (a component of null ids only has a null id). Other columns are ignored.
@@ -36,6 +37,7 @@ OFTEN = 0.002  #: shingles in a larger share of documents come last in the order
 LEAF = 32
 CENTRES = 3
 TREE = 8_000  #: points of a tree that is dealt out by itself
+HELD = 3_000_000  #: shingles a task verifies at once; more of one bucket are dealt out as pairs of blocks
 _FULL = np.iinfo(np.uint16).max
 _LATE = 1 << 62  #: places of the shingles that come last, behind all hashes (shifted to 62 bits; ties are safe)
 
@@ -82,12 +84,15 @@ def _wide(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int = 80, heads: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j in tree order) in different parts whose bound reaches what a link needs; a packed R-tree.
+def partners(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int = 80, heads: tuple[np.ndarray, np.ndarray] | None = None, rows: np.ndarray | None = None, done: np.ndarray | None = None):
+    """(i, js) for pairs of rows in different parts whose bound reaches what a link needs, each pair once; a packed R-tree.
 
     heads: for each point, in how many trees it is, and where its head ends in the global order. Of two sets, let X be the
-    one whose head ends first: what they share up to there meets in trees, behind it lies at most the rest of X."""
-    order = np.lexsort((*points.T[:3], size, part))  # one part, then near sizes and counts, share a leaf
+    one whose head ends first: what they share up to there meets in trees, behind it lies at most the rest of X.
+    rows: the points to search (all). `part` may be merged, and points may be marked `done`, between two results: pairs of
+    one part, or of two points that are done, are left out from there on."""
+    rows = np.arange(len(size)) if rows is None else rows
+    order = rows[np.lexsort((*points[rows].T[:3], size[rows], part[rows]))]  # one part, then near sizes and counts, share a leaf
     p, n, c = _wide(points[order]), size[order].astype(np.int64), part[order]
     met, last = (x[order] for x in heads) if heads else (n, np.zeros(len(n), np.int64))
     rest = -(-percent * n // 100) - 1
@@ -95,7 +100,6 @@ def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int
     top, low, high = np.maximum.reduceat(p, starts), np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
     one = np.minimum.reduceat(c, starts)
     single = one == np.maximum.reduceat(c, starts)
-    left, right = [], []
     for a in range(0, len(p), LEAF):
         b, box = min(a + LEAF, len(p)), a // LEAF
         # boxes whose sizes are near enough, but for those of this leaf's only part
@@ -110,15 +114,55 @@ def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int
         near = near[near < len(p)]
         for i in range(a, b):
             j = near[near > i]
+            if done is not None and done[order[i]]:
+                j = j[~done[order[j]]]
             j = j[(c[j] != c[i]) & (percent * np.maximum(n[j], n[i]) <= 100 * np.minimum(n[j], n[i]))]
             behind = np.where(last[j] == last[i], np.maximum(rest[i], rest[j]), np.where(last[j] < last[i], rest[j], rest[i]))
             j = j[np.minimum(met[i], met[j]) + behind >= needed(n[i], n[j], percent)]
             j = j[np.minimum(p[i], p[j]).sum(axis=1) >= needed(n[i], n[j], percent)]
-            left.append(np.full(len(j), i))
-            right.append(j)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return order[np.concatenate(left)], order[np.concatenate(right)]
+            j = order[j]
+            j = j[part[j] != part[order[i]]]
+            if len(j):
+                yield order[i], j
+
+
+def search(points: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int = 80, heads: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that `partners` gives."""
+    found = list(partners(points, size, part, percent, heads))
+    none = [np.empty(0, np.int64)]
+    return np.concatenate([np.full(len(j), i) for i, j in found] or none), np.concatenate([j for _, j in found] or none)
+
+
+class Overlaps:
+    """Sizes of intersections of lists of small numbers."""
+
+    def __init__(self, lists_of: list[np.ndarray]):
+        self.lists, self.size = lists_of, np.array([len(x) for x in lists_of], np.int64)
+        self.held = np.zeros(max((int(x.max()) + 1 for x in lists_of if len(x)), default=0), bool)
+
+    def of(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Intersection of list i with each of js (none of which is empty)."""
+        self.held[self.lists[i]] = True
+        same = np.add.reduceat(self.held[np.concatenate([self.lists[j] for j in js])].astype(np.int64), np.cumsum(self.size[js]) - self.size[js])
+        self.held[self.lists[i]] = False
+        return same
+
+
+def joining(points: np.ndarray, sets: list[np.ndarray], part: np.ndarray, percent: int, heads: tuple[np.ndarray, np.ndarray], trees: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of rows whose whole sets are similar enough, as few as join the parts that such pairs connect in some tree
+    (rows of each). Sets are lists of small numbers; `part` is merged on the way."""
+    shared, out = Overlaps(sets), []
+    for rows in trees:
+        for i, j in partners(points, shared.size, part, percent, heads, rows):
+            while len(j):
+                some, j = j[:LEAF], j[LEAF:]
+                same = shared.of(i, some)
+                for x in some[100 * same >= percent * (shared.size[i] + shared.size[some] - same)].tolist():
+                    if part[x] != part[i]:
+                        out.append((int(i), x))
+                        part[part == part[x]] = part[i]
+                j = j[part[j] != part[i]]
+    return out
 
 
 def _often(docs: DataFrame, words: int, share: float) -> list[int]:
@@ -210,45 +254,121 @@ def _shared_heads(features: DataFrame, batches: int, buckets: int) -> DataFrame:
     return ask_again(dealt, told, chosen, "gram long, node long").distinct()
 
 
-def _pairs_in_trees(trees: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """a, b: pairs of nodes in different components that survive the bound in some tree."""
-
-    def work(rows):
-        gram = np.asarray(rows.column("gram"))
-        order = np.argsort(gram, kind="stable")
-        node, n, part, met, last = (np.asarray(rows.column(c))[order] for c in ("node", "n", "part", "met", "last"))
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)[order]
-        gram = gram[order]
-        cuts = np.append(np.flatnonzero(np.append([True], gram[1:] != gram[:-1])), len(gram))
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            i, j = search(points[x:y], n[x:y], part[x:y], percent, (met[x:y], last[x:y]))
-            a.append(node[x:y][i])
-            b.append(node[x:y][j])
-        a, b = np.concatenate(a), np.concatenate(b)
-        both, met = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_counts=True)
-        return pa.table({"a": both[0], "b": both[1], "met": met.astype(np.int64)})
+def _groups(keys: np.ndarray) -> list[np.ndarray]:
+    """Rows of each key."""
+    order = np.argsort(keys, kind="stable")
+    return np.split(order, np.flatnonzero(keys[order][1:] != keys[order][:-1]) + 1) if len(keys) else []
+
+
+def _with_partners(trees: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """bucket, node, homes, part, met, last: the nodes that have a partner in another component in some tree, one row for
+    each bucket; homes: which groups of trees of the bucket."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        gram, home, node, n, part, met, last = (np.asarray(rows.column(c)) for c in ("gram", "home", "node", "n", "part", "met", "last"))
+        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+        done = np.zeros(len(node), bool)
+        for tree in _groups(gram):
+            for i, j in partners(points, n, part, percent, (met, last), tree, done):
+                done[i] = done[j] = True
+        use = np.flatnonzero(done)
+        use = use[np.lexsort((home[use], node[use]))]
+        use = use[np.append([True], (node[use][1:] != node[use][:-1]) | (home[use][1:] != home[use][:-1]))[: len(use)]]
+        first = np.flatnonzero(np.append([True], node[use][1:] != node[use][:-1])[: len(use)])
+        own = use[first]
+        bucket = np.asarray(rows.column("bucket"))[own]
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "node": pa.array(node[own]), "homes": lists(home[use], np.append(first[1:], len(use))[: len(first)]), "part": pa.array(part[own]), "met": pa.array(met[own]), "last": pa.array(last[own])})
 
     # trees of one group of near copies go together, so that their pairs come up once; very large trees go one by one
     home = F.when(F.col("size") > TREE, F.col("gram")).otherwise(F.col("l"))
-    found = trees.withColumn("bucket", F.pmod(F.xxhash64(home), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda rows: work(rows), "a long, b long, met long")
-    return found.groupBy("a", "b").agg(F.sum("met").alias("met"))
+    dealt = trees.withColumn("home", home).withColumn("bucket", F.pmod(F.xxhash64("home"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(lambda rows: work(rows), "bucket long, node long, homes array<bigint>, part long, met long, last long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, features: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs of nodes whose whole sets are similar enough. Each node's set is read from one of its documents."""
+def _in_blocks(rows: DataFrame, count: str) -> DataFrame:
+    """Adds `low`, `high`: what is verified in one task. A bucket whose lists (`count` long each) are too large for one is
+    dealt into blocks, and each two blocks meet."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(count) / HELD).alias("blocks"))
+    of = rows.join(sizes, "bucket").withColumn("x", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    met = of.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return met.select(*rows.columns, F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"))
+
+
+def _homes(rows: pa.Table) -> list[np.ndarray]:
+    """Rows of each group of trees."""
+    homes, at = flat(rows.column("homes"))
+    return [at[r] for r in _groups(homes)]
+
+
+def _coded(column: pa.ChunkedArray | pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column with small numbers for their values."""
+    values, row = flat(column)
+    return np.split(np.unique(values, return_inverse=True)[1], np.cumsum(np.bincount(row, minlength=len(column)))[:-1])
+
+
+def _meeting(some: DataFrame, heads: DataFrame, in_trees: DataFrame, percent: int) -> DataFrame:
+    """Of the nodes `_with_partners` gives, those with a partner that is met in as many trees as a link needs: how many
+    trees two nodes share is counted from all head shingles of both."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        n, part, met, last = (np.asarray(rows.column(c)) for c in ("n", "part", "met", "last"))
+        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+        shared, rest, done = Overlaps(_coded(rows.column("grams"))), -(-percent * n // 100) - 1, np.zeros(len(n), bool)
+        for home in _homes(rows):
+            for i, js in partners(points, n, part, percent, (met, last), home, done):
+                for k in range(0, len(js), 8 * LEAF):
+                    j = js[k : k + 8 * LEAF]
+                    j = j[~(done[i] & done[j])]
+                    if not len(j):
+                        continue
+                    behind = np.where(last[j] == last[i], np.maximum(rest[i], rest[j]), np.where(last[j] < last[i], rest[j], rest[i]))
+                    j = j[shared.of(i, j) + behind >= needed(n[i], n[j], percent)]
+                    if len(j):
+                        done[i] = done[j] = True
+        return rows.select(["bucket", "node", "homes", "part", "met", "last", "n"]).filter(pa.array(done))
+
+    wanted = some.select("node").distinct()
+    of = heads.join(wanted, "node", "left_semi").groupBy("node").agg(F.collect_list("gram").alias("grams"))
+    known = _in_blocks(some.join(in_trees.select("node", "n", "point"), "node"), "met").join(of, "node")
+    return known.groupBy("bucket", "low", "high").applyInArrow(lambda rows: work(rows), "bucket long, node long, homes array<bigint>, part long, met long, last long, n long").dropDuplicates(["bucket", "node"])
+
+
+def _joined_in_trees(some: DataFrame, docs: DataFrame, features: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: verified links that join components, at most one for each node a task holds."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        node, part, met, last = (np.asarray(rows.column(c)) for c in ("node", "part", "met", "last"))
+        sets = [x for batch in portions(rows.select(["text"]).to_batches()) for x in shingle_sets(batch.column("text"), words)]
+        points = np.stack([point(x) for x in sets])
+        found = joining(points, _coded(lists(np.concatenate(sets), np.cumsum([len(x) for x in sets]))), part.copy(), percent, (met, last), _homes(rows))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    # texts take less room on the way than sets of hashes
+    held = _in_blocks(some, "n").join(_sets(some.select("node").distinct(), docs, features, words, texts=True), "node")
+    return held.groupBy("bucket", "low", "high").applyInArrow(lambda rows: work(rows), "a long, b long")
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, features: DataFrame, words: int, texts: bool = False) -> DataFrame:
+    """node, grams: the whole set of each wanted node, read from one of its documents (or, if asked, node and its text)."""
 
     def sets(batches):
         for batch in portions(batches):
             found = shingle_sets(batch.column("text"), words)
             node = [_node(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64), np.cumsum([len(x) for x in found]))], names=["node", "grams"])
+            held = batch.column("text") if texts else lists((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64), np.cumsum([len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), held], names=["node", "text" if texts else "grams"])
 
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     owner = features.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where("doc_id is not null").distinct()
-    texts = docs.select("doc_id", "text").join(owner, "doc_id").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+    rows = docs.select("doc_id", "text").join(owner, "doc_id").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
     # rows may share an id, so the node is worked out from the text once more
-    held = saved(texts.select("text").mapInArrow(sets, "node long, grams array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return rows.select("text").mapInArrow(sets, f"node long, {'text string' if texts else 'grams array<bigint>'}").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, features: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of nodes whose whole sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = saved(_sets(wanted, docs, features, words), "sets")
     a, b = held.select(F.col("node").alias("a"), F.col("grams").alias("x")), held.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     same = F.size(F.array_intersect("x", "y")).cast("long")
     return pairs.join(a, "a").join(b, "b").withColumn("i", same).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
@@ -285,8 +405,9 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     marked = heads.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     open_trees = marked.groupBy("gram").agg(F.min("part").alias("l"), F.max("part").alias("h"), F.count("*").alias("size")).where("l < h").select("gram", "l", "size")
     trees = marked.join(open_trees, "gram").join(in_trees, "node")
-    second = saved(plausible(_pairs_in_trees(trees, pieces(total, 8 << 20, 8), percent)), "pairs")
-    more = saved(_verified(second, base, features, words, percent), "links")
+    some = saved(_with_partners(trees, pieces(total, 8 << 20, 8), percent), "partners")
+    some = saved(_meeting(some, heads, in_trees, percent), "partners")
+    more = saved(_joined_in_trees(some, base, features, words, percent), "links")
     joined = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if more.take(1) else part
 
     named = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -5,7 +5,8 @@ import random
 import numpy as np
 
 from fieldledger.llm.components import components
-from fieldledger.llm.jaccard_tree import needed, near_components, search
+from fieldledger.llm import jaccard_tree
+from fieldledger.llm.jaccard_tree import joining, needed, near_components, search
 
 
 def plain(rows):
@@ -74,6 +75,26 @@ def test_tree_finds_what_a_scan_finds():
     assert {(max(a, b), min(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want and want
 
 
+def test_links_not_pairs():
+    """A tree of n near copies in n parts gives n - 1 links, not n * (n - 1) / 2 pairs, and none to a set of others."""
+    common = np.arange(95)
+    sets = [np.append(common, [100 + k]) for k in range(300)] + [np.append(np.arange(40), np.arange(1000, 1056))]
+    points = np.zeros((301, 64), np.uint16)
+    points[:, 0] = 96
+    part, none = np.arange(301), np.zeros(301, np.int64)
+    found = joining(points, sets, part, 80, (none + 96, none), [np.arange(301), np.arange(301)])
+    assert len(found) == 299 and len(set(part[:300])) == 1 and part[300] != part[0]
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    """Near copies in chains that fit no single task: every two blocks meet."""
+    monkeypatch.setattr(jaccard_tree, "HELD", 1500)
+    monkeypatch.setattr(jaccard_tree, "CENTRES", 1)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(150)]
+    assert got(spark, rows) == plain(rows) and len({c for _, _, c in plain(rows)}) == 1
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(150)] + [(500, k) for k in range(501, 600)]

@@ -31,11 +31,14 @@ def with_shards(df: DataFrame, order: list[Column] | None = None, rows: int = SH
     return placed(df, [], order or newest_first(), "_pos").withColumn("shard", F.floor((F.col("_pos") - 1) / rows).cast("int"))
 
 
-def write_shards(df: DataFrame, path: str, order: list[Column] | None = None, rows: int = SHARD_ROWS) -> None:
-    """Newest first, undated last. Shards are dealt to tasks in turn, and each is sorted and written by one task."""
+def write_shards(df: DataFrame, path: str, order: list[Column] | None = None, rows: int = SHARD_ROWS) -> DataFrame:
+    """Newest first, undated last. Shards are dealt to tasks in turn, and each is sorted and written by one task.
+    Returns the rows with their shards, from the working table they were placed in."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_shards(df, order, rows).repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int"))
+    numbered = with_shards(df, order, rows)
+    dealt = numbered.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int"))
     dealt.sortWithinPartitions("shard", "_pos").drop("_pos").write.mode("overwrite").partitionBy("shard").option("compression", "gzip").json(path)
+    return numbered
 
 
 def shard_stats(df: DataFrame, posted: str = "posted_at", seen: str = "first_seen") -> DataFrame:
@@ -145,8 +148,11 @@ def publish(spark: SparkSession, df: DataFrame, base: str, stamp: str, rows: int
     pointer named before goes."""
     old = current(spark, base)
     root = f"{base}/{stamp}"
-    write_shards(df, f"{root}/shards", order, rows)
-    stored = spark.read.schema(df.schema).json(f"{root}/shards")
+    numbered = write_shards(df, f"{root}/shards", order, rows)
+    # The shards are not parsed again: of the rows as they were placed, the two dates as JSON keeps them.
+    dates = T.StructType([f for f in df.schema.fields if f.name in (posted, "first_seen")])
+    kept = F.from_json(F.to_json(F.struct(*dates.names)), dates)
+    stored = numbered.select("shard", kept.alias("_d")).select("shard", "_d.*")
     shard_stats(stored, posted).write.mode("overwrite").parquet(f"{root}/manifest")
     if totals is not None:
         totals.write.mode("overwrite").parquet(f"{root}/totals")

@@ -110,7 +110,7 @@ def _lexicon(rows: DataFrame, toxic: int, clean: int, voters: int) -> np.ndarray
     """Keys that stand out in toxic texts, sorted."""
 
     def tally(batches):
-        for batch in portions(batches):
+        for batch in portions(batches, size=PORTION):  # some 15 keys of 8 bytes stand for a word while they are sorted
             w = Words(batch.column("text"), fold=True)
             first, size = _eights(w)
             label = np.asarray(batch.column("toxic"))

@@ -200,7 +200,10 @@ def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes:
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), held.alias("held_out"))
     size = text_bytes(base)
     count, buckets = pieces(size, batch_bytes), pieces(size, 2 * batch_bytes, 8)
-    batches = in_batches(base, count)
+    # texts and answers are dealt by batch once; a union of equally dealt answers is dealt so too, so no round writes old ones again
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows: rows.repartition(parts, BATCH)
+    batches = dealt(in_batches(base, count))
 
     def answered(entries: DataFrame, fn) -> DataFrame:
         return entries.groupBy("bucket").applyInArrow(lambda rows: fn(rows), _ANSWER)
@@ -213,7 +216,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes:
     first = answered(ask(batches, words, "keys binary, n binary"), _counts(0, 1))
     of_all = first.where(f"{BATCH} = -1").agg(F.array(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in (0, 1)]).alias("sums"))
     everywhere = spark.range(count).select(F.col("id").cast("int").alias(BATCH), F.lit(-1).alias("bucket"), F.lit(-1).alias("step"), F.lit(None).cast("binary").alias("total"), of_all.scalar().alias("sums"))
-    told = everywhere.unionByName(first.where(f"{BATCH} >= 0"))
+    told = dealt(everywhere).unionByName(dealt(first.where(f"{BATCH} >= 0")))
     for k in range(1, depth + 1):
 
         def sequences(batch: int, rows: pa.Table, known: pa.Table, k: int = k) -> pa.Table:
@@ -226,8 +229,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes:
 
         kind = f"bucket int, {BATCH} int, keys binary"
         counted = answered(ask_again(batches, told, sequences, f"{kind}, n binary"), _counts(2 * k - 1, 2)).where(f"{BATCH} >= 0")
-        told = told.unionByName(counted)
-        told = told.unionByName(answered(ask_again(batches, told, contexts, f"{kind}, once binary, gain binary, seen binary"), _kept(2 * k, nats)))
+        told = told.unionByName(dealt(counted))
+        told = told.unionByName(dealt(answered(ask_again(batches, told, contexts, f"{kind}, once binary, gain binary, seen binary"), _kept(2 * k, nats))))
 
     def result(batch: int, rows: pa.Table, known: pa.Table) -> pa.Table:
         w = Walk(rows, known, 2 * depth + 2, buckets)

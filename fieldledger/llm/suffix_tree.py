@@ -84,14 +84,20 @@ class Entries:
     def sums(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.which, weights=weights, minlength=len(self.keys))
 
+    def values(self, batch: int, **values: np.ndarray) -> pa.Table:
+        """Values alone, in the order in which `table` sent the keys."""
+        ends = self.dealt.ends
+        out = {"bucket": pa.array(self.dealt.bucket, pa.int32()), BATCH: pa.array(np.full(len(ends), batch), pa.int32())}
+        return pa.table(out | {name: packed(v[self.dealt.order], ends) for name, v in values.items()})
+
     def table(self, batch: int, drop: int, **values: np.ndarray) -> pa.Table:
         ends = self.dealt.ends
         keys = (self.keys[self.dealt.order] >> np.uint64(drop)).view(np.int64)
         step = np.diff(keys, prepend=np.int64(0))
         first = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
         step[first] = keys[first]
-        out = {"bucket": pa.array(self.dealt.bucket, pa.int32()), BATCH: pa.array(np.full(len(ends), batch), pa.int32()), "keys": packed(step, ends)}
-        return pa.table(out | {name: packed(v[self.dealt.order], ends) for name, v in values.items()})
+        out = self.values(batch, **values)
+        return out.add_column(2, "keys", packed(step, ends))
 
     def told(self, replies: pa.Table) -> np.ndarray:
         """The answer to each key: one value per entry, in the order sent."""
@@ -134,13 +140,13 @@ def _counts(step: int, least: int):
 
 
 def _kept(step: int, nats: float):
-    """For contexts: 0 if dropped, else 1 + the number of words seen once behind it."""
+    """For contexts: 0 if dropped, else 1 + the number of words seen once behind it. A context is a word or sequence asked
+    about before: its key and how often it was seen are in that question, row by row the batches of the values."""
 
-    def work(rows: pa.Table) -> pa.Table:
+    def work(rows: pa.Table, values: pa.Table) -> pa.Table:
+        rows, values = rows.sort_by(BATCH), values.sort_by(BATCH)
         which, _, sizes = _asked(rows)
-        once, gain = (np.bincount(which, weights=unpacked(rows.column(c), kind)[0]) for c, kind in (("once", np.int32), ("gain", np.float32)))
-        seen = np.zeros(len(once))
-        seen[which] = unpacked(rows.column("seen"), np.int32)[0]
+        seen, once, gain = (np.bincount(which, weights=unpacked(t.column(c), kind)[0]) for t, c, kind in ((rows, "n", np.int32), (values, "once", np.int32), (values, "gain", np.float32)))
         with np.errstate(divide="ignore", invalid="ignore"):
             rest = np.where(once > 0, once * np.log((once - 1 + STRENGTH) / (seen - 1 + STRENGTH)), 0.0)
         told = _reply(rows, sizes, np.where(gain + rest > nats, once + 1, 0)[which], step)
@@ -158,7 +164,9 @@ class Walk:
         step = np.asarray(told.column("step"))
         of = lambda k: told.filter(pa.array(step == k))
         self.train_tokens, distinct = of(-1).column("sums").to_pylist()[0]
-        self.words = Entries(t.word, buckets).told(of(0))[np.unique(t.word, return_inverse=True)[1]]
+        known = Entries(t.word, buckets)  # what the contexts of the round were asked as
+        self.words = known.told(of(0))[known.which]
+        entry = known.which
         self.base = (self.words + 0.5) / (self.train_tokens + 0.5 * (distinct + 1))
         self.p, seen = self.base.copy(), np.concatenate([[0], self.words[:-1]])
         at, most = np.arange(len(t.word)), self.words  # a sequence is seen no more often than its own suffix
@@ -171,17 +179,18 @@ class Walk:
                 return
             count = np.zeros(len(at), np.int64)
             count[may] = self.sequences.told(of(2 * k - 1))[self.sequences.which]
-            self.contexts = Entries(self.context, buckets)
+            self.contexts, which = known, entry[at - 1]
+            sums = lambda weights: np.bincount(which, weights=weights, minlength=len(known.keys))  # noqa: B023, E731
             teach, n = t.train[at], seen[at]
-            self.once = self.contexts.sums(teach & (count < 2))
+            self.once = sums(teach & (count < 2))
             with np.errstate(divide="ignore"):
                 gain = np.log((count - 1.0) / (n - 1 + STRENGTH) / self.p[at])
-            self.gain = self.contexts.sums(np.where(teach & (count >= 2), gain, 0.0))
-            self.seen = np.zeros(len(self.contexts.keys), np.int64)
-            self.seen[self.contexts.which] = n
+            self.gain = sums(np.where(teach & (count >= 2), gain, 0.0))
             if steps == 2 * k + 1:
                 return
-            kept = self.contexts.told(of(2 * k))[self.contexts.which]
+            kept = known.told(of(2 * k))[which]
+            known, entry = self.sequences, np.zeros(len(t.word), np.int64)
+            entry[self.asked] = self.sequences.which
             use = kept > 0
             self.p[at] = np.where(use, (count + (kept - 1 + STRENGTH) * self.p[at]) / (n + STRENGTH), self.p[at])
             # the next token's longer context is this sequence; it can be kept only where its suffix is
@@ -213,7 +222,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes:
         e = Entries(t.word, buckets)
         return e.table(batch, 0, n=e.sums(t.train).astype(np.int32))
 
-    first = answered(ask(batches, words, "keys binary, n binary"), _counts(0, 1))
+    question = ask(batches, words, "keys binary, n binary")
+    first = answered(question, _counts(0, 1))
     of_all = first.where(f"{BATCH} = -1").agg(F.array(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in (0, 1)]).alias("sums"))
     everywhere = spark.range(count).select(F.col("id").cast("int").alias(BATCH), F.lit(-1).alias("bucket"), F.lit(-1).alias("step"), F.lit(None).cast("binary").alias("total"), of_all.scalar().alias("sums"))
     told = dealt(everywhere).unionByName(dealt(first.where(f"{BATCH} >= 0")))
@@ -225,12 +235,14 @@ def scores(docs: DataFrame, depth: int = DEPTH, nats: float = NATS, batch_bytes:
 
         def contexts(batch: int, rows: pa.Table, known: pa.Table, k: int = k) -> pa.Table:
             w = Walk(rows, known, 2 * k + 1, buckets)
-            return w.contexts.table(batch, 20, once=w.once.astype(np.int32), gain=w.gain.astype(np.float32), seen=w.seen.astype(np.int32))
-
-        kind = f"bucket int, {BATCH} int, keys binary"
-        counted = answered(ask_again(batches, told, sequences, f"{kind}, n binary"), _counts(2 * k - 1, 2)).where(f"{BATCH} >= 0")
-        told = told.unionByName(dealt(counted))
-        told = told.unionByName(dealt(answered(ask_again(batches, told, contexts, f"{kind}, once binary, gain binary, seen binary"), _kept(2 * k, nats))))
+            return w.contexts.values(batch, once=w.once.astype(np.int32), gain=w.gain.astype(np.float32))
+
+        kind, kept = f"bucket int, {BATCH} int", _kept(2 * k, nats)
+        asked = ask_again(batches, told, sequences, f"{kind}, keys binary, n binary")
+        told = told.unionByName(dealt(answered(asked, _counts(2 * k - 1, 2)).where(f"{BATCH} >= 0")))
+        values = ask_again(batches, told, contexts, f"{kind}, once binary, gain binary")
+        judged = question.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(kept, _ANSWER)
+        told, question = told.unionByName(dealt(judged)), asked
 
     def result(batch: int, rows: pa.Table, known: pa.Table) -> pa.Table:
         w = Walk(rows, known, 2 * depth + 2, buckets)

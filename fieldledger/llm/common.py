@@ -70,11 +70,13 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
-    x = x ^ (x >> _S30)
-    x = x * _M1
-    x = x ^ (x >> _S27)
-    x = x * _M2
-    return x ^ (x >> _S31)
+    y = x >> _S30
+    y ^= x
+    y *= _M1
+    y ^= y >> _S27
+    y *= _M2
+    y ^= y >> _S31
+    return y
 
 
 def join2(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -83,10 +85,16 @@ def join2(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+
+
+def is_break(raw: np.ndarray) -> np.ndarray:
+    """Which bytes stand between words; a comparison of whole arrays, as a table would be looked up byte by byte."""
+    return (raw - np.uint8(0x09) <= 4) | (raw == 0x20)
+
+
+def folded(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return raw + ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
 
 
 class Words:
@@ -106,8 +114,8 @@ class Words:
         data = arr.buffers()[2] if len(arr) else None
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.empty(0, np.uint8)
         at = at - at[0]
-        self.bytes = np.concatenate([_FOLD[raw] if fold else raw, np.zeros(8, np.uint8)])
-        letter = np.concatenate([~_SPACE[raw], [False]])
+        self.bytes = np.concatenate([folded(raw) if fold else raw, np.zeros(8, np.uint8)])
+        letter = np.concatenate([~is_break(raw), [False]])
         cut = np.zeros(len(raw) + 1, bool)
         cut[at] = True  # a document starts here
         self.start = np.flatnonzero(letter[:-1] & (cut[:-1] | np.concatenate([[True], ~letter[:-2]]))) if len(raw) else np.empty(0, np.int64)
@@ -151,6 +159,36 @@ def windows(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return out
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and which of them each key is: `np.unique` with its inverse, for hashes.
+
+    The high bits of the keys are sorted with the keys' places in the low bits, as numbers are sorted several times as
+    fast as places. Different keys of equal high bits, if there are any, are left to `np.unique`.
+    """
+    n = len(keys)
+    if n == 0 or keys.dtype != np.uint64:
+        return np.unique(keys, return_inverse=True)
+    low = np.uint64(n.bit_length())
+    lift = np.uint64(min(64 - int(keys.max()).bit_length(), int(low)))  # what short keys leave free above
+    packed = keys << lift
+    packed >>= low
+    packed <<= low
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
+    tie = packed[1:] >> low == packed[:-1] >> low if lift < low else np.zeros(n - 1, bool)
+    packed &= (np.uint64(1) << low) - np.uint64(1)
+    order = packed.view(np.int64)
+    keys = keys[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    if (first[1:] & tie).any():
+        keys, in_order = np.unique(keys, return_inverse=True)
+    else:
+        keys, in_order = keys[first], np.cumsum(first) - 1
+    which = np.empty(n, np.int64)
+    which[order] = in_order
+    return keys, which
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

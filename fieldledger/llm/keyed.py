@@ -43,9 +43,11 @@ class Dealt:
     """The keys of a batch in the order in which its buckets get them."""
 
     def __init__(self, keys: np.ndarray, buckets: int):
-        bucket = ((keys >> np.uint64(17)) % np.uint64(buckets)).astype(np.int32)
-        self.order = np.argsort(bucket, kind="stable")
-        self.bucket, first = np.unique(bucket[self.order], return_index=True)
+        bucket = ((keys >> np.uint64(17)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+        self.order = np.argsort(bucket, kind="stable")  # short numbers are sorted by digits
+        bucket = bucket[self.order].astype(np.int32)
+        first = np.flatnonzero(np.diff(bucket, prepend=np.int32(-1)))
+        self.bucket = bucket[first]
         self.ends = np.append(first[1:], len(keys)).astype(np.int64) if len(first) else np.empty(0, np.int64)
         self.first = dict(zip(self.bucket.tolist(), first.tolist(), strict=True))
 

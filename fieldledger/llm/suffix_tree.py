@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import Words, join2, pieces, text_bytes
+from fieldledger.llm.common import Words, distinct, join2, pieces, text_bytes
 from fieldledger.llm.keyed import BATCH, Dealt, ask, ask_again, in_batches
 
 DEPTH = 2
@@ -41,8 +41,9 @@ def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    rows = np.split(values, ends[:-1]) if len(ends) else []
-    return pa.array([squeeze(np.ascontiguousarray(r).view(np.uint8).reshape(len(r), values.itemsize).T.tobytes()) for r in rows], pa.binary())
+    bits = values.view(f"<u{values.itemsize}")
+    rows = np.split(np.stack([(bits >> (8 * k)).astype(np.uint8) for k in range(values.itemsize)]), ends[:-1], axis=1) if len(ends) else []
+    return pa.array([squeeze(np.ascontiguousarray(r).ravel()) for r in rows], pa.binary())
 
 
 def unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ class Tokens:
 
     def context(self, k: int, at: np.ndarray) -> np.ndarray:
         """Hash of the k words before each of the tokens `at`, nearest first, so a longer context extends its suffix."""
-        out = np.full(len(at), np.uint64(k))
+        out = np.full(1, np.uint64(k))
         for j in range(1, k + 1):
             out = join2(out, self.word[at - j], 31)
         return out
@@ -78,7 +79,7 @@ class Entries:
     """Distinct keys of a batch with values, dealt to buckets; keys go out as steps from one to the next."""
 
     def __init__(self, keys: np.ndarray, buckets: int):
-        self.keys, self.which = np.unique(keys, return_inverse=True)
+        self.keys, self.which = distinct(keys)
         self.dealt = Dealt(self.keys, buckets)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
@@ -118,7 +119,7 @@ def _asked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.cumsum(sizes) - sizes
     run = np.cumsum(step)
     keys = run - np.repeat(run[first] - step[first], sizes) if len(step) else step
-    return np.unique(keys, return_inverse=True)[1], row, sizes
+    return distinct(keys.view(np.uint64))[1], row, sizes
 
 
 def _reply(rows: pa.Table, sizes: np.ndarray, values: np.ndarray, step: int) -> pa.Table:
@@ -183,9 +184,10 @@ class Walk:
             sums = lambda weights: np.bincount(which, weights=weights, minlength=len(known.keys))  # noqa: B023, E731
             teach, n = t.train[at], seen[at]
             self.once = sums(teach & (count < 2))
-            with np.errstate(divide="ignore"):
-                gain = np.log((count - 1.0) / (n - 1 + STRENGTH) / self.p[at])
-            self.gain = sums(np.where(teach & (count >= 2), gain, 0.0))
+            twice = np.flatnonzero(teach & (count >= 2))
+            gain = np.zeros(len(at))
+            gain[twice] = np.log((count[twice] - 1.0) / (n[twice] - 1 + STRENGTH) / self.p[at[twice]])
+            self.gain = sums(gain)
             if steps == 2 * k + 1:
                 return
             kept = known.told(of(2 * k))[which]
